@@ -50,22 +50,18 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def split_records(stream, chunk: int = CHUNK) -> Iterator[bytes]:
     """The records of a gzip file, whether it is one member or many, inflated once."""
-    inflate, held = zlib.decompressobj(31), bytearray()
-    while True:
-        data = stream.read(chunk)
-        if not data:
-            break
+    inflate, held, begun = zlib.decompressobj(31), bytearray(), False
+    while data := stream.read(chunk):
         while data:
+            begun = True
             held += inflate.decompress(data, chunk)
-            while inflate.unconsumed_tail:
-                held += inflate.decompress(inflate.unconsumed_tail, chunk)
-                yield from _complete(held)
-            data = inflate.unused_data
-            if inflate.eof:
-                inflate = zlib.decompressobj(31)
             yield from _complete(held)
-    if held or not inflate.eof and inflate.unconsumed_tail:
-        raise ValueError("the last record is cut off")
+            if inflate.eof:
+                data, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+            else:
+                data = inflate.unconsumed_tail
+    if held or begun:
+        raise ValueError("the file is cut off")
 
 
 def _complete(held: bytearray) -> Iterator[bytes]:
