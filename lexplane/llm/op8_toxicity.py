@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import in_batches
 from .labelled import held_out, training_rows
 
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 KINDS = ("w", *map(str, BEGINNINGS))
 _EDGE = re.compile(r"^\W+|\W+$")
 #: Pattern voters; each votes toxic where its test holds.
@@ -79,8 +79,11 @@ def flags(text: str) -> np.ndarray:
     return np.array([bool(test(text, n)) for test in PATTERNS.values()], float)
 
 
-def induce(learn: DataFrame, size: int, support: int) -> list[tuple[str, int, int]]:
-    """(entry, toxic documents, other documents) of the size entries that toxic documents of learn (text, y) have most distinctly."""
+def induce(learn: DataFrame, size: int, surely: float) -> list[tuple[str, int, int]]:
+    """(entry, toxic documents, other documents) of the size entries that toxic documents of learn (text, y) have most distinctly.
+
+    surely: nats of surprise that an entry must be worth; vocabularies are large, and words without meaning abound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -98,8 +101,14 @@ def induce(learn: DataFrame, size: int, support: int) -> list[tuple[str, int, in
         yield out()
 
     counted = learn.mapInArrow(in_batches(run, 256), "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    share = (F.col("toxic") + 0.0) / (F.col("toxic") + F.col("other") + 1)
-    best = counted.where((F.col("toxic") >= support) & (share > 0.6)).orderBy((share * F.sqrt("toxic")).desc(), "entry").limit(size)
+    t, o = F.col("toxic").cast("double"), F.col("other").cast("double")
+    rate = learn.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
+    if not rate or rate == 1:
+        return []
+    # Chernoff's bound: minus the log of the odds that chance alone gives an entry so many toxic documents
+    surprise = t * F.log(t / ((t + o) * rate)) + F.when(o > 0, o * F.log(o / ((t + o) * (1 - rate)))).otherwise(0.0)
+    best = counted.where((t > 0) & (t / (t + o) > 0.9)).withColumn("surprise", surprise).where(F.col("surprise") >= surely)
+    best = best.orderBy(F.col("surprise").desc(), "entry").select("entry", "toxic", "other").limit(size)
     return [tuple(r) for r in best.collect()]
 
 
@@ -167,13 +176,13 @@ def fit_linear(hits: list[set[int]], seen: np.ndarray, post: np.ndarray, size: i
     return x[:size], x[size:-1], float(x[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, size: int = 4000, support: int = 3) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, size: int = 4000, surely: float = 15.0) -> Toxicity:
     """Fit on at most about rows labelled documents that are not held out; without toxic ones every score is 0.
 
     What reaches the driver is bounded by rows and size: the lexicon, and for each learning row its hits and patterns.
     """
     learn = training_rows(docs, labels, F.when(F.col("toxic").isNotNull(), (F.col("toxic") > 0).cast("int")), rows)
-    found = induce(learn, size, support)
+    found = induce(learn, size, surely)
     if not found:
         return Toxicity()
     model = Toxicity({e: n for n, (e, _, _) in enumerate(found)})
