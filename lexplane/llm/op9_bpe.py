@@ -38,7 +38,7 @@ def pieces(text: str) -> list[str]:
 class Speculator:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 250_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 500_000):
         """remembered: pieces whose encoding is kept in each of two generations; those in use move on to the next."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -52,9 +52,10 @@ class Speculator:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if self.added else None
         self.vocab = vocab
-        self.reach: dict[bytes, int] = {}  # by the first two bytes, the longest token's length
+        self.reach: dict[bytes, int] = {}  # by the first four bytes, the longest token's length
         for t in vocab:
-            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
+            if len(t) > 3:
+                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
         self.words = regex.compile(pattern)
         top = max([*vocab.values(), *self.added.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * top
@@ -87,7 +88,7 @@ class Speculator:
     def propose(self, word: bytes) -> list[int]:
         out, at, n, vocab, reach = [], 0, len(word), self.vocab, self.reach
         while at < n:
-            end = min(n, at + reach.get(word[at : at + 2], 1))
+            end = min(n, at + reach.get(word[at : at + 4], 3))
             while (t := vocab.get(word[at:end])) is None:
                 end -= 1
                 if end == at:
@@ -195,8 +196,10 @@ class Speculator:
     def learn(self, missing: list[str]) -> None:
         """Put the encoding of each piece into known."""
         cut = [self.words.findall(p) for p in missing]
-        words = list({w for ws in cut for w in ws})
-        ids = dict(zip(words, self.encode_words([w.encode("utf-8") for w in words]), strict=True))
+        words = {w for ws in cut for w in ws}
+        ids = {w: x for w in words if (x := self.known.get(w) or self.older.get(w)) is not None}
+        words = [w for w in words if w not in ids]
+        ids.update(zip(words, self.encode_words([w.encode("utf-8") for w in words]), strict=True))
         for p, ws in zip(missing, cut, strict=True):
             self.known[p] = tuple(ids[ws[0]]) if len(ws) == 1 else tuple(t for w in ws for t in ids[w])
 
