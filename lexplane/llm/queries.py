@@ -70,11 +70,11 @@ _WS = r"[\x20\x09-\x0D]+"
 ORACLE_SQL = {
     "op1_line_dedup": rf"""
 WITH lines AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-seen AS (SELECT source, unnest(list_distinct(list_transform(ls, x -> regexp_replace(x, '^{_WS}|{_WS}$', '', 'g')))) AS line FROM lines),
+seen AS (SELECT source, unnest(list_distinct(list_transform(ls, lambda x: regexp_replace(x, '^{_WS}|{_WS}$', '', 'g')))) AS line FROM lines),
 pages AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 bad AS (SELECT s.source, list(s.line) AS ls FROM (SELECT source, line, count(*) AS n FROM seen WHERE line <> '' GROUP BY source, line) s
         JOIN pages p ON s.source IS NOT DISTINCT FROM p.source WHERE s.n >= 3 AND s.n > 0.1 * p.n GROUP BY s.source),
-kept AS (SELECT doc_id, l.source, text, l.ls, CASE WHEN b.ls IS NULL THEN l.ls ELSE list_filter(l.ls, x -> NOT list_contains(b.ls, regexp_replace(x, '^{_WS}|{_WS}$', '', 'g'))) END AS ks
+kept AS (SELECT doc_id, l.source, text, l.ls, CASE WHEN b.ls IS NULL THEN l.ls ELSE list_filter(l.ls, lambda x: NOT list_contains(b.ls, regexp_replace(x, '^{_WS}|{_WS}$', '', 'g'))) END AS ks
          FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(ks), 0)::BIGINT AS n_dropped,
        length(CASE WHEN len(ks) < len(ls) THEN array_to_string(ks, chr(10)) ELSE text END)::BIGINT AS kept_chars,
