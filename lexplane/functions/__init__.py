@@ -1,0 +1 @@
+"""Column functions."""

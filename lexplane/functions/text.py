@@ -115,7 +115,7 @@ def duration_kind(c: Column) -> Column:
 def duration_span(passage: Column, duration: Column) -> Column:
     """The passage's words on as many years as the duration text has; that text where there are none."""
     n = F.regexp_extract(duration, r"(?i)(\d+)\s+years", 1)
-    found = F.regexp_extract(passage, F.concat(F.lit("(?i)"), n, F.lit(r"\s+years[^.;,]{0,60}")), F.lit(0))
+    found = F.call_function("regexp_extract", passage, F.concat(F.lit("(?i)"), n, F.lit(r"\s+years[^.;,]{0,60}")), F.lit(0))
     return F.when((n != "") & (found != ""), F.trim(found)).otherwise(duration)
 
 

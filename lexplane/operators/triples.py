@@ -86,7 +86,9 @@ def with_default(df: DataFrame, specific: DataFrame, on: Sequence[str], general:
 def to_ntriples(triples: DataFrame, base: str = "urn:x:") -> DataFrame:
     """(value): a line of N-Triples for each triple, for write.text()."""
     iri = lambda c: F.concat(F.lit("<" + base), c, F.lit(">"))
-    quoted = F.regexp_replace(F.regexp_replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), '"', '\\\\\\\\"'), "\n", "\\\\\\\\n")
+    quoted = F.col("o")
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
     typed = F.when(F.col("o_type").isin("", "string"), F.lit("")).otherwise(F.concat(F.lit("^^<http://www.w3.org/2001/XMLSchema#"), F.col("o_type"), F.lit(">")))
     o = F.when(F.col("o_kind") == "uri", iri(F.col("o"))).otherwise(F.concat(F.lit('"'), quoted, F.lit('"'), typed))
     return triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), o, F.lit(".")).alias("value"))

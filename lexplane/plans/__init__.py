@@ -1,0 +1 @@
+"""Rules over the graph, and the registered queries."""

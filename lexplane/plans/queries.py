@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
-from ..operators import locate, ordered, temporal, validate
+from ..operators import convert, enrich, locate, ordered, render, temporal, validate
 from ..operators import triples as G
-from ..sources import akn, html
+from ..sources import akn, html, national
 from . import rules
 
 QUERIES: dict = {}
@@ -293,11 +293,10 @@ def ref_extract(spark, d):
 
 @query("SELECT p_partkey AS id, 'paris' AS treaty FROM part UNION ALL SELECT p_partkey, 'rome' FROM part WHERE p_partkey % 3 = 0")
 def alias_refs(spark, d):
-    from ..operators.enrich import alias_matches
 
     text = F.concat(_sentence(), F.when(F.col("p_partkey") % 3 == 0, " See the Rome Convention.").otherwise(" See Romeo."))
     rows = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
-    return alias_matches(rows, {"Paris Convention": "paris", "Rome Convention": "rome", "Rome": "rome"}).select("id", "treaty")
+    return enrich.alias_matches(rows, {"Paris Convention": "paris", "Rome Convention": "rome", "Rome": "rome"}).select("id", "treaty")
 
 
 @query("""WITH RECURSIVE s AS (SELECT l_orderkey AS id, l_linenumber * 20 AS a, l_linenumber * 20 + l_quantity::BIGINT AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, -l_quantity, l_partkey, l_suppkey) AS n, l_linenumber AS line FROM lineitem),
@@ -482,10 +481,9 @@ def text_distance(spark, d):
 
 @query()
 def similarity_check(spark, d):
-    from ..operators.enrich import similarity
 
     rows = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " and more").otherwise(" ")).alias("b"))
-    return rows.withColumn("similarity", similarity(F.col("a"), F.col("b"))).select("id", F.round("similarity", 6).alias("similarity"), ((1 - F.col("similarity")) * 100 > 1).alias("reverted"))
+    return rows.withColumn("similarity", enrich.similarity(F.col("a"), F.col("b"))).select("id", F.round("similarity", 6).alias("similarity"), ((1 - F.col("similarity")) * 100 > 1).alias("reverted"))
 
 
 @query("SELECT 'part_' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'rule_card' WHEN 1 THEN 'rights_list' ELSE 'yes_no_exception' END AS type, CASE WHEN p_size = 50 THEN '50 years after death' ELSE p_size || ' years pma' END AS shown FROM part WHERE p_size NOT IN (7) AND contains(p_size::VARCHAR, '70') = false")
@@ -518,3 +516,58 @@ def graph_nodes(spark, d):
 @query("SELECT 'country_' || p_brand AS source, 'part_' || p_partkey AS target, 'has rule' AS label FROM part UNION ALL SELECT 'part_' || p_partkey, 'law_' || p_name, 'stated in' FROM part WHERE p_partkey % 7 <> 0")
 def graph_edges(spark, d):
     return rules.edges(_rule_nodes(spark, d))
+
+
+def _treaty(spark, d):
+    """HTML of a treaty for each part: two articles with paragraphs and a lettered list, then a second act that starts over."""
+    n, s = F.col("p_name"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("<html><body><h1>Treaty "), n, F.lit("</h1><table><p>Contents</p></table><p>of January 1, 1971</p><p>The States, "), n, F.lit(",</p><p><b>Article 1 : Scope</b></p><p>(1) First "), s, F.lit(":</p><p>(a) one</p><p>(b) two</p><p>(2) Second</p>"),
+        F.lit("<p><strong>Article 2<br>Terms</strong></p><p>Plain text.</p><ul><li><p>- bullet</p></li></ul><p>II Additional Act</p><p>Preamble.</p><p><b>Article 1 : Again</b></p><p>(1) More</p></body></html>"),
+    )
+    docs = _t(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), text.alias("html"))
+    return convert.blocks(html.entries(docs), docs.select("doc", html.title(F.col("html")).alias("title")))
+
+
+@query("""SELECT 'part_' || p_partkey AS doc, s.seg, CASE s.seg WHEN 0 THEN 'Treaty ' || p_name ELSE 'Additional Act' END AS title, s.articles, s.paragraphs, s.preamble FROM part, (VALUES (0, 2::BIGINT, 3::BIGINT, 2::BIGINT), (1, 1, 1, 0)) s(seg, articles, paragraphs, preamble)""")
+def convert_counters(spark, d):
+    found = _treaty(spark, d)
+    titles = found.groupBy("doc", "seg").agg(F.first("seg_title").alias("title"))
+    return convert.counters(convert.article_nodes(found), found).join(titles, ["doc", "seg"]).select("doc", "seg", "title", "articles", "paragraphs", "preamble")
+
+
+@query("""SELECT 'part_' || p_partkey AS doc, e.seg, e.eid, e.tag FROM part, (VALUES (0, 'art_1', 'article'), (0, 'art_1__para_1', 'paragraph'), (0, 'art_1__para_1__list_1', 'list'), (0, 'art_1__para_1__list_1__point_a', 'point'), (0, 'art_1__para_1__list_1__point_b', 'point'), (0, 'art_1__para_2', 'paragraph'),
+(0, 'art_2', 'article'), (0, 'art_2__para_1', 'paragraph'), (0, 'art_2__para_1__list_1', 'list'), (0, 'art_2__para_1__list_1__point_1', 'point'), (1, 'art_1', 'article'), (1, 'art_1__para_1', 'paragraph')) e(seg, eid, tag)""")
+def convert_nodes(spark, d):
+    return convert.article_nodes(_treaty(spark, d)).where("eid is not null").select("doc", "seg", "eid", "tag")
+
+
+@query("""SELECT p_partkey AS id, s.n, s.kind, s.target FROM part, (VALUES (1, 'def', NULL), (2, 'ref_internal', '#art_7bis'), (3, 'ref_external', '/akn/paris')) s(n, kind, target) WHERE s.n > 1
+UNION ALL SELECT p_partkey, 1, 'def', p_name FROM part UNION ALL SELECT p_partkey, 0, 'ref_internal', '#art_' || p_size FROM part WHERE p_partkey % 2 = 0""")
+def annotate_spans(spark, d):
+    p = _t(spark, d, "part")
+    paragraphs = p.select(F.col("p_partkey").alias("doc"), F.lit(0).alias("pos"), _sentence().alias("text"))
+    ids = p.select(F.col("p_partkey").alias("doc"), F.explode(F.array(F.lit("art_7bis"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("art_"), F.col("p_size").cast("string"))))).alias("eid"))
+    marked = enrich.annotate(paragraphs, ids, {"Paris Convention": "paris", "Rome Convention": "rome"}, {"paris": "/akn/paris"})
+    n = F.when(F.col("kind") == "def", 1).when(F.col("kind") == "ref_external", 3).when(F.col("target") == "#art_7bis", 2).otherwise(0)
+    return marked.select(F.col("doc").alias("id"), n.alias("n"), "kind", "target")
+
+
+_ACT = """<Statute pit-date="2020-01-01"><Identification><ShortTitle>{n}</ShortTitle><ConsolidatedNumber>C-42</ConsolidatedNumber></Identification><Body><Heading level="1"><Label>PART I</Label><TitleText>General</TitleText></Heading><Section><Label>{s}.1</Label><MarginalNote>Term</MarginalNote><Text>Lead</Text><Paragraph><Label>(a)</Label><Text>one</Text><Subparagraph><Label>(i)</Label><Text>deep</Text></Subparagraph></Paragraph></Section><Section><Text>no label</Text></Section></Body></Statute>"""
+_NZ = """<act act.no="143" year="1994" date.as.at="2021-05-01"><cover><title>{n}</title></cover><body><part><label>1</label><heading>Rights</heading><prov><label>{s}</label><heading>Term</heading><prov.body><subprov><label>1</label><para><text>Lead:</text><label-para><label>a</label><para><text>one</text></para></label-para></para></subprov><subprov><label denominator="no">2</label><para><text>two</text></para></subprov></prov.body></prov></part></body></act>"""
+
+
+@query("""SELECT 'part_' || p_partkey AS doc, CASE WHEN p_partkey % 3 = 0 THEN 'sec_' || p_size || '_1' WHEN p_partkey % 3 = 1 THEN 'sec_' || p_size END AS eid, CASE WHEN p_partkey % 3 = 0 THEN p_size || '.1TermLead(a)one(a)(i)deep' WHEN p_partkey % 3 = 1 THEN p_size || 'Term(1)Lead:(a)onetwo' END AS content FROM part WHERE p_partkey % 3 < 2""")
+def national_sections(spark, d):
+    k = F.col("p_partkey") % 3
+    of = lambda t: F.replace(F.replace(F.lit(t), F.lit("{n}"), F.col("p_name")), F.lit("{s}"), F.col("p_size").cast("string"))
+    xml = F.when(k == 0, of(_ACT)).when(k == 1, of(_NZ)).otherwise("<broken")
+    docs = _t(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), national.to_akn(xml, F.when(k == 1, "NZ").otherwise("CA")).alias("xml"))
+    return akn.nodes(docs).where("tag = 'section'").select("doc", "eid", "content")
+
+
+@query("""SELECT p_partkey AS id, '<section class="article target" id="target"><h4>Article ' || p_size || '</h4><div class="content"><p>lasts <mark class="highlight">' || p_size || ' years</mark> &amp; more</p></div></section>' AS html FROM part""")
+def render_article(spark, d):
+    s = F.col("p_size").cast("string")
+    xml = F.concat(F.lit('<act><body><article eId="art_1"><num>Article '), s, F.lit("</num><content><p>lasts "), s, F.lit(" years &amp; more</p></content></article></body></act>"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), render.html(xml, F.lit("art_1"), F.concat(s, F.lit(" years"))).alias("html"))

@@ -1,0 +1 @@
+"""Sources: curated facts, Akoma Ntoso, treaty HTML and national XML."""

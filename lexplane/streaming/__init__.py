@@ -1,0 +1 @@
+"""Nothing here yet: all sources of the engine are read in batch, and point-in-time questions are as-of lookups."""
