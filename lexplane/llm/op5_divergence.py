@@ -95,7 +95,7 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(d, F.lit(0.0))))
 
 
-def quality(scratch: Scratch, docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.6, least_chars: int = 200, least_common: int = 40) -> DataFrame:
+def quality(scratch: Scratch, docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.6, least_chars: int = 400, least_common: int = 20) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_chars, js_words.
 
     A document is dropped that fails the base rules or stands further from its language than a limit; a histogram of
