@@ -94,3 +94,9 @@ def similarity(a: Column, b: Column) -> Column:
 def guarded(changed: Column, original: Column, similar: Column, most: float = 1.0) -> Column:
     """The changed text, or the original where they differ by more than most percent."""
     return F.when((1 - similar) * 100 > most, original).otherwise(changed)
+
+
+def upsert_terms(terms: DataFrame, marked: DataFrame) -> DataFrame:
+    """terms (doc, eid, shown) and those that definition_ids()'s rows need and that are not there; the first wording of a term is shown."""
+    need = marked.groupBy("doc", F.col("term_eid").alias("eid")).agg(F.min_by("target", F.struct("pos", "start")).alias("shown"))
+    return terms.select("doc", "eid", "shown").union(need.join(terms, ["doc", "eid"], "left_anti").select("doc", "eid", "shown"))

@@ -36,5 +36,5 @@ def version_range(versions: DataFrame, by: str, at: str) -> DataFrame:
 
 def version_of_file(name: Column) -> Column:
     """Date from which a version file counts: in its name, or that of the original text; null for other files."""
-    dated = F.regexp_extract(name, r"VIGENZA_(\d{4}-\d{2}-\d{2})_V\d+\.xml", 1)
-    return F.when(dated != "", F.try_to_date(dated)).when(name.contains("ORIGINALE_V0.xml"), F.lit("1941-07-16").cast("date"))
+    dated = F.regexp_extract(name, r"VIGENZA_(\d{4}-\d{2}-\d{2})_V\d+\.xml$", 1)
+    return F.when(dated != "", F.try_to_date(dated)).when(name.endswith("ORIGINALE_V0.xml"), F.lit("1941-07-16").cast("date"))

@@ -486,7 +486,7 @@ def similarity_check(spark, d):
     return rows.withColumn("similarity", enrich.similarity(F.col("a"), F.col("b"))).select("id", F.round("similarity", 6).alias("similarity"), ((1 - F.col("similarity")) * 100 > 1).alias("reverted"))
 
 
-@query("SELECT 'part_' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'rule_card' WHEN 1 THEN 'rights_list' ELSE 'yes_no_exception' END AS type, CASE WHEN p_size = 50 THEN '50 years after death' ELSE p_size || ' years pma' END AS shown FROM part WHERE p_size NOT IN (7) AND contains(p_size::VARCHAR, '70') = false")
+@query("SELECT 'part_' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'rule_card' WHEN 1 THEN 'rights_list' ELSE 'yes_no_exception' END AS type, CASE WHEN p_size = 50 THEN 'Life of author + 50 years' ELSE p_size || ' years pma' END AS shown FROM part WHERE p_size NOT IN (7) AND contains(p_size::VARCHAR, '70') = false")
 def viz_spec(spark, d):
     p = _t(spark, d, "part").where("p_size <> 7")
     rule = F.element_at(F.array(*map(F.lit, rules.CARDS)), (F.col("p_partkey") % 3 + 1).cast("int"))

@@ -52,8 +52,12 @@ def card(rule: Column) -> Column:
     return out.otherwise("rule_card")
 
 
+#: How normal values are shown.
+SHOWN = {"life_plus_70": "Life of author + 70 years", "life_plus_50": "Life of author + 50 years", "list": "Multiple rights recognized", "yes": "Yes — exception provided", "no": "No — exception not provided", "unknown": "Unknown"}
+
+
 def display_value(value: Column) -> Column:
-    return F.when(value == "life_plus_70", "70 years after death").when(value == "life_plus_50", "50 years after death").when(value == "yes", "Yes").when(value == "no", "No").otherwise(value)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SHOWN.items() for x in kv]), value), value)
 
 
 def route(questions: DataFrame) -> DataFrame:

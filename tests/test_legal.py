@@ -135,3 +135,36 @@ def test_definitions_get_ids(spark):
 def test_ntriples(spark):
     df = spark.createDataFrame([("s", "p", 'a "b"\n\\', "literal", "string"), ("s", "p", "o", "uri", ""), ("s", "p", "5", "literal", "integer")], ", ".join(f"{c} string" for c in G.COLUMNS))
     assert {r.value for r in G.to_ntriples(df).collect()} == {'<urn:x:s> <urn:x:p> "a \\"b\\"\\n\\\\" .', "<urn:x:s> <urn:x:p> <urn:x:o> .", '<urn:x:s> <urn:x:p> "5"^^<http://www.w3.org/2001/XMLSchema#integer> .'}
+
+
+def test_engine(spark, tmp_path):
+    from lexplane.api import Engine
+
+    g = graph(spark, tmp_path)
+    xml = '<act><body><article eId="a64"><num>§ 64</num><content><p>The right lasts 70 years after death.</p></content></article></body></act>'
+    docs = spark.createDataFrame([("de.xml", xml), ("v1", xml), ("v2", "<act><body/></act>")], "doc string, xml string")
+    versions = spark.createDataFrame([("DE", dt.date(1990, 1, 1), "v1"), ("DE", dt.date(2000, 1, 1), "v2")], "code string, at date, file string")
+    e = Engine(g, docs, versions)
+    a = e.ask(spark.createDataFrame([("How long is the duration in Germany?",)], "question string")).first()
+    assert a.eid == "a64" and a.passage.endswith("70 years after death.") and a.card == "rule_card" and "§ 64 UrhG" in a.text
+    assert e.compliance("DE").first().passage.startswith("§ 64") and e.compliance("XX").count() == 0 and e.compliance().count() == 9
+    t = spark.createDataFrame([("DE", dt.date(*d), "a64", "") for d in ((1980, 1, 1), (1990, 1, 1), (2001, 1, 1))] + [("DE", None, "a64", "")], "code string, at date, eid string, span string")
+    assert {str(r.at): r.status for r in e.document(t).collect()} == {"1980-01-01": "before_first", "1990-01-01": "resolved", "2001-01-01": "missing_provision", "None": "invalid_date"}
+    v, ed, tr = e.graph("de")
+    assert v.where("type = 'rule'").count() == 3 and ed.count() == 6 and tr.count() > 20 and e.graph("zz")[0].count() == 0
+    assert [r.code for r in e.countries().collect()][:2] == ["DE", "FR"] and e.versions_of("DE").count() == 2
+
+
+def test_treaties_and_terms(spark, tmp_path):
+    from lexplane.sources import treaties
+
+    assert treaties.registry(spark).count() == 28 and len(treaties.ALIASES) == 37
+    found = treaties.known(spark.createDataFrame([("1981_Nairobi_clean.html",), ("x.html",)], "file string")).collect()
+    assert [(r.short_name, r.year) for r in found] == [("nairobi", 1981)]
+    frbr = spark.createDataFrame([("a", "/akn/un/act/treaty/wipo/1981-01-01/nairobi/"), ("b", None)], "doc string, work_uri string")
+    assert [tuple(r) for r in treaties.work_uris(frbr).select("short_name").collect()] == [("nairobi",)]
+    treaties.write_index(spark.createDataFrame([("x", "/x")], "short_name string, work_uri string"), str(tmp_path / "index"))
+    assert treaties.work_uris(frbr, treaties.read_index(spark, str(tmp_path / "index"))).first().work_uri == "/x"
+    marked = spark.createDataFrame([("d", 0, 0, "Broadcast", "term_broadcast"), ("d", 1, 0, "broadcast", "term_broadcast"), ("d", 2, 0, "Old", "term_old")], "doc string, pos int, start int, target string, term_eid string")
+    terms = spark.createDataFrame([("d", "term_old", "Old")], "doc string, eid string, shown string")
+    assert {(r.eid, r.shown) for r in enrich.upsert_terms(terms, marked).collect()} == {("term_old", "Old"), ("term_broadcast", "Broadcast")}
