@@ -202,7 +202,7 @@ class LibraryEncoder:
     tokens tell where each piece ends.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         """remembered: pieces kept in each of two generations; those in use move on to the next."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -215,6 +215,7 @@ class LibraryEncoder:
         self.lengths = np.zeros(top, np.int64)
         for token, n in self.lib.get_vocab().items():  # in byte-level vocabularies a token has a letter for each byte
             self.lengths[n] = len(token)
+        self.stops = {c: np.array(self.lib.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:!?"}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.remembered = remembered
@@ -242,14 +243,22 @@ class LibraryEncoder:
         if len(self.known) + len(missing) > self.remembered:
             self.older, self.known = self.known, {}
             missing = list(used)
-        new = []
+        known, older, new, stopped = self.known, self.older, set(), []
         for p in missing:
-            if (ids := self.older.get(p)) is not None:
-                self.known[p] = ids
+            if (ids := older.get(p)) is None and p[-1] in self.stops and p[-2:-1].isalnum():
+                stopped.append(p)  # a word is cut from the stop behind it
+                p = p[:-1]
+                if p in known:
+                    continue
+                ids = older.get(p)
+            if ids is None:
+                new.add(p)
             else:
-                new.append(p)
+                known[p] = ids
         if new:
-            self._ask(new)
+            self._ask(list(new))
+        for p in stopped:
+            known[p] = known[p[:-1]] + self.stops[p[-1]]
         heads = self.lib.encode_batch_fast([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)], add_special_tokens=False)
         get = self.known.__getitem__
         return [np.array(h.ids, "<u4").tobytes() + (b"".join(map(get, c[1:])) if c else b"") for h, c in zip(heads, cut, strict=True)]
