@@ -1,13 +1,16 @@
 """Embedding near-duplicates with a forest of random-projection trees.
 
 Each tree splits each label's vectors recursively at the median of a random projection; vectors near the median go to
-both sides (spill), so that near pairs are seldom parted. All trees grow a level at a time over all rows: the split
-points are approximate percentiles, pre-aggregated before the shuffle. Within leaves all pairs are compared in blocks;
-a pair counts in the first leaf it shares, and links leave a leaf as one count and one root per vector.
+both sides (spill), so that near pairs are seldom parted: a tenth of the node on either side, and at least what a pair
+at the threshold spans on average. A dense node, which such a split leaves with no fewer pairs, is a leaf of any size.
+All trees grow a level at a time over all rows: the split points are approximate percentiles, pre-aggregated before the
+shuffle. Within leaves all pairs are compared in blocks; a pair counts in the first leaf it shares, and links leave a
+leaf as one count and one root per vector.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, in_batches, whole_runs
 from .op10_simhash import _roots
 
+#: Steps in which a node's distribution is known; leaves in whose size a large leaf's parts are measured; names of leaves looked up at once.
+STEPS, PART, NAMES = 20, 4, 4096
+
 
 def _classes(scratch: Scratch, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable rows with their class, classes): equal vectors of a label are one class, named by its smallest vec_id."""
@@ -55,23 +61,29 @@ def _projections(classes: DataFrame, trees: int, levels: int, seed: int) -> Data
     return out
 
 
-def leaves(scratch: Scratch, classes: DataFrame, trees: int, leaf: int, spill: float, levels: int, seed: int) -> DataFrame:
+def leaves(scratch: Scratch, classes: DataFrame, trees: int, leaf: int, spill: float, levels: int, seed: int, reach: float = 0.0) -> DataFrame:
     """(cid, leaves array<struct<tree, path, size>>): all leaves of each class, over all trees.
 
-    A node of more than leaf classes is split unless levels is reached. path is a hash of label, dimension and turns.
+    A node of more than leaf classes is split unless levels is reached, or its halves would have as many pairs as the
+    node. reach: width of the overlap at least, on the projection. path is a hash of label, dimension and turns.
     """
+    known = [0.5 - spill, 0.5, 0.5 + spill, *[k / STEPS for k in range(1, STEPS)]]
     start = classes.select("cid", F.xxhash64("label", F.size("v")).alias("path"))
     rows = start.join(_projections(classes, trees, levels, seed), "cid").select("cid", "tree", "path", "proj")
     rows, done = scratch.table(rows, "forest"), []
     for level in range(levels + 1):
         p = F.col("proj")[min(level, levels - 1)]
-        stats = rows.groupBy("tree", "path").agg(F.count("*").alias("size"), F.percentile_approx(p, [0.5 - spill, 0.5, 0.5 + spill], 500).alias("cut"))
+        stats = rows.groupBy("tree", "path").agg(F.count("*").alias("size"), F.percentile_approx(p, known, 500).alias("cut"))
         joined = rows.join(scratch.table(stats, "nodes"), ["tree", "path"])
-        small = (F.col("size") <= leaf) | F.lit(level == levels)
+        mid = F.col("cut")[1]
+        lo, hi = F.least(F.col("cut")[0], mid - reach / 2), F.greatest(F.col("cut")[2], mid + reach / 2)
+        steps = F.slice("cut", 4, STEPS - 1)
+        shares = [(F.size(F.filter(steps, test)) + 0.5) / STEPS for test in (lambda q: q <= hi, lambda q: q >= lo)]  # noqa: B023
+        dense = shares[0] * shares[0] + shares[1] * shares[1] >= 1
+        small = (F.col("size") <= leaf) | F.lit(level == levels) | (F.lit(reach > 0) & dense)
         done.append(scratch.table(joined.where(small).select("cid", "tree", "path", "size"), "leaves"))
         if level == levels:
             break
-        lo, mid, hi = (F.col("cut")[i] for i in range(3))
         left = F.when(lo < hi, p <= hi).otherwise(p <= mid)
         right = F.when(lo < hi, p >= lo).otherwise(p > mid)
         turns = F.filter(F.array(F.when(left, F.xxhash64("path", F.lit(level), F.lit(0))), F.when(right, F.xxhash64("path", F.lit(level), F.lit(1)))), lambda x: x.isNotNull())
@@ -84,6 +96,21 @@ def leaves(scratch: Scratch, classes: DataFrame, trees: int, leaf: int, spill: f
     return every.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("tree", "path", "size"))).alias("leaves"))
 
 
+def _shared(paths: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Rows by rows: whether two rows have a leaf in common among the first at of each."""
+    rows = np.repeat(np.arange(len(paths)), at)
+    names, place, count = np.unique(np.concatenate([p[:n] for p, n in zip(paths, at, strict=True)]), return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    rows, place = rows[count[place] > 1], new[place[count[place] > 1]]
+    out = np.zeros((len(paths), len(paths)), bool)
+    for start in range(0, int((count > 1).sum()), NAMES):
+        here = (place >= start) & (place < start + NAMES)
+        has = np.zeros((len(paths), NAMES), np.float32)
+        has[rows[here], place[here] - start] = 1
+        out |= has @ has.T > 0
+    return out
+
+
 def _compare(threshold: float):
     schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -118,7 +145,9 @@ def _compare(threshold: float):
                     padded[n, : len(q)] = q
                 at = pos[s:e]
                 first = np.ones(len(i), bool)
-                for c in range(int(at.max())):
+                if len(i) > 8 * (e - s):  # many links: all pairs at once
+                    first = ~_shared(ps, at)[i, j]
+                for c in range(int(at.max()) if len(i) <= 8 * (e - s) else 0):
                     shared = (padded[i, c][:, None] == padded[j]) & (np.arange(width)[None, :] < at[j][:, None])
                     first &= ~((c < at[i]) & shared.any(1))
                 i, j = i[first], j[first]
@@ -137,15 +166,15 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, threshold: float = 0.9
 
     Vectors are compared only within a label, and within a dimension. Null, zero or non-finite vectors, null labels
     and null ids link with nothing; a row without an id has a null component and is kept. Rows with an equal vector
-    link with each other, each counted. leaf: classes in a leaf at most; where levels splits cannot reach that, the
-    leaf is compared in blocks, exactly. Extra columns are not read.
+    link with each other, each counted. leaf: classes in a leaf at most; where levels splits cannot reach that, or
+    a node is dense, the leaf is compared in blocks, exactly. Extra columns are not read.
     """
     usable, classes = _classes(scratch, vectors)
-    every = leaves(scratch, classes, trees, leaf, spill, levels, seed)
+    every = leaves(scratch, classes, trees, leaf, spill, levels, seed, math.sqrt(max(0.0, 2 - 2 * threshold)))
     with_leaves = classes.join(every, "cid").withColumn("paths", F.transform("leaves", lambda x: F.xxhash64(x["tree"], x["path"])))
     placed = with_leaves.select("cid", "n", "v", "paths", F.posexplode("leaves").alias("pos", "l"))
     # a leaf above the bound is cut into k parts; each pair of parts is a block of its own
-    k = F.ceil(F.col("l.size") / float(leaf)).cast("int")
+    k = F.when(F.col("l.size") <= leaf, 1).otherwise(F.ceil(F.col("l.size") / float(PART * leaf))).cast("int")
     placed = placed.withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")

@@ -129,5 +129,20 @@ def test_forest(spark, scratch):
     assert [by[r[0]].component_id for r in rows] == first
 
 
+def test_forest_keeps_the_links_of_a_dense_group(spark, scratch):
+    """Default parameters, one label: a group of 2,000 distinct near vectors in a background twice its size."""
+    r = np.random.default_rng(4)
+    centre = r.standard_normal(64)
+    group = centre / np.linalg.norm(centre) + r.standard_normal((2000, 64)) * np.sqrt(0.05 / 0.95 / 64)
+    x = np.concatenate((group, r.standard_normal((4000, 64)))).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert want[:2000].min() > 500
+    df = spark.createDataFrame([(n, v.tolist(), 0) for n, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {y.vec_id: y.n_links for y in op4_forest.near_duplicates(scratch, df).collect()}
+    have = np.array([got[n] for n in range(len(x))])
+    assert (have <= want).all() and have.sum() >= 0.99 * want.sum()
+
+
 def test_forest_of_empty_table(spark, scratch):
     assert op4_forest.near_duplicates(scratch, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
