@@ -11,7 +11,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,7 +72,7 @@ class Ordinal:
         return float(sum(w[k] * v for k, v in features(text).items()))
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], grades: int = 3, steps: int = 120, rate: float = 0.1, l2: float = 1e-4) -> Ordinal:
+def fit(rows: list[tuple[Sequence[int] | np.ndarray, Sequence[float] | np.ndarray, int]], grades: int = 3, steps: int = 120, rate: float = 0.1, l2: float = 1e-4) -> Ordinal:
     """Maximum likelihood by Adam over (places, values, grade) rows; grades that do not occur are allowed."""
     if not rows:
         return Ordinal(np.zeros(DIM), np.linspace(-1, 1, grades - 1))
@@ -108,21 +108,21 @@ def fit(rows: list[tuple[list[int], list[float], int]], grades: int = 3, steps:
     return Ordinal(x[:DIM], th)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, places: int = 4000) -> Ordinal:
-    """Fit on at most about rows labelled documents, of each its places largest features; held-out rows are not read."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Ordinal:
+    """Fit on at most about rows labelled documents, with all features of each; held-out rows are not read."""
     grade = F.when(F.col("quality").isNull(), None).when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ks, vs = [], []
             for t in b.column(0).to_pylist():
-                top = sorted(features(t).items(), key=lambda x: -x[1])[:places]
-                ks.append([k for k, _ in top])
-                vs.append([v for _, v in top])
+                found = features(t)
+                ks.append(np.fromiter(found, np.int32, len(found)))
+                vs.append(np.fromiter(found.values(), np.float32, len(found)))
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float32())), b.column(1)], names=["k", "v", "y"])
 
     found = training_rows(docs, labels, grade, rows).mapInArrow(in_batches(run, 256), "k array<int>, v array<float>, y int").toArrow()
-    return fit([(k, v, y) for k, v, y in zip(*(found.column(c).to_pylist() for c in ("k", "v", "y")), strict=True)])
+    return fit([(k.values.to_numpy(), v.values.to_numpy(), y.as_py()) for k, v, y in zip(*(found.column(c) for c in ("k", "v", "y")), strict=True)])
 
 
 def classify(docs: DataFrame, model: Ordinal, least: float = 0.3) -> DataFrame:

@@ -91,6 +91,15 @@ def test_ordinal_regression_orders_grades(tables):
     assert op7_ordinal.classify(docs.limit(0), op7_ordinal.fit([])).count() == 0
 
 
+def test_ordinal_regression_learns_from_whole_texts(spark):
+    """Rows that differ only in the last of thousands of distinct words are told apart."""
+    filler = " ".join(f"f{k}" for k in range(6000))
+    docs = spark.createDataFrame([(n, f"{filler} {'good' if n % 2 else 'poor'}") for n in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(60)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id % 2: x.tail_probability for x in op7_ordinal.classify(docs, op7_ordinal.train(docs, labels)).collect()}
+    assert got[1] > got[0] + 0.01
+
+
 def test_ordinal_gradient():
     """The fit recovers thresholds and weights of a simulated cumulative-link model."""
     r = np.random.default_rng(2)
