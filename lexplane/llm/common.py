@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,13 +96,22 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 1) -
         yield pa.Table.from_batches(held)
 
 
-def in_batches(f: Callable, size: int) -> Callable:
-    """f over an iterator of record batches of at most size rows, so that few long texts are in memory at once."""
+def in_batches(f: Callable, size: int, text: int | None = None, most: int = 4 << 20) -> Callable:
+    """f over an iterator of record batches of at most size rows, so that few long texts are in memory at once.
+
+    text: a string column of which a batch has at most about so many bytes, most, besides one row.
+    """
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                yield batch.slice(at, size)
+        for batch in filter(len, batches):
+            if text is None:
+                ends = []
+            else:
+                sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype("int64").cumsum()
+                ends = [int(n) + 1 for n in (sizes // most)[:-1].astype(bool).nonzero()[0] if sizes[n] // most != (sizes[n - 1] // most if n else 0)]
+            for start, end in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+                for at in range(start, end, size):
+                    yield batch.slice(at, min(size, end - at))
 
     return lambda batches: f(sliced(batches))
 

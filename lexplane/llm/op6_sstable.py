@@ -11,17 +11,19 @@ uint32 for vocabularies that need it. Equal keys may repeat.
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, in_batches
+from .pieces import Memo
 
 MAGIC, RESTART, FOOTER = b"LXSST001", 16, struct.Struct("<QQQQQQI8s")
 BITS, PROBES = 10, 7
-_BETWEEN = re.compile(r" (?=\S)")
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -195,73 +197,54 @@ def open_shard(uri: str) -> Reader:
     return Reader(files.open_input_file(path), files.get_file_info(path).size)
 
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct piece of text between words while it is remembered.
+class LibraryEncoder(Memo):
+    """The tokenizers library, asked once for each distinct piece of text between spaces while it is remembered.
 
     New pieces are handed over as one text, which the library cuts where it would cut them alone; the lengths of the
     tokens tell where each piece ends.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
-        """remembered: pieces kept in each of two generations; those in use move on to the next."""
+    def __init__(self, path: str, remembered: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        before = json.loads(self.lib.to_str())["pre_tokenizer"] or {}
         top = max(self.lib.get_vocab().values()) + 1
         self.lengths = np.zeros(top, np.int64)
         for token, n in self.lib.get_vocab().items():  # in byte-level vocabularies a token has a letter for each byte
             self.lengths[n] = len(token)
-        self.stops = {c: np.array(self.lib.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:!?"}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.remembered = remembered
-
-    def _ask(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode("utf-8")) + 1 for p in part])
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        super().__init__(special, before.get("type") == "ByteLevel" and bool(before.get("use_regex")), remembered)
+
+    def ids_of(self, strings: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        if not spaced:
+            found = [e.ids for e in self.lib.encode_batch_fast(strings, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        parts, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(strings), 4096):
+            part = strings[at : at + 4096]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy().astype(np.int64) + 1)
             reached = np.cumsum(self.lengths[ids])
             cuts = np.searchsorted(reached, ends)
             if not (reached[cuts] == ends).all():
                 raise ValueError("the library joined what stands on two sides of a space")
-            data = ids.tobytes()
-            begin = 0
-            for p, end in zip(part, ((cuts + 1) * 4).tolist(), strict=True):
-                self.known[p] = data[begin:end]
-                begin = end
+            begin = np.concatenate(([0], cuts[:-1] + 1))
+            line = np.fromiter((p[0] == "\n" for p in part), bool, len(part))
+            if line.any():  # the space that joined it to the others is a token of its own in front of a line end
+                if not (self.lengths[ids[begin[line]]] == 1).all():
+                    raise ValueError("the library joined a space and a line end")
+                ids = np.delete(ids, begin[line])
+            parts.append(ids)
+            counts.append(cuts + 1 - begin - line)
+        return np.concatenate(parts), np.concatenate(counts)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32. Texts with an added token's string go to the library whole."""
-        cut = [None if any(s in t for s in self.special) else _BETWEEN.split(t) for t in texts]
-        used = {p for c in cut if c for p in c[1:]}
-        missing = [p for p in used if p not in self.known]
-        if len(self.known) + len(missing) > self.remembered:
-            self.older, self.known = self.known, {}
-            missing = list(used)
-        known, older, new, stopped = self.known, self.older, set(), []
-        for p in missing:
-            if (ids := older.get(p)) is None and p[-1] in self.stops and p[-2:-1].isalnum():
-                stopped.append(p)  # a word is cut from the stop behind it
-                p = p[:-1]
-                if p in known:
-                    continue
-                ids = older.get(p)
-            if ids is None:
-                new.add(p)
-            else:
-                known[p] = ids
-        if new:
-            self._ask(list(new))
-        for p in stopped:
-            known[p] = known[p[:-1]] + self.stops[p[-1]]
-        heads = self.lib.encode_batch_fast([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)], add_special_tokens=False)
-        get = self.known.__getitem__
-        return [np.array(h.ids, "<u4").tobytes() + (b"".join(map(get, c[1:])) if c else b"") for h, c in zip(heads, cut, strict=True)]
+        return [x.astype("<u4", copy=False).tobytes() for x in self.ids_of_texts(texts)]
 
 
 @functools.cache
@@ -269,7 +252,7 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def write_shards(scratch: Scratch, docs: DataFrame, vocab_path: str, end_id: int | None = 2, shard_bytes: int = 256 << 20, rows: int = 128) -> DataFrame:
+def write_shards(scratch: Scratch, docs: DataFrame, vocab_path: str, end_id: int | None = 2, shard_bytes: int = 256 << 20, rows: int = 4096) -> DataFrame:
     """Encode docs (doc_id, text) and write shards in ascending doc_id; returns their manifest, a written table.
 
     One row per shard: part, seq (their order is that of the ids), path, docs, ids. Null texts count as empty, null
@@ -309,7 +292,7 @@ def write_shards(scratch: Scratch, docs: DataFrame, vocab_path: str, end_id: int
         if shard is not None:
             yield close()
 
-    return scratch.table(src.mapInArrow(in_batches(run, rows), "part long, seq long, path string, docs long, ids long"), "manifest")
+    return scratch.table(src.mapInArrow(in_batches(run, rows, text=1), "part long, seq long, path string, docs long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
