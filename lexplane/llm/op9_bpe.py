@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -23,23 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches
+from .pieces import BYTE_LEVEL, Memo
 
-#: A single space in front of a word: pre-tokenization never joins what stands on its two sides.
-_BETWEEN = re.compile(r" (?=\S)")
 _NEVER = np.iinfo(np.int64).max
+#: Bytes from which a failing word is merged with a heap: its time grows as n log n.
+LONG = 256
 
 
-def pieces(text: str) -> list[str]:
-    """text cut in front of each single space that a word follows; the pieces are pre-tokenized alike alone or in place."""
-    head, *rest = _BETWEEN.split(text)
-    return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-
-
-class Speculator:
+class Speculator(Memo):
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 500_000):
-        """remembered: pieces whose encoding is kept in each of two generations; those in use move on to the next."""
+    def __init__(self, path: str, pattern: str, remembered: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -80,10 +75,13 @@ class Speculator:
         self.byte_ids = np.array([vocab.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.left, self.right, self.born = left, right, born
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.remembered = remembered
         self.proposed = self.failed = 0
+        super().__init__(self.added, pattern == BYTE_LEVEL, remembered)
+
+    def age(self) -> None:
+        super().age()
+        self.printed: list[bytes] = []  # of each slot the decimal ids and the decoded bytes
+        self.decoded: list[bytes] = []
 
     def propose(self, word: bytes) -> list[int]:
         out, at, n, vocab, reach = [], 0, len(word), self.vocab, self.reach
@@ -117,9 +115,9 @@ class Speculator:
             used_x[went], x[went] = self.born[x[went]], self.right[x[went]]
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The exact merging of all words in step: in each round every word merges its pair of the lowest rank, from the left."""
-        out: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda n: len(words[n]))
+        """The exact merging of all words: of every word the pair of the lowest rank, from the left. Short words go in step."""
+        out: list[list[int]] = [self._merge_long(w) if len(w) > LONG else [] for w in words]
+        order = sorted((n for n in range(len(words)) if len(words[n]) <= LONG), key=lambda n: len(words[n]))
         at = 0
         while at < len(order):  # words of like length together: padding stays below a half, memory below some 20 MB
             longest = max(16, 2 * len(words[order[at]]))
@@ -132,6 +130,36 @@ class Speculator:
             at = end
         return out
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for one word, by a heap of pairs over linked parts."""
+        n = len(word)
+        parts = self.byte_ids[np.frombuffer(word, np.uint8)]
+        ranks = self._ranks(parts[:-1], parts[1:])
+        there = np.flatnonzero(ranks < _NEVER)
+        heap = (ranks[there] * n + there).tolist()
+        heapq.heapify(heap)
+        at, rank = parts.tolist(), [*ranks.tolist(), _NEVER]
+        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def look(i: int) -> None:
+            rank[i] = _NEVER if behind[i] == n else self.rank.get(at[i] * self.size + at[behind[i]], _NEVER)
+            if rank[i] < _NEVER:
+                heapq.heappush(heap, rank[i] * n + i)
+
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != r:
+                continue
+            j = behind[i]
+            at[i], at[j], rank[j] = self.made[at[i] * self.size + at[j]], -1, _NEVER
+            behind[i] = behind[j]
+            if behind[i] < n:
+                before[behind[i]] = i
+            look(i)
+            if before[i] >= 0:
+                look(before[i])
+        return [t for t in at if t >= 0]
+
     def _merge(self, words: list[bytes]) -> list[list[int]]:
         counts = np.fromiter(map(len, words), np.int64, len(words))
         width = int(counts.max())
@@ -193,39 +221,35 @@ class Speculator:
         self.failed += len(again)
         return found
 
-    def learn(self, missing: list[str]) -> None:
-        """Put the encoding of each piece into known."""
-        cut = [self.words.findall(p) for p in missing]
-        words = {w for ws in cut for w in ws}
-        ids = {w: x for w in words if (x := self.known.get(w) or self.older.get(w)) is not None}
-        words = [w for w in words if w not in ids]
-        ids.update(zip(words, self.encode_words([w.encode("utf-8") for w in words]), strict=True))
-        for p, ws in zip(missing, cut, strict=True):
-            self.known[p] = tuple(ids[ws[0]]) if len(ws) == 1 else tuple(t for w in ws for t in ids[w])
+    def ids_of(self, strings: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        cut: list[list] = []
+        for p in strings:
+            if spaced:
+                cut.append(self.words.findall(p if p[0] == "\n" else " " + p))
+            elif self.split_added is not None and any(t in p for t in self.added):
+                cut.append([w for n, s in enumerate(self.split_added.split(p)) if s for w in ([self.added[s]] if n % 2 else self.words.findall(s))])
+            else:
+                cut.append(self.words.findall(p))
+        words = list({w for ws in cut for w in ws if isinstance(w, str)})
+        ids = dict(zip(words, self.encode_words([w.encode("utf-8") for w in words]), strict=True))
+        found = [ids[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [t for w in ws for t in ([w] if isinstance(w, int) else ids[w])] for ws in cut]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        parts: list[list] = []
-        for text in texts:
-            if self.split_added is not None and any(t in text for t in self.added):
-                parts.append([p for n, s in enumerate(self.split_added.split(text)) if s for p in ([self.added[s]] if n % 2 else pieces(s))])
-            else:
-                parts.append(pieces(text))
-        used = {p for ps in parts for p in ps}
-        missing = [p for p in used if p not in self.known]
-        if len(self.known) + len(missing) > self.remembered:  # what is in use stays, the rest ages and then goes
-            self.older, self.known = self.known, {}
-            missing = list(used)
-        older, new = self.older, []
-        for p in missing:
-            if isinstance(p, int):
-                self.known[p] = (p,)
-            elif (ids := older.get(p)) is not None:
-                self.known[p] = ids
-            else:
-                new.append(p)
-        if new:
-            self.learn(new)
-        return [list(chain.from_iterable(map(self.known.__getitem__, ps))) for ps in parts]
+        return [x.tolist() for x in self.ids_of_texts(texts)]
+
+    def digest_all(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: the number of its ids, the SHA-256 of the ids in decimal, and that of the text decoded from them."""
+        found = self.slots(texts)
+        for n in range(len(self.printed), self.n):
+            ids = self.ids[self.start[n] : self.start[n] + self.count[n]].tolist()
+            self.printed.append(",".join([self.digits[t] for t in ids]).encode())
+            self.decoded.append(b"".join([self.bytes_of[t] for t in ids]))
+        for slots in found:
+            some = slots if not len(slots) or self.count[slots[0]] else slots[1:]  # only a text's first piece can be empty
+            each = some.tolist()
+            decoded = b"".join(map(self.decoded.__getitem__, each)).decode("utf-8", "replace")
+            yield int(self.count[some].sum()), hashlib.sha256(b",".join(map(self.printed.__getitem__, each))).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -247,7 +271,7 @@ def speculator(path: str, pattern: str) -> Speculator:
     return Speculator(path, pattern)
 
 
-def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str] | None = None, rows: int = 128) -> DataFrame:
+def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str] | None = None, rows: int = 4096) -> DataFrame:
     """The columns in keep, with ids array<int> and decoded string; a null text counts as empty."""
     keep = ["doc_id"] if keep is None else keep
     src = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
@@ -259,10 +283,10 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=[*b.schema.names[:-1], "ids", "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(in_batches(run, rows), f"{schema}{', ' if schema else ''}ids array<int>, decoded string")
+    return src.mapInArrow(in_batches(run, rows, text=len(keep)), f"{schema}{', ' if schema else ''}ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, vocab_path: str, pattern: str, rows: int = 128) -> DataFrame:
+def digests(docs: DataFrame, vocab_path: str, pattern: str, rows: int = 4096) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs.
 
     What encode_decode() returns, reduced in the same pass so that ids and texts need not leave the worker. A null
@@ -273,16 +297,11 @@ def digests(docs: DataFrame, vocab_path: str, pattern: str, rows: int = 128) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = speculator(vocab_path, pattern)
-        digit = bpe.digits.__getitem__
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode_all(b.column(1).to_pylist()):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(digit, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=schema)
-
-    return src.mapInArrow(in_batches(run, rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n, ids, texts = zip(*bpe.digest_all(b.column(1).to_pylist()), strict=True)
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema=schema)
+
+    return src.mapInArrow(in_batches(run, rows, text=1), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocab() -> tuple[str, str]:
