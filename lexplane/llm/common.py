@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words in every text contract here.
@@ -33,11 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables and files of one query below the shared folder; losing an executor loses none of them."""
+    """Tables and files of one query below the shared folder; losing an executor loses none of them.
+
+    Results may read them lazily, so they stay until clear() is called by who has used up the result.
+    """
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lexplane/{name}-{uuid.uuid4().hex[:12]}"
         self._made = 0
+        Scratch.made.append(self)
+
+    def clear(self) -> None:
+        """Delete all of it."""
+        self.delete(self.root)
+        Scratch.made.remove(self)
 
     def path(self, name: str) -> str:
         self._made += 1
@@ -61,9 +72,22 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """Hint a broadcast only where df was counted to hold few rows; else the join stays a shuffle join, which adaptive execution splits on hot keys."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 20_000, cells: Column | None = None, most: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast only where df was counted to hold few rows; else the join stays a shuffle join, which adaptive execution splits on hot keys.
+
+    cells: for rows that hold arrays, the elements of each, of which all together may be at most that many.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    return F.broadcast(df) if cells is None or (df.agg(F.sum(cells)).first()[0] or 0) <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as keep it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 1) -> Iterator[pa.Table]:

@@ -19,9 +19,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: Column, rows: int)
     target is an expression over labels. Where there are more labels, a hash of the id chooses, the same each time. A
     document with several labels has the highest. The chosen ids are few by that bound, and are broadcast.
     """
-    usable = labels.select(F.col("doc_id").alias("__id"), target.alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("__id")))
-    usable = usable.groupBy("__id").agg(F.max("y").alias("y"))
+    usable = labels.select(F.col("doc_id").alias("id"), target.alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
+    usable = usable.groupBy("id").agg(F.max("y").cast("int").alias("y"))
     n = usable.count()
     if n > rows:
-        usable = usable.where(F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    return docs.join(F.broadcast(usable), F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
+        usable = usable.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))  # other columns may have any names
+    return texts.join(F.broadcast(usable), "id").select("text", "y")

@@ -4,11 +4,18 @@ Two nodes of the trie are walked down together; each level at which they part co
 pair that has overspent is pruned with everything below it. To spread that walk over a cluster, every fingerprint is
 dealt to three tries, each of which has another third of the bits on top and walks that third without error: of three
 parts, two differing bits leave one untouched, so no link is lost. A subtrie that is still too large has its free bits
-parted in three again, until at most 2**10 fingerprints can exist in one.
+parted in three again, until at most 2**10 fingerprints can exist in one. After that deal the tries are small, and what
+the walk saves in them is modest; it is the deal that bounds the work.
+
+For looser budgets, in which no part is sure to be free of errors, representatives() takes wide fingerprints of several
+words: a trie holds the fingerprints that agree in a random group of bits, the walk prunes on the budget that the
+similarity asks for, the whole width decides, and links are held against the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,30 +24,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, in_batches, whole_runs
+from .common import Scratch, broadcast_if_small, connected_components, in_batches, whole_runs
 
 BUDGET, FREE_BITS = 2, 10
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the text's word shingles as a signed integer; 0 without words."""
+def shingles(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each of the text's word shingles, repeats included; of all its words, if there are fewer than width."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) < width:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: len(words) - width])).tolist()
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: len(words) - width])).tolist()
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed integer; 0 without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[at : at + (1 << 14)], ">u8")
+        part = hashes[at : at + (1 << 14)].astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8)).view(">i8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the text's word shingles as a signed integer; 0 without words."""
+    return majority(shingles(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; null and empty texts have 0."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -190,3 +205,147 @@ def near_duplicates(scratch: Scratch, fps: DataFrame, most: int = 1 << FREE_BITS
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each hash: a finalizer of 64-bit mixing functions, started at the k-th of evenly spread offsets."""
+    h = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketch(text: str | None, width: int = 5, words: int = 4) -> list[int]:
+    """A fingerprint of 64 * words bits of the text's shingles, as signed integers; all 0 without words."""
+    hashes = shingles(text, width)
+    return [majority(_mixed(hashes, k)) if len(hashes) else 0 for k in range(words)]
+
+
+def sketches(docs: DataFrame, width: int = 5, words: int = 4) -> DataFrame:
+    """(doc_id, tie, fp array<long>) of every row of docs (doc_id, text); tie is a hash of the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([sketch(t.as_py(), width, words) for t in b.column(2)], pa.list_(pa.int64()))], schema=schema)
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(in_batches(run, 256), "doc_id long, tie long, fp array<long>")
+
+
+def reach(bits: int, similarity: float) -> int:
+    """Bits in which fingerprints of that Jaccard similarity differ at most, but for one pair in forty."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest of n nodes over edges (i, j) of length d: in rounds, every tree takes its shortest edge."""
+    order = np.lexsort((j, i, d))
+    i, j, root = i[order], j[order], np.arange(n)
+    chosen = [np.zeros((2, 0), np.int64)]
+    while True:
+        a, b = root[i], root[j]
+        on = a != b
+        if not on.any():
+            return tuple(np.concatenate(chosen, axis=1))
+        i, j, a, b = i[on], j[on], a[on], b[on]
+        best = np.full(n, len(i))
+        np.minimum.at(best, a, np.arange(len(i)))
+        np.minimum.at(best, b, np.arange(len(i)))
+        pick = np.unique(best[best < len(i)])
+        chosen.append(np.stack((i[pick], j[pick])))
+        root = _roots(n, a[pick], b[pick])[root]
+
+
+def _candidates(words: int, budget: int, most: int):
+    """Batches of blocks to edges (a, b) of a spanning forest of each: pairs within budget bits in the block's word, and within most in all."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "block", 8192):
+            block, cls, word, side = (table.column(c).to_numpy() for c in ("block", "cls", "word", "side"))
+            fps = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column("fp").chunks]).view(np.uint64).reshape(-1, words)
+            value = fps[np.arange(len(fps)), word]
+            order = np.lexsort((cls, value, block))
+            block, cls, side, fps, value = block[order], cls[order], side[order], fps[order], value[order]
+            first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (value[1:] != value[:-1]))))
+            count, own = np.diff(np.append(first, len(block))), block[first]
+            lo = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            hi = np.append(lo[1:], len(own))
+            big = hi - lo > 1
+            same = np.flatnonzero(count > 1)  # equal in this word
+            pairs = [(same, same)]
+            part = np.cumsum((hi[big] - lo[big]) ** 2) // 4_000_000
+            pairs += [trie_pairs(value[first], lo[big][part == g], hi[big][part == g], budget) for g in np.unique(part)]
+            edges = [np.zeros((3, 0), np.int64)]
+            for u, v in pairs:
+                sizes = count[u] * count[v]
+                for start in range(0, len(u), 1 << 18):
+                    n = sizes[start : start + (1 << 18)]
+                    which = np.repeat(np.arange(start, start + len(n)), n)
+                    nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                    i, j = first[u[which]] + nth // count[v[which]], first[v[which]] + nth % count[v[which]]
+                    on = (i < j) & ((side[i] == 0) | (side[i] != side[j]))
+                    i, j = i[on], j[on]
+                    d = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
+                    edges.append(np.stack((i, j, d))[:, d <= most])
+            a, b = forest(len(block), *np.concatenate(edges, axis=1))
+            if len(a):
+                yield pa.record_batch([pa.array(np.minimum(cls[a], cls[b])), pa.array(np.maximum(cls[a], cls[b]))], schema=schema)
+
+    return run
+
+
+def similar_pairs(scratch: Scratch, classes: DataFrame, similarity: float = 0.8, words: int = 4, groups: int = 36, key_bits: int = 16, most: int = 1 << FREE_BITS, seed: int = 17) -> DataFrame:
+    """Candidate links (a, b) of classes (cls, fp array<long>): of each trie a minimum spanning forest over the pairs near enough.
+
+    Every fingerprint is in one trie for each of groups random groups of key_bits bits. A trie of more than most
+    fingerprints is cut into parts, and each pair of parts is walked as a trie of its own, so none is left out.
+    """
+    draw = random.Random(seed)
+    masks = [(g % words, sum(1 << b for b in draw.sample(range(64), key_bits))) for g in range(groups)]
+    keys = [F.struct(F.lit(k).alias("word"), F.xxhash64(F.lit(g), F.col("fp")[k].bitwiseAND(F.lit(_signed(m)))).alias("key")) for g, (k, m) in enumerate(masks)]
+    keyed = classes.select("cls", F.explode(F.array(*keys)).alias("k")).select("k.key")
+    large = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most), "large-tries")
+    rows = classes.select("cls", "fp", F.explode(F.array(*keys)).alias("k")).select("cls", "fp", "k.word", "k.key")
+    none = large.isEmpty()
+    rows = rows.withColumn("size", F.lit(None).cast("long")) if none else rows.join(broadcast_if_small(large), "key", "left")
+    parts = F.when(F.col("size").isNull(), 1).otherwise(F.ceil(2 * F.col("size") / most)).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(low == high, 0).otherwise(F.when(F.col("part") == low, 1).otherwise(2)).cast("int")
+    blocks = rows.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("block"), "cls", "word", side.alias("side"), "fp")
+    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(words, reach(64, similarity), reach(64 * words, similarity)), "a long, b long")
+    return found.distinct()
+
+
+def representatives(scratch: Scratch, docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4) -> DataFrame:
+    """(doc_id, tie, rows): of each group of near copies in docs (doc_id, text) the smallest, and how many rows are equal to it.
+
+    Two texts are linked if their sets of word shingles have at least that Jaccard similarity, or equal fingerprints;
+    groups are what links reach. Letters A-Z count as a-z. Rows without a doc_id are in no group and are not returned;
+    texts without words are copies of each other. tie is xxhash64(text), so rows that repeat a doc_id are told apart.
+    """
+    sk = scratch.table(sketches(docs, width, words), "sketches")
+    own = F.struct("doc_id", "tie").alias("own")
+    classes = sk.where("doc_id is not null").groupBy("fp").agg(F.min(own).alias("own")).withColumn("cls", F.monotonically_increasing_id())
+    classes = scratch.table(classes, "classes")  # the numbers are fixed from here on
+    edges = scratch.table(similar_pairs(scratch, classes, similarity, words), "candidates")
+    ends = scratch.table(edges.select(F.col("a").alias("cls")).union(edges.select(F.col("b").alias("cls"))).distinct(), "ends")
+    wanted = ends.join(classes, "cls").select("cls", F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    texts = broadcast_if_small(wanted, 100_000).join(texts, ["doc_id", "tie"]).select("cls", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([np.unique(shingles(t.as_py(), width)).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["cls", "set"])
+
+    sets = scratch.table(texts.mapInArrow(in_batches(run, 256), "cls long, set array<long>").dropDuplicates(["cls"]), "shingles")
+    both = edges.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    links = both.select("a", "b", common.alias("c"), total.alias("t")).where(F.col("c") >= F.lit(similarity) * (F.col("t") - F.col("c"))).select("a", "b")
+    groups = connected_components(scratch, links)
+    named = classes.join(groups, F.col("cls") == F.col("node"), "left").groupBy(F.coalesce("component", "cls").alias("group")).agg(F.min("own").alias("own"))
+    first = named.select(F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie"))
+    return sk.groupBy("doc_id", "tie").agg(F.count("*").alias("rows")).join(first, ["doc_id", "tie"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, fresh
 
 WHITE = "\t\n\x0b\f\r "
 
@@ -23,12 +23,17 @@ def _stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def boilerplate(scratch: Scratch, pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, least: int = 3) -> DataFrame:
+def host_of(url: Column) -> Column:
+    """The host that a URL names, in lower case; null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
+
+
+def boilerplate(scratch: Scratch, pages: DataFrame, host: str | Column, text: str = "text", ratio: float = 0.1, least: int = 3) -> DataFrame:
     """(host, lines array<struct<h,g>>): each host's lines that are on more than ratio of its pages and on least pages.
 
     Lines are compared without white space at their ends; blank lines never count. A null host is a host of its own.
     """
-    src = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
+    src = pages.select((F.col(host) if isinstance(host, str) else host).alias("host"), F.col(text).alias("text"))
     lines = F.array_distinct(F.transform(F.split("text", "\n"), _stripped))
     counts = src.select("host", F.explode(F.filter(lines, lambda x: x != "")).alias("line")).select("host", _digest(F.col("line")).alias("line"))
     common = counts.groupBy("host", "line.h", "line.g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -39,19 +44,22 @@ def boilerplate(scratch: Scratch, pages: DataFrame, host: str, text: str = "text
     return scratch.table(over.groupBy("host").agg(F.collect_list(F.struct("h", "g")).alias("lines")), "boilerplate")
 
 
-def drop_boilerplate(scratch: Scratch, pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least: int = 3) -> DataFrame:
+def drop_boilerplate(scratch: Scratch, pages: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = 0.1, least: int = 3) -> DataFrame:
     """pages with the text cleaned, and n_lines and n_dropped added.
 
     A page that consists of boilerplate alone keeps its row with an empty text; a null text stays null with no lines.
     Repeated rows count as pages each. Other columns pass through, except that n_lines and n_dropped are replaced.
+    host: the column of the site, or an expression such as host_of(F.col("url")).
     """
-    src = pages.drop("n_lines", "n_dropped", "__bad", "__host")
-    bad = broadcast_if_small(boilerplate(scratch, src, host, text, ratio, least).select(F.col("host").alias("__host"), F.col("lines").alias("__bad")))
-    joined = src.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
+    src = pages.drop("n_lines", "n_dropped")
+    bad_, host_, kept_ = fresh(src, "__bad"), fresh(src, "__host"), fresh(src, "__kept")
+    bad = boilerplate(scratch, src, host, text, ratio, least).select(F.col("host").alias(host_), F.col("lines").alias(bad_))
+    bad = broadcast_if_small(bad, cells=F.size(bad_))
+    joined = src.join(bad, (F.col(host) if isinstance(host, str) else host).eqNullSafe(F.col(host_)), "left").drop(host_)
     split = F.split(text, "\n")
-    kept = F.when(F.col("__bad").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains(F.col("__bad"), _digest(_stripped(x)))))
-    out = joined.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(F.when(F.col(text).isNotNull(), split)), F.lit(0)).cast("long"))
+    kept = F.when(F.col(bad_).isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains(F.col(bad_), _digest(_stripped(x)))))
+    out = joined.withColumn(kept_, kept).withColumn("n_lines", F.coalesce(F.size(F.when(F.col(text).isNotNull(), split)), F.lit(0)).cast("long"))
     out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-    cleaned = F.when(F.col("n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))
-    return out.withColumn(text, cleaned).drop("__kept", "__bad")
+    out = out.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size(kept_)).cast("long"))
+    cleaned = F.when(F.col("n_dropped") > 0, F.array_join(kept_, "\n")).otherwise(F.col(text))
+    return out.withColumn(text, cleaned).drop(kept_, bad_)

@@ -35,7 +35,7 @@ def slots(token: str) -> tuple[int, int]:
         shape = token
         for p, r in _SHAPE:
             shape = p.sub(r, shape)
-        shape = _RUNS.sub(r"\1", shape)[:12]
+        shape = _RUNS.sub(r"\1", shape)
         if len(_cache) > 300_000:
             _cache.clear()
         found = _cache[token] = (zlib.crc32(b"w" + token.encode("utf-8", "replace")) % DIM, zlib.crc32(b"s" + shape.encode("utf-8", "replace")) % DIM)
@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Ordinal:
 def classify(docs: DataFrame, model: Ordinal, least: float = 0.3) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of a grade of at least 1) and kept, of every row.
 
-    Null and empty texts have no words and are scored by that. Only doc_id and text are read.
+    Null and empty texts have no words and are scored by that. least: the tail probability from which a document is
+    kept. Only doc_id and text are read.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weights, thresholds = model.weights.astype(np.float32), model.thresholds

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import fresh, in_batches
 from .labelled import held_out, training_rows
 
 BEGINNINGS = (4, 5, 6, 7)
 KINDS = ("w", *map(str, BEGINNINGS))
+#: Steps of sureness of an entry; toxic documents below which an entry is seen seldom.
+SURE, SELDOM = 3, 8
 _EDGE = re.compile(r"^\W+|\W+$")
 #: Pattern voters; each votes toxic where its test holds.
 PATTERNS = {
@@ -69,20 +71,22 @@ class Toxicity:
 
     def score(self, text: str, memory: dict[str, tuple[int, ...]]) -> float:
         x = self.bias + sum(self.weights[k] for k in self.hits(text, memory))
-        if self.patterns.any():
-            x += float(self.patterns @ flags(text))
+        if (used := np.flatnonzero(self.patterns)).size:
+            x += float(self.patterns[used] @ flags(text, used))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def flags(text: str) -> np.ndarray:
-    n = max(1, len(text.split()))
-    return np.array([bool(test(text, n)) for test in PATTERNS.values()], float)
+def flags(text: str, which: np.ndarray | None = None) -> np.ndarray:
+    """Whether each pattern holds, of all or of those whose numbers which has."""
+    n, tests = max(1, len(text.split())), list(PATTERNS.values())
+    return np.array([bool(tests[k](text, n)) for k in (range(len(tests)) if which is None else which)], float)
 
 
-def induce(learn: DataFrame, size: int, surely: float) -> list[tuple[str, int, int]]:
-    """(entry, toxic documents, other documents) of the size entries that toxic documents of learn (text, y) have most distinctly.
+def induce(learn: DataFrame, surely: float) -> list[tuple[str, int, int]]:
+    """(entry, toxic documents, other documents) of all entries that toxic documents of learn (text, y) have distinctly more often.
 
     surely: nats of surprise that an entry must be worth; vocabularies are large, and words without meaning abound.
+    What is returned is bounded by the rows of learn, as each entry is in several of the toxic ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,23 +112,22 @@ def induce(learn: DataFrame, size: int, surely: float) -> list[tuple[str, int, i
     # Chernoff's bound: minus the log of the odds that chance alone gives an entry so many toxic documents
     surprise = t * F.log(t / ((t + o) * rate)) + F.when(o > 0, o * F.log(o / ((t + o) * (1 - rate)))).otherwise(0.0)
     best = counted.where((t > 0) & (t / (t + o) > 0.9)).withColumn("surprise", surprise).where(F.col("surprise") >= surely)
-    best = best.orderBy(F.col("surprise").desc(), "entry").select("entry", "toxic", "other").limit(size)
-    return [tuple(r) for r in best.collect()]
+    return [tuple(r) for r in best.orderBy(F.col("surprise").desc(), "entry").select("entry", "toxic", "other").collect()]
 
 
 def voters(lexicon: list[tuple[str, int, int]]) -> np.ndarray:
-    """Of each entry the number of its lexicon voter: by kind, and by how sure the entry is."""
-    return np.array([2 * KINDS.index(e[0]) + int(o <= 0.02 * t) for e, t, o in lexicon], int)
+    """Of each entry the number of its lexicon voter: by kind, and by how sure the entry is (seen seldom, impure, pure)."""
+    return np.array([SURE * KINDS.index(e[0]) + (0 if t < SELDOM else 1 + int(o <= 0.02 * t)) for e, t, o in lexicon], int)
 
 
 def votes(hits: list[set[int]], groups: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Rows by voters: 1 toxic, 0 clean, -1 none. Lexicons vote toxic on a hit, their opposites clean without one, patterns toxic."""
-    n = 2 * len(KINDS)
+    n = SURE * len(KINDS)
     hit = np.zeros((len(hits), n), bool)
     for row, h in enumerate(hits):
         if h:
             hit[row, groups[list(h)]] = True
-    none = ~hit.reshape(-1, len(KINDS), 2).any(2)
+    none = ~hit.reshape(-1, len(KINDS), SURE).any(2)
     return np.concatenate((np.where(hit, 1, -1), np.where(none, 0, -1), np.where(seen > 0, 1, -1)), 1)
 
 
@@ -135,7 +138,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarr
     what the class explains gets the weight 1 / (1 + its positive residual correlations).
     """
     prior = min(max(prior, 1e-3), 0.5)
-    toxic, clean = (v[:, : 2 * len(KINDS)] == 1).sum(1), (v == 0).sum(1)
+    toxic, clean = (v[:, : SURE * len(KINDS)] == 1).sum(1), (v == 0).sum(1)
     post = np.where(toxic > 0, 0.9, np.where(clean > 0, 0.02, prior)).astype(float)
     weight = np.ones(v.shape[1])
     odds = np.zeros((v.shape[1], 3))
@@ -159,8 +162,8 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarr
     return post, odds, weight
 
 
-def fit_linear(hits: list[set[int]], seen: np.ndarray, post: np.ndarray, size: int, steps: int = 300, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on soft labels; weights of entries (never below 0), of patterns, and the bias."""
+def fit_linear(hits: list[set[int]], seen: np.ndarray, post: np.ndarray, size: int, steps: int = 300, rate: float = 0.1, l2: float = 1e-5, l1: float = 2e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on soft labels; weights of entries (never below 0), of patterns (sparse by l1), and the bias."""
     owner = np.array([row for row, h in enumerate(hits) for _ in h], int)
     place = np.array([k for h in hits for k in h], int)
     x = np.zeros(size + len(PATTERNS) + 1)
@@ -173,16 +176,17 @@ def fit_linear(hits: list[set[int]], seen: np.ndarray, post: np.ndarray, size: i
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         x[:size] = np.maximum(x[:size], 0)
+        x[size:-1] = np.sign(x[size:-1]) * np.maximum(np.abs(x[size:-1]) - rate * l1, 0)
     return x[:size], x[size:-1], float(x[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, size: int = 4000, surely: float = 15.0) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, surely: float = 10.0) -> Toxicity:
     """Fit on at most about rows labelled documents that are not held out; without toxic ones every score is 0.
 
-    What reaches the driver is bounded by rows and size: the lexicon, and for each learning row its hits and patterns.
+    What reaches the driver is bounded by rows: the lexicon, and for each learning row its hits and patterns.
     """
     learn = training_rows(docs, labels, F.when(F.col("toxic").isNotNull(), (F.col("toxic") > 0).cast("int")), rows)
-    found = induce(learn, size, surely)
+    found = induce(learn, surely)
     if not found:
         return Toxicity()
     model = Toxicity({e: n for n, (e, _, _) in enumerate(found)})
@@ -198,7 +202,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, size: int = 40
     hits, seen = [set(sample["hits"][n]) for n in order], np.array([sample["flags"][n] for n in order], float)
     post, _, _ = label_model(votes(hits, voters(found), seen), float(np.mean(sample["y"])))
     model.weights, model.patterns, model.bias = fit_linear(hits, seen, post, len(found))
-    model.patterns[np.abs(model.patterns) < 0.05] = 0
     return model
 
 
@@ -218,7 +221,7 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame
 
 def keep_clean(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below threshold, with all their columns; texts are scored where they are, without a join."""
-    src = docs.withColumn("__scored", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    src = docs.withColumn(fresh(docs, "__scored"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, tuple[int, ...]] = {}

@@ -134,26 +134,27 @@ def test_pipeline_against_brute_force(spark, tables, tmp_path):
             text = x[1] if len(kept) == len(ls) else "\n".join(kept)
             x = (x[0], text, x[2], x[3], len(text))
         clean.append((*x[:4], None if x[1] is None else x[4]))
-    # near copies
-    known = sorted({(x[0], op10_simhash.fingerprint(x[1]) % 2**64) for x in clean if x[0] is not None})
-    first = {}
-    parent = {i: i for i, _ in known}
+    # near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more
+    known = sorted({(x[0], x[1]) for x in clean if x[0] is not None}, key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+    sets, parent = [set(op10_simhash.shingles(t, 5).tolist()) for _, t in known], list(range(len(known)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for n, (i, f) in enumerate(known):
-        for j, g in known[:n]:
-            if (f ^ g).bit_count() <= 2:
+    for i in range(len(known)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if x == y or len(x & y) >= 0.8 * len(x | y):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    kept = []
+    number, first, kept = {x: n for n, x in enumerate(known)}, set(), []
     for x in clean:
-        if x[0] is None or (find(x[0]) == x[0] and x[0] not in first):
-            first[x[0]] = 1
+        if x[0] is None or find(n := number[x[0], x[1]]) == n and n not in first:
+            first |= set() if x[0] is None else {n}
             kept.append(x)
+    assert len(clean) - len(kept) >= 30
     assert len(kept) < len(clean)
     # mix and tokens
     frame = spark.createDataFrame(kept, docs.schema)
@@ -169,10 +170,27 @@ def test_pipeline_against_brute_force(spark, tables, tmp_path):
     assert Counter((k[0], k[1]) for k in got.elements()) == want
 
 
+def test_rows_that_repeat_an_id(spark, tmp_path):
+    """Of ids 1, 3, 3, where one row 3 copies row 1, row 1 and the other row 3 stay; of equal rows one."""
+    text, other = "a text of some more than five words in all", "quite another text with some words of its own"
+    rows = [(1, text, "en", "a", 1), (3, text, "en", "a", 1), (3, other, "de", "b", 2), (3, other, "de", "b", 2), (None, text, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+def test_operators_with_clashing_columns(spark, tables):
+    docs, labels, _ = tables
+    more = docs.select("*", *[docs.doc_id.alias(c) for c in ("y", "id", "__id", "__scored", "toxic", "score")])
+    model = op8_toxicity.train(more, labels)
+    assert model.lexicon and op8_toxicity.keep_clean(more, model).columns == more.columns
+    assert op7_ordinal.classify(more, op7_ordinal.train(more, labels)).count() == docs.count()
+
+
 def test_stages_keep_the_columns(spark, tables, tmp_path):
     docs, labels, _ = tables
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    extra = docs.withColumn("size", docs.doc_id).withColumn("score", docs.doc_id).limit(50)
+    extra = docs.select("*", *[docs.doc_id.alias(c) for c in ("size", "score", "y", "id", "__id", "__scored", "__bad", "__kept", "row", "tie", "cls")]).limit(50)
     for frame in (extra, extra.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             frame = Scratch(spark, "t").table(stage(spark, frame, str(tmp_path)), name)

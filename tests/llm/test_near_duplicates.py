@@ -144,5 +144,64 @@ def test_forest_keeps_the_links_of_a_dense_group(spark, scratch):
     assert (have <= want).all() and have.sum() >= 0.99 * want.sum()
 
 
+def test_forest_of_labels_above_a_task(spark, scratch):
+    """Blocks of few vectors: Spark splits the labels first, and deals dense nodes in pairs of parts."""
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = np.zeros(len(rows), int)
+    for i, j in brute_links(rows):
+        want[i] += 1
+        want[j] += 1
+    for cells in (64 * 16, 20 * 16):
+        by = {x.vec_id: x for x in op4_forest.near_duplicates(scratch, df, leaf=16, cells=cells).collect()}
+        have = np.array([by[r[0]].n_links for r in rows])
+        assert (have <= want).all() and have.sum() >= 0.95 * want.sum()
+
+
+def brute_groups(texts, similarity=0.8):
+    sets = [set(op10_simhash.shingles(t, 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if (not sets[i] and not sets[j]) or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))]
+    return union(len(texts), links), links
+
+
+def test_representatives_of_near_copies(spark, scratch):
+    """Copies with a few words changed: nearly all at a Jaccard similarity of 0.8 or more go, and none below."""
+    r = random.Random(12)
+    texts = []
+    for n in range(120):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(40, 400))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for _ in range(r.randrange(1 + len(words) // 40)):
+                other[r.randrange(len(other))] = "changed"
+            texts.append(" ".join(other) if r.random() < 0.9 else " ".join(other).upper())
+    texts += ["", None, " \n", "one two", "ONE two", "one two three"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)] + [(None, texts[0]), (7, "another text under the same id here"), (7, texts[7])], "doc_id long, text string")
+    kept = {(x.doc_id, x.rows) for x in op10_simhash.representatives(scratch, docs).collect()}
+    root, _ = brute_groups(texts)
+    first = {n for n in range(len(texts)) if root[n] == n}
+    assert first <= {n for n, _ in kept}  # the smallest of a group always stays
+    dropped = len(texts) - len(first)
+    assert len({n for n, _ in kept} - first - {7}) <= 0.05 * dropped
+    assert op10_simhash.representatives(scratch, docs.limit(0)).count() == 0
+
+
+def test_representatives_in_small_tries(spark, scratch):
+    """One dense group, in tries cut into parts of few: the same groups as in large ones."""
+    r = random.Random(13)
+    words = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for n in range(150):
+        other = list(words)
+        other[r.randrange(200)] = f"x{n}"
+        rows.append((n, " ".join(other)))
+    sk = op10_simhash.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = sk.selectExpr("fp", "doc_id as cls")
+    for most in (16, 1024):
+        found = {x.node: x.component for x in connected_components(scratch, op10_simhash.similar_pairs(scratch, classes, most=most)).collect()}
+        assert len(found) == 150 and set(found.values()) == {0}
+
+
 def test_forest_of_empty_table(spark, scratch):
     assert op4_forest.near_duplicates(scratch, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
