@@ -2,12 +2,14 @@
 
 The normaliser inflates each monolithic file once, in chunks; every record becomes a member of its own, and a sidecar
 names its offset and length, so that any record can be read with one seek. At no time is more than one record held.
+Records of any type and origin are taken: field names are read without regard to case, and ids are kept as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,9 +20,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_batches
+from .common import Scratch, broadcast_if_small, in_batches
 
 CHUNK = 1 << 20
+_LENGTH = re.compile(rb"\r\ncontent-length[ \t]*:[ \t]*(\d+)[ \t]*\r\n", re.I)
+_PAGE = re.compile(r"<?urn:page:(-?\d+)>?")
 
 
 def record(kind: str, uri: str, record_id: str, date: str, digest: str, payload: bytes, length: int, refers_to: str | None) -> bytes:
@@ -42,10 +46,11 @@ def record(kind: str, uri: str, record_id: str, date: str, digest: str, payload:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one record."""
+    """Header fields, by name in lower case, and payload of one record. A line that starts with white space continues the one before."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]
+    fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+    return fields, rest[: int(fields["content-length"])]
 
 
 def split_records(stream, chunk: int = CHUNK) -> Iterator[bytes]:
@@ -67,8 +72,10 @@ def split_records(stream, chunk: int = CHUNK) -> Iterator[bytes]:
 def _complete(held: bytearray) -> Iterator[bytes]:
     at = 0
     while (end := held.find(b"\r\n\r\n", at)) >= 0:
-        start = held.find(b"\r\nContent-Length:", at, end + 2)
-        stop = end + 4 + int(held[start + 17 : held.index(b"\r\n", start + 2)]) + 4
+        length = _LENGTH.search(held, at, end + 2)
+        if length is None:
+            raise ValueError("a record has no Content-Length")
+        stop = end + 4 + int(length[1]) + 4
         if stop > len(held):
             break
         yield bytes(held[at:stop])
@@ -76,15 +83,17 @@ def _complete(held: bytearray) -> Iterator[bytes]:
     del held[:at]
 
 
-def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
+def revisits(scratch: Scratch, pages: DataFrame, least: int = 100) -> DataFrame:
     """pages (page_id, url, html) with payload digest and length, and refers_to for all but the first of equal payloads.
 
-    Only payloads of at least that many bytes are compared. A null page_id is never referred to; it is a response.
+    Only payloads of at least that many bytes are compared. A null page_id is never referred to; it is a response. Rows
+    that repeat both page_id and payload are responses each. The repeated digests are found without the payloads, and
+    where they are few the payloads are not shuffled to meet them.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     src = src.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     first = src.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    out = src.join(first, "digest", "left")
+    out = src.join(broadcast_if_small(scratch.table(first, "repeated-payloads"), 50_000), "digest", "left")
     return out.withColumn("refers_to", F.when((F.col("bytes") >= least) & (F.col("page_id") != F.col("first")), F.col("first"))).drop("first")
 
 
@@ -130,7 +139,7 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
 def normalise(scratch: Scratch, archives: DataFrame) -> DataFrame:
     """Rewrite each file of archives (path) with a gzip member a record and a sidecar index; (path, index) of each.
 
-    The index is a text of JSON lines: offset, length, page, type.
+    The index is a text of JSON lines: offset, length, id, type. A record has an id if the archive gave it one.
     """
     folder = scratch.path("normalised")
 
@@ -147,7 +156,7 @@ def normalise(scratch: Scratch, archives: DataFrame) -> DataFrame:
                         zipper = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = zipper.compress(data) + zipper.flush()
                         out.write(member)
-                        index.write((json.dumps({"offset": offset, "length": len(member), "page": fields["WARC-Record-ID"][10:-1], "type": fields["WARC-Type"]}) + "\n").encode())
+                        index.write((json.dumps({"offset": offset, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type")}) + "\n").encode())
                         offset += len(member)
                 yield pd.DataFrame({"path": [f"{folder}/{name}.warc.gz"], "index": [f"{folder}/{name}.idx"]})
 
@@ -157,12 +166,14 @@ def normalise(scratch: Scratch, archives: DataFrame) -> DataFrame:
 def read_archives(archives: DataFrame) -> DataFrame:
     """Per record of archives (path, index): page_id, payload_bytes, payload_digest, record_type, refers_to, offset.
 
-    Records are fetched by the offsets of the index. A response's length and digest are those of the payload read,
-    and a digest other than the header's is an error; a revisit, which has no payload, takes them from its header.
+    Records are fetched by the offsets of the index. Length and digest are those of the payload read, and a SHA-256 in
+    the header that differs is an error; a revisit, which has no payload, takes them from its header. Records whose id
+    is no page's, such as warcinfo, have a null page_id.
     """
 
-    def number(text: str) -> int | None:
-        return None if text == "None" else int(text)
+    def number(text: str | None) -> int | None:
+        found = _PAGE.fullmatch(text or "")
+        return int(found[1]) if found else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -175,11 +186,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         entry = json.loads(line)
                         stream.seek(entry["offset"])
                         fields, payload = parse(zlib.decompress(stream.read(entry["length"]), 31))
-                        said, kind = fields["WARC-Payload-Digest"][7:], fields["WARC-Type"]
-                        if kind == "response" and hashlib.sha256(payload).hexdigest() != said:
+                        said, kind = fields.get("warc-payload-digest", ""), fields.get("warc-type")
+                        said = said[7:] if said.lower().startswith("sha256:") else None
+                        own, size = hashlib.sha256(payload).hexdigest(), len(payload)
+                        if kind == "revisit":
+                            own, size = said, int(fields.get("x-payload-length", 0))
+                        elif said is not None and own != said and kind == "response" and "x-payload-length" in fields:
                             raise ValueError(f"{path}: the record at {entry['offset']} is damaged")
-                        size = len(payload) if kind == "response" else int(fields["X-Payload-Length"])
-                        rows.append((number(fields["WARC-Record-ID"][10:-1]), size, said, kind, number(fields["WARC-Refers-To"][10:-1]) if kind == "revisit" else None, entry["offset"]))
+                        rows.append((number(fields.get("warc-record-id")), size, own, kind, number(fields.get("warc-refers-to")), entry["offset"]))
                         if len(rows) == 5000:
                             yield _frame(rows)
                             rows = []

@@ -20,7 +20,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
-    archives = op2_warc.write_monolithic(scratch, op2_warc.revisits(_read(spark, sf_dir, "pages")))
+    archives = op2_warc.write_monolithic(scratch, op2_warc.revisits(scratch, _read(spark, sf_dir, "pages")))
     return op2_warc.read_archives(op2_warc.normalise(scratch, archives))
 
 
@@ -80,6 +80,4 @@ SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls)
        length(CASE WHEN len(ks) < len(ls) THEN array_to_string(ks, chr(10)) ELSE text END)::BIGINT AS kept_chars,
        md5(CASE WHEN len(ks) < len(ls) THEN array_to_string(ks, chr(10)) ELSE text END) AS kept_md5
 FROM kept""",
-    "op2_warc_normalise": None,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

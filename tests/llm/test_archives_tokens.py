@@ -16,7 +16,7 @@ def test_archives(spark, scratch):
     long = "é" * 100
     rows = [(5, "http://a b/\n", long, 1), (3, "u", long, 2), (9, None, long, 3), (1, "u", None, 4), (2, "u", "", 5), (4, "u", "short", 6), (6, "u", "short", 7), (7, "u", "z\r\n\r\nContent-Length: 3\r\n" * 99, 8), (None, "u", long, 9), (8, "u", "q" * 3_000_000, 10), (8, "u", "q" * 3_000_000, 10)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
-    archives = op2_warc.write_monolithic(scratch, op2_warc.revisits(pages), file_bytes=2000)
+    archives = op2_warc.write_monolithic(scratch, op2_warc.revisits(scratch, pages), file_bytes=2000)
     got = op2_warc.read_archives(op2_warc.normalise(scratch, archives)).collect()
     want = []
     for i, _, h, _ in rows:
@@ -26,7 +26,22 @@ def test_archives(spark, scratch):
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "response" if ref is None else "revisit", ref))
     key = lambda x: str(tuple(x)[:5])
     assert sorted(map(key, got)) == sorted(map(key, want))
-    assert spark.createDataFrame([], pages.schema).transform(lambda p: op2_warc.read_archives(op2_warc.normalise(scratch, op2_warc.write_monolithic(scratch, op2_warc.revisits(p))))).count() == 0
+    assert spark.createDataFrame([], pages.schema).transform(lambda p: op2_warc.read_archives(op2_warc.normalise(scratch, op2_warc.write_monolithic(scratch, op2_warc.revisits(scratch, p))))).count() == 0
+
+
+def test_archives_of_others(spark, scratch, tmp_path):
+    """warcinfo, request and metadata records, uuid ids, field names in any case, folded lines, a blank payload."""
+    def rec(kind, rid, payload, length="Content-length"):
+        return f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-RECORD-ID: {rid}\r\nX-Note: a\r\n  b: c\r\n{length}:{len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+    parts = [rec("warcinfo", "<urn:uuid:1>", b"software: x\r\n"), rec("request", "<urn:uuid:2>", b""), rec("response", "<urn:uuid:3>", b"HTTP/1.1 200 OK\r\n\r\nContent-Length: 9\r\n", "CONTENT-LENGTH"), rec("metadata", "<urn:uuid:4>", "é".encode() * 5000)]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "a.warc.gz").write_bytes(z.compress(b"".join(parts)) + z.flush())
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    done = op2_warc.normalise(scratch, archives)
+    got = sorted(op2_warc.read_archives(done).collect(), key=lambda x: x.offset)
+    assert [(x.record_type, x.payload_bytes, x.page_id) for x in got] == [("warcinfo", 13, None), ("request", 0, None), ("response", 38, None), ("metadata", 10000, None)]
+    assert got[3].payload_digest == hashlib.sha256("é".encode() * 5000).hexdigest()
 
 
 def test_records_of_one_or_many_members():
@@ -100,6 +115,19 @@ def test_random_texts_against_the_library():
     assert 0 < bpe.failed < bpe.proposed
 
 
+def test_long_words_and_line_ends_against_the_library():
+    """Runs of letters beyond the heap's bound, signs behind words, and every kind of white space around line ends."""
+    lib, r = Tokenizer.from_file(PATH), random.Random(9)
+    bpe, memo = op9_bpe.Speculator(PATH, PATTERN, remembered=300), op6_sstable.LibraryEncoder(PATH, remembered=300)
+    texts = ["".join(r.choice("abcdehinorst") for _ in range(n)) for n in (255, 256, 257, 3000, 60_000)] + ["aé" * 700, "ab" * 4000]
+    texts += ["".join(r.choice(["\n", " ", "\t", "\r", "\x85", "\x1c", "a", "bc", "it's", "!?", "_x", "7", "¿", "'"]) for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += ["\n", "\na", "a\n", "a\n\nb", " \n a", "a <|endoftext|>\nb", "x's", "x'", "x.'s"]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 150):
+        assert bpe.encode_all(texts[at : at + 150]) == want[at : at + 150]
+        assert [np.frombuffer(x, "<u4").tolist() for x in memo.encode_all(texts[at : at + 150])] == want[at : at + 150]
+
+
 def test_all_tokens_and_pairs():
     """Every token is the encoding of its bytes, and pairs_fit agrees with merging."""
     bpe, r = op9_bpe.Speculator(PATH, PATTERN), random.Random(4)

@@ -26,6 +26,16 @@ def test_boilerplate_lines(scratch, docs, rows):
     assert got == want
 
 
+def test_boilerplate_by_host(spark, scratch):
+    """Sites are hosts of URLs: a line is counted over the pages of one host, whatever its case, port or user."""
+    urls = ["http://A.example/1", "https://a.example:80/2", "http://u@a.EXAMPLE/3?x", "http://b.example/", None, "no url"]
+    rows = [(n, url, f"menu\nbody {n}", 1) for n, url in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, __bad int")
+    got = {x.page_id: x for x in op1_lines.drop_boilerplate(scratch, pages, op1_lines.host_of(pages.url), "html").collect()}
+    assert [got[n].html for n in range(6)] == ["body 0", "body 1", "body 2", "menu\nbody 3", "menu\nbody 4", "menu\nbody 5"]
+    assert got[0]["__bad"] == 1
+
+
 def test_boilerplate_of_empty_table(scratch, empty):
     assert op1_lines.drop_boilerplate(scratch, empty).count() == 0
 
