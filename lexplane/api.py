@@ -25,7 +25,7 @@ class Engine:
 
     def __init__(self, triples: DataFrame, docs: DataFrame, versions: DataFrame | None = None, enricher: Callable[[DataFrame], DataFrame] = rules.enrich):
         self.triples, self.docs, self.versions, self.enricher = triples, docs, versions, enricher
-        self.nodes = akn.nodes(docs)
+        self.nodes = akn.nodes(docs).persist()  # every call reads it several times; lost parts are parsed again
         self.spark: SparkSession = triples.sparkSession
 
     def ask(self, questions: DataFrame) -> DataFrame:

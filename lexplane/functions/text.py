@@ -161,7 +161,7 @@ def shorten(c: Column, names: dict[str, str]) -> Column:
     """An IRI with its namespace (by prefix in names) written as a prefix; the first that fits."""
     out = F.when(F.lit(False), c)
     for prefix, base in names.items():
-        out = out.when(c.startswith(base), F.concat(F.lit(prefix + ":"), F.substring(c, len(base) + 1, 1 << 20)))
+        out = out.when(c.startswith(base), F.concat(F.lit(prefix + ":"), F.substr(c, F.lit(len(base) + 1))))
     return out.otherwise(c)
 
 

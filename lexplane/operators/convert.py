@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from ..functions import text as T
 from .ordered import list_depths
 
 BLOCKS = "doc string, seg int, seg_title string, art int, pos int, token string, display string, heading string, container string, raw string, marker string, text string, line string, depth int"
+_ARROW = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.string()) for x in BLOCKS.split(", ")])
 NODES = "doc string, seg int, art int, ord int, eid string, parent string, tag string, num string, text string"
 
 
@@ -26,29 +30,38 @@ def blocks(entries: DataFrame, titles: DataFrame) -> DataFrame:
     art = F.when(F.col("is_bold"), a)
     lines = entries.join(titles, "doc").withColumns({"token": art["token"], "display": art["display"], "heading": art["heading"], "kind": c["kind"], "cnum": c["num"], "chead": c["heading"], "split": c["split"], "raw": m["raw"], "marker": m["token"], "rest": m["text"]})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, seg, number, art_no, first, container, pending = [], 0, 0, None, None, None, None
-        title = seg_title = pdf["title"].iloc[0]
-        for r in pdf.sort_values("pos").itertuples():
-            if r.kind is not None:
-                art_no, container = None, f"{r.kind} {r.cnum} {r.chead}".strip()
-                pending = r.chead if r.split else pending
-                continue
-            if r.token is not None:
-                if r.token == first and number:
-                    seg, number, container, first = seg + 1, 0, None, None
-                    seg_title, pending = pending or f"{title} Part {seg + 1}", None
-                first = r.token if first is None else first
-                art_no, number = number, number + 1
-                out.append((r.doc, seg, seg_title, art_no, r.pos, r.token, r.display, r.heading, container, None, None, None, None, 0))
-            elif art_no is None:
-                out.append((r.doc, seg, seg_title, None, r.pos, None, None, None, container, None, None, None, r.text, 0))
-            else:
-                out.append((r.doc, seg, seg_title, art_no, r.pos, None, None, None, container, r.raw, r.marker, r.rest, r.text, r.depth))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in BLOCKS.split(", ")])
-        return frame.astype({"art": "Int32"})
-
-    return lines.groupBy("doc").applyInPandas(fold, BLOCKS)
+    columns = ["doc", "pos", "title", "text", "depth", "token", "display", "heading", "kind", "cnum", "chead", "split", "raw", "marker", "rest"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines sorted by document; the state begins anew with each, and holds no more than a few names."""
+        doc = None
+        seg = number = 0
+        art_no = first = container = pending = title = seg_title = None
+        for b in batches:
+            out: list[tuple] = []
+            for d, pos, name, text, depth, token, display, heading, kind, cnum, chead, split, raw, marker, rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if d != doc:
+                    doc, seg, number, art_no, first, container, pending = d, 0, 0, None, None, None, None
+                    title = seg_title = name
+                if kind is not None:
+                    art_no, container = None, f"{kind} {cnum} {chead}".strip()
+                    pending = chead if split else pending
+                    continue
+                line = (None, None, None, container, None, None, None, text, 0)
+                if token is not None:
+                    if token == first and number:
+                        seg, number, container, first = seg + 1, 0, None, None
+                        seg_title, pending = pending or f"{title} Part {seg + 1}", None
+                    first = token if first is None else first
+                    art_no, number = number, number + 1
+                    line = (token, display, heading, container, None, None, None, None, 0)
+                elif art_no is not None:
+                    line = (None, None, None, container, raw, marker, rest, text, depth)
+                out.append((doc, seg, seg_title, art_no, pos, *line))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+    return lines.select(*columns).repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(fold, BLOCKS)
 
 
 def article_nodes(found: DataFrame) -> DataFrame:
@@ -57,11 +70,11 @@ def article_nodes(found: DataFrame) -> DataFrame:
     Lettered lines that follow a numbered one become a list, as the depths of their marks tell. A point's id has its
     mark, or its number in the list; a repeated one gets _2, _3, ...
     """
-    lines = found.where("art is not null and line is not null").withColumn("kind", C.marker_kind(F.col("raw"), F.col("marker")))
-    each = lines.groupBy("doc", "seg", "art").agg(F.array_sort(F.collect_list(F.struct("pos", "depth", "kind", "raw", "marker", T.normalize_space(F.col("text")).alias("text")))).alias("lines"))
-    each = each.withColumn("depths", list_depths(F.col("lines")))
-    heads = found.where("token is not null").select("doc", "seg", "art", "token", "display", "heading")
-    articles = heads.join(each, ["doc", "seg", "art"], "left")
+    lines = found.where("art is not null").withColumn("kind", C.marker_kind(F.col("raw"), F.col("marker")))
+    line = F.when(F.col("line").isNotNull(), F.struct("pos", "depth", "kind", "raw", "marker", T.normalize_space(F.col("text")).alias("text")))
+    head = F.max(F.when(F.col("token").isNotNull(), F.struct("token", "display", "heading")))
+    articles = lines.groupBy("doc", "seg", "art").agg(F.array_sort(F.collect_list(line)).alias("lines"), head.alias("head"))
+    articles = articles.select("doc", "seg", "art", "lines", "head.*").withColumn("depths", list_depths(F.col("lines")))
 
     def build(frames):
         for pdf in frames:

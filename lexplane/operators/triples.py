@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -83,6 +84,20 @@ def with_default(df: DataFrame, specific: DataFrame, on: Sequence[str], general:
     return df.join(a, list(on), "left").join(b, list(by), "left").withColumn(value, F.coalesce("__a", "__b", F.lit(default))).drop("__a", "__b")
 
 
+def from_ntriples(lines: DataFrame, base: str = "urn:x:") -> DataFrame:
+    """Triples of lines (value) of N-Triples, as to_ntriples() writes them; comments and blank lines are left out."""
+    iri = rf"<{re.escape(base)}([^>]*)>"
+    pattern = rf'^\s*{iri}\s+{iri}\s+(?:{iri}|"((?:[^"\\]|\\.)*)"(?:\^\^<http://www\.w3\.org/2001/XMLSchema#([^>]*)>)?)\s*\.\s*$'
+    part = lambda n: F.regexp_extract("value", pattern, n)
+    text, hole = part(4), "\ue000"  # a private character stands for the escaped backslash meanwhile
+    for escaped, plain in (("\\\\", hole), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), (hole, "\\")):
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    is_uri = F.col("value").rlike(rf"^\s*{iri}\s+{iri}\s+{iri}\s*\.")
+    kind = F.when(is_uri, "uri").otherwise("literal")
+    typed = F.when(is_uri, "").when(part(5) == "", "string").otherwise(part(5))
+    return lines.where(F.col("value").rlike(pattern)).select(part(1).alias("s"), part(2).alias("p"), F.when(is_uri, part(3)).otherwise(text).alias("o"), kind.alias("o_kind"), typed.alias("o_type"))
+
+
 def to_ntriples(triples: DataFrame, base: str = "urn:x:") -> DataFrame:
     """(value): a line of N-Triples for each triple, for write.text()."""
     iri = lambda c: F.concat(F.lit("<" + base), c, F.lit(">"))

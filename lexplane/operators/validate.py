@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +34,78 @@ def undefined_terms(defs: DataFrame, terms: DataFrame) -> DataFrame:
     return defs.join(known, ["doc", "refers_to"], "left_anti").select("doc", F.coalesce("eid", F.lit("(no-eId)")).alias("eid"))
 
 
-def report(nodes: DataFrame) -> DataFrame:
-    """A row per document: duplicate_eids, missing_refs, bad_defs (sorted arrays), unmarked paragraphs, and valid."""
-    docs = nodes.select("doc").distinct()
-    ids = nodes.select("doc", "eid")
-    refs = nodes.where("tag = 'ref'").select("doc", F.col("attrs")["href"].alias("href"))
-    defs = nodes.where("tag = 'def'").select("doc", "eid", F.col("attrs")["refersTo"].alias("refers_to"))
-    terms = nodes.where("tag = 'TLCTerm'").select("doc", "eid")
-    lists = lambda df, c, name: df.groupBy("doc").agg(F.array_sort(F.collect_set(c)).alias(name))
-    out = docs.join(lists(duplicate_ids(ids), "eid", "duplicate_eids"), "doc", "left").join(lists(missing_refs(refs, ids), "href", "missing_refs"), "doc", "left").join(lists(undefined_terms(defs, terms), "eid", "bad_defs"), "doc", "left")
-    out = out.join(nodes.groupBy("doc").agg(F.count_if(F.col("eid").contains("para_unmarked")).alias("unmarked")), "doc")
-    arrays = ["duplicate_eids", "missing_refs", "bad_defs"]
-    out = out.select("doc", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in arrays], "unmarked")
-    return out.withColumn("valid", (F.size("duplicate_eids") + F.size("missing_refs") + F.size("bad_defs")) == 0)
+LEVELS = {"work": "FRBRWork", "expr": "FRBRExpression", "mani": "FRBRManifestation"}
+#: By level, the author's reference and role.
+AUTHORS = {"work": ("#wipo", "#author"), "expr": ("#wipo", "#author"), "mani": ("#johnbruene", "#editor")}
+
+
+def _meta_issues(meta: Column) -> Column:
+    """Issues of a document's metadata, from meta: its elements as array<struct<pre, parent, tag, attrs>> in document order."""
+    first = lambda test: F.get(F.filter(meta, test), F.lit(0))
+    of_tag = lambda tag: first(lambda x: x["tag"] == tag)
+    inside = lambda at, tag: first(lambda x: (x["tag"] == tag) & (x["parent"] == at))
+    found = {(level, child): inside(of_tag(tag)["pre"], child) for level, tag in LEVELS.items() for child in ("FRBRuri", "FRBRthis", "FRBRauthor", "FRBRcountry")}
+    issue = lambda bad, text: F.when(F.coalesce(bad, F.lit(True)), F.lit(text))
+    value = lambda level, child: F.coalesce(found[level, child]["attrs"]["value"], F.lit(""))
+    out = []
+    for level, tag in LEVELS.items():
+        uri, this = value(level, "FRBRuri"), value(level, "FRBRthis")
+        out += [issue(~has_form(uri, f"{level}_uri"), f"{tag}/FRBRuri has a wrong form"), issue(~has_form(this, f"{level}_this"), f"{tag}/FRBRthis has a wrong form")]
+        out.append(issue((uri != "") & (this != "") & (this != F.concat(uri, F.lit("/!main"))), f"{tag}/FRBRthis is not FRBRuri and /!main"))
+        author, (href, role) = found[level, "FRBRauthor"], AUTHORS[level]
+        out.append(issue(author.isNull(), f"{tag}/FRBRauthor is missing"))
+        for name, wanted in (("href", href), ("as", role)):
+            out.append(F.when(author.isNotNull(), issue(author["attrs"][name] != wanted, f"{tag}/FRBRauthor@{name} is not {wanted}")))
+    out.append(issue(found["work", "FRBRcountry"]["attrs"]["value"] != "un", "FRBRcountry is not un"))
+    for tag in ("identification", "references"):
+        el = of_tag(tag)
+        out += [issue(el.isNull(), f"{tag} is missing"), F.when(el.isNotNull(), issue(el["attrs"]["source"] != "#wipo", f"{tag}@source is not #wipo"))]
+    out.append(issue(of_tag("publication").isNull(), "publication is missing"))
+    return F.array_compact(F.array(*out))
+
+
+def report(nodes: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """A row per document: duplicate_eids, missing_refs, bad_defs, frbr_issues, unmarked (arrays), schema_errors, and valid.
+
+    All lists come from one pass over the nodes, grouped by document, which was one text in memory before. A document
+    is valid if all lists are empty. schema (doc, schema_errors) has what a schema processor found, if one was run.
+    """
+    tag, attrs = F.col("tag"), F.col("attrs")
+    meta = tag.startswith("FRBR") | tag.isin("identification", "references", "publication")
+    lists = nodes.groupBy("doc").agg(
+        F.array_sort(F.collect_list("eid")).alias("ids"),
+        F.collect_set(F.when(tag == "ref", attrs["href"])).alias("refs"),
+        F.collect_list(F.when(tag == "def", F.struct("pre", F.coalesce("eid", F.lit("(no-eId)")).alias("eid"), attrs["refersTo"].alias("to")))).alias("defs"),
+        F.collect_set(F.when(tag == "TLCTerm", F.concat(F.lit("#"), "eid"))).alias("terms"),
+        F.array_sort(F.collect_list(F.when(meta, F.struct("pre", "parent", "tag", F.struct(*[attrs[k].alias(k) for k in ("value", "href", "as", "source")]).alias("attrs"))))).alias("meta"),
+    )
+    targets = F.transform(F.array_distinct("ids"), lambda x: F.concat(F.lit("#"), x))
+    lists = lists.select(
+        "doc",
+        F.array_distinct(F.filter("ids", lambda x, i: (i > 0) & (x == F.get("ids", i - 1)))).alias("duplicate_eids"),
+        F.array_sort(F.array_except(F.filter("refs", lambda x: x.startswith("#")), targets)).alias("missing_refs"),
+        F.array_sort(F.array_distinct(F.transform(F.filter("defs", lambda x: ~F.coalesce(F.array_contains("terms", x["to"]), F.lit(False))), lambda x: x["eid"]))).alias("bad_defs"),
+        _meta_issues(F.col("meta")).alias("frbr_issues"),
+        F.filter(F.array_distinct("ids"), lambda x: x.contains("para_unmarked")).alias("unmarked"),
+    )
+    none = F.array().cast("array<string>")
+    if schema is None:
+        lists = lists.withColumn("schema_errors", none)
+    else:
+        lists = lists.join(schema.select("doc", "schema_errors"), "doc", "left").withColumn("schema_errors", F.coalesce("schema_errors", none))
+    empty = [F.size(c) == 0 for c in ("duplicate_eids", "missing_refs", "bad_defs", "frbr_issues", "unmarked", "schema_errors")]
+    return lists.withColumn("valid", reduce(Column.__and__, empty))
+
+
+def as_json(reports: DataFrame) -> DataFrame:
+    """(value): a JSON object for each report, for write.text()."""
+    return reports.select(F.to_json(F.struct(*reports.columns)).alias("value"))
+
+
+def console(summaries: DataFrame) -> DataFrame:
+    """summary()'s row with the line to print and the exit code: 0 if all are valid."""
+    line = F.format_string("%d files: %d valid, %d invalid", "total_files", "valid_files", "invalid_files")
+    return summaries.select("*", line.alias("line"), F.when(F.col("invalid_files") == 0, 0).otherwise(1).alias("exit_code"))
 
 
 def summary(reports: DataFrame) -> DataFrame:

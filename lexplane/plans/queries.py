@@ -194,9 +194,9 @@ def norm_space(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(n.cast("binary")).alias("norm_md5"), F.length(n).cast("long").alias("norm_length"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 80)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')) AS slug_md5 FROM documents")
 def slug(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.slug(F.col("text")).cast("binary")).alias("slug_md5"))
 
 
 _K = "p_partkey % 8"
@@ -258,14 +258,20 @@ def sub_refs(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(C.sub_refs(_ref()), ",").alias("subs"))
 
 
-@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN false ELSE p_partkey % 4 = 2 END AS fits FROM part""")
+_LABEL = r"(?i)^(?:articles?|artikel|art\.?|sections?|sec\.?|s\.|§)\s*"
+_FITS = r"({a} = {b} OR (starts_with({b}, {a}) AND NOT regexp_matches(substr({b}, length({a}) + 1, 1), '^[\p{{L}}\p{{N}}]')))"
+
+
+@query(rf"""WITH p AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 9 AS n, p_partkey % 8 AS k, CASE p_partkey % 4 WHEN 0 THEN '§ ' || p_size WHEN 1 THEN 'Art. ' || p_size WHEN 2 THEN 'L' || p_size || '-' || (p_partkey % 9) ELSE 's. ' || p_size END AS q0, p_name FROM part),
+r AS (SELECT id, CASE WHEN k = 5 THEN 'L' || s || '-' || n ELSE q0 END AS q, CASE k WHEN 0 THEN q0 WHEN 1 THEN q0 || '0' WHEN 2 THEN 'Article ' || s WHEN 3 THEN q0 || ' ' || p_name WHEN 4 THEN 'Section ' || s || 'a' WHEN 5 THEN 'L. ' || s || '-' || n WHEN 6 THEN s || '-' || n ELSE '' END AS c FROM p),
+x AS (SELECT *, regexp_replace(q, '[\s.]', '', 'g') AS q2, regexp_replace(c, '[\s.]', '', 'g') AS c2, regexp_replace(regexp_replace(trim(q), '{_LABEL}', ''), '[\s.]', '', 'g') AS q3, regexp_replace(regexp_replace(trim(c), '{_LABEL}', ''), '[\s.]', '', 'g') AS c3 FROM r)
+SELECT id, q <> '' AND c <> '' AND ({_FITS.format(a='q', b='c')} OR {_FITS.format(a='q2', b='c2')} OR (q3 <> '' AND {_FITS.format(a='q3', b='c3')})) AS fits FROM x""")
 def refs_match(spark, d):
-    k, q, s = F.col("p_partkey") % 6, C.norm_ref(_ref()), F.col("p_size").cast("string")
-    bare = F.regexp_replace(C.without_label(q), " ", "")
-    other = F.when(k == 0, q).when(k == 1, F.concat(q, F.lit("0"))).when(k == 2, F.concat(F.lit("Article "), bare)).when(k == 3, F.concat(q, F.lit(" Allgemeines"))).when(k == 4, F.lit("Article 999")).otherwise(F.concat(F.lit("L. "), s, F.lit("-"), (F.col("p_partkey") % 9).cast("string"), F.lit(" x")))
-    pairs = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), q.alias("q"), F.regexp_replace(other, " x$", "").alias("other"))
-    fits = F.when((F.col("id") % 6 == 5) & (F.col("id") % 4 != 2), F.lit(False)).otherwise(C.refs_match(F.col("q"), F.col("other")))
-    return pairs.select("id", fits.alias("fits"))
+    k, s, n = F.col("p_partkey") % 8, F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string")
+    q0, c = C.norm_ref(_ref()), F.concat
+    q = F.when(k == 5, c(F.lit("L"), s, F.lit("-"), n)).otherwise(q0)
+    other = F.when(k == 0, q0).when(k == 1, c(q0, F.lit("0"))).when(k == 2, c(F.lit("Article "), s)).when(k == 3, c(q0, F.lit(" "), F.col("p_name"))).when(k == 4, c(F.lit("Section "), s, F.lit("a"))).when(k == 5, c(F.lit("L. "), s, F.lit("-"), n)).when(k == 6, c(s, F.lit("-"), n)).otherwise("")
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), C.refs_match(q, other).alias("fits"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN CASE WHEN p_partkey % 3 = 0 THEN p_size || 'bis' ELSE 'IV' END END AS display, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS heading, CASE WHEN p_partkey % 3 = 2 THEN 'chapter' END AS container FROM part")
@@ -349,14 +355,14 @@ def lookahead(spark, d):
 
 
 _IDS = "SELECT 'doc_' || (event_id % 50) AS doc, user_id || '_' || event_type AS eid FROM events"
-_REFS = "SELECT 'doc_' || (event_id % 50) AS doc, '#' || (user_id + 1) || '_' || event_type AS href FROM events WHERE event_id % 3 = 0"
+_REFS = "SELECT 'doc_' || (event_id % 50) AS doc, '#' || (user_id + 1) || '_' || event_type AS href FROM events"
 
 
 def _ids_refs(spark, d):
     e = _t(spark, d, "events")
     doc = F.concat(F.lit("doc_"), (F.col("event_id") % 50).cast("string")).alias("doc")
     ids = e.select(doc, F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("eid"))
-    return ids, e.where("event_id % 3 = 0").select(doc, F.concat(F.lit("#"), (F.col("user_id") + 1).cast("string"), F.lit("_"), "event_type").alias("href"))
+    return ids, e.select(doc, F.concat(F.lit("#"), (F.col("user_id") + 1).cast("string"), F.lit("_"), "event_type").alias("href"))
 
 
 @query(f"SELECT doc, eid, count(*)::BIGINT AS n FROM ({_IDS}) GROUP BY doc, eid HAVING count(*) > 1")
@@ -402,7 +408,7 @@ def passage_text(spark, d):
 
 @query("SELECT 'part_' || p_partkey AS doc, 'Art. 1(2)(a) InfoSoc' AS ref, CASE WHEN p_partkey % 5 = 0 THEN 'art_1__para_2__point_a' ELSE 'art_1__para_2__point_a' END AS eid FROM part UNION ALL SELECT 'part_' || p_partkey, p_size || 'bis LDA', 'art_2' FROM part UNION ALL SELECT 'part_' || p_partkey, 'Art. 99', '' FROM part")
 def locate_citation(spark, d):
-    found = _akn(spark, d)
+    found = _akn(spark, d).persist()  # read several times below
     part = _t(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), F.explode(F.array(F.lit("Art. 1(2)(a) InfoSoc"), F.concat(F.col("p_size").cast("string"), F.lit("bis LDA")), F.lit("Art. 99"))).alias("ref"))
     return locate.find(part, found)
 
@@ -412,15 +418,42 @@ def frbr_fields(spark, d):
     return akn.frbr(_akn(spark, d)).select("doc", "work_uri", "this", "eli", "in_force", "point_in_time", "authoritative")
 
 
-@query("SELECT 'part_' || p_partkey AS doc, CASE WHEN p_partkey % 5 = 0 THEN 'art_1__para_1' ELSE '' END AS duplicate_eids, CASE WHEN p_partkey % 7 = 0 THEN '#art_9' ELSE '' END AS missing_refs, CASE WHEN p_partkey % 3 = 0 THEN 'def_1' ELSE '' END AS bad_defs, p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 AS valid FROM part")
+def _filed(spark, d):
+    """A treaty for each part, with all its metadata; every seventh or so has one of six faults."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    c, fault = F.concat, lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    work, date = c(F.lit("/akn/un/act/treaty/wipo/1971-01-01/t"), s), F.lit("1971-01-01")
+    expr = c(work, F.lit("/eng@"), date)
+    mani = c(expr, F.lit(".xml"))
+    level = lambda tag, uri, this, author, more="": c(F.lit(f'<{tag}><FRBRthis value="'), this, F.lit('"/><FRBRuri value="'), uri, F.lit('"/>'), author, F.lit(f"{more}</{tag}>"))
+    by = lambda href, role: F.lit(f'<FRBRauthor href="{href}" as="{role}"/>')
+    main = F.lit("/!main")
+    xml = c(
+        F.lit('<akomaNtoso><act name="a"><meta><identification source="'), fault(19, "#else", "#wipo"), F.lit('">'),
+        level("FRBRWork", work, c(work, fault(13, "/main", "/!main")), by("#wipo", "#author"), '<FRBRcountry value="un"/>'),
+        level("FRBRExpression", expr, c(expr, main), fault(11, "", '<FRBRauthor href="#wipo" as="#author"/>')), level("FRBRManifestation", mani, c(mani, main), by("#johnbruene", "#editor")),
+        F.lit('</identification><publication/><references source="#wipo">'), fault(3, "", '<TLCTerm eId="term_x" href="/t" showAs="x"/>'), F.lit('</references></meta><body><article eId="art_1"><num>Article 1</num><paragraph eId="art_1__para_1"><content><p><def eId="def_1" refersTo="#term_x">x</def> of <ref href="#'),
+        fault(7, "art_9", "art_2"), F.lit('">Article 2</ref> and <ref href="http://else">else</ref></p></content></paragraph><paragraph eId="'), fault(5, "art_1__para_1", "art_1__para_2"), F.lit('"/></article><article eId="art_2"><paragraph eId="'), fault(17, "art_2__para_unmarked_1", "art_2__para_1"), F.lit('"/></article></body></act></akomaNtoso>'),
+    )
+    return akn.nodes(_t(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")))
+
+
+_VALID = "p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 19 <> 0"
+_REPORT = f"""SELECT 'part_' || p_partkey AS doc, CASE WHEN p_partkey % 5 = 0 THEN 'art_1__para_1' ELSE '' END AS duplicate_eids, CASE WHEN p_partkey % 7 = 0 THEN '#art_9' ELSE '' END AS missing_refs, CASE WHEN p_partkey % 3 = 0 THEN 'def_1' ELSE '' END AS bad_defs,
+concat_ws(',', CASE WHEN p_partkey % 13 = 0 THEN 'FRBRWork/FRBRthis has a wrong form,FRBRWork/FRBRthis is not FRBRuri and /!main' END, CASE WHEN p_partkey % 11 = 0 THEN 'FRBRExpression/FRBRauthor is missing' END, CASE WHEN p_partkey % 19 = 0 THEN 'identification@source is not #wipo' END) AS frbr_issues,
+CASE WHEN p_partkey % 17 = 0 THEN 'art_2__para_unmarked_1' ELSE '' END AS unmarked, {_VALID} AS valid FROM part"""
+
+
+@query(_REPORT)
 def valid_report(spark, d):
-    out = validate.report(_akn(spark, d))
-    return out.select("doc", *[F.array_join(c, ",").alias(c) for c in ("duplicate_eids", "missing_refs", "bad_defs")], "valid")
+    out = validate.report(_filed(spark, d))
+    return out.select("doc", *[F.array_join(c, ",").alias(c) for c in ("duplicate_eids", "missing_refs", "bad_defs", "frbr_issues", "unmarked")], "valid")
 
 
-@query("SELECT count(*)::BIGINT AS total_files, count(*) FILTER (WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 <> 0)::BIGINT AS valid_files, count(*) FILTER (WHERE NOT (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 <> 0))::BIGINT AS invalid_files FROM part")
+@query(f"""WITH s AS (SELECT count(*)::BIGINT AS total_files, count(*) FILTER (WHERE {_VALID})::BIGINT AS valid_files, count(*) FILTER (WHERE NOT ({_VALID}))::BIGINT AS invalid_files FROM part)
+SELECT *, total_files || ' files: ' || valid_files || ' valid, ' || invalid_files || ' invalid' AS line, CASE WHEN invalid_files = 0 THEN 0 ELSE 1 END AS exit_code FROM s""")
 def valid_summary(spark, d):
-    return validate.summary(validate.report(_akn(spark, d)))
+    return validate.console(validate.summary(validate.report(_filed(spark, d))))
 
 
 @query(f"SELECT page_id, {_SPACE.format(chr(39).join(['regexp_replace(regexp_extract(html, ', '(?s)<h1[^>]*>(.*?)</h1>', ', 1), ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))} AS title FROM pages")
@@ -479,16 +512,20 @@ def text_distance(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.levenshtein(T.for_compare(F.col("p_name")), T.for_compare(F.col("p_type"))).cast("long").alias("distance"))
 
 
-@query()
+@query("""WITH x AS (SELECT p_partkey AS id, p_name AS a, CASE p_partkey % 4 WHEN 0 THEN p_name || ' and more' WHEN 1 THEN upper(p_name) || '  ' WHEN 2 THEN '' ELSE p_name END AS b FROM part),
+y AS (SELECT *, CASE WHEN b = '' THEN 0.0 ELSE 2.0 * length(a) / (length(a) + length(trim(b))) END::DOUBLE AS r FROM x)
+SELECT id, round(r, 6) AS similarity, (1 - r) * 100 > 1 AS reverted, CASE WHEN (1 - r) * 100 > 1 THEN a ELSE b END AS kept FROM y""")
 def similarity_check(spark, d):
-
-    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " and more").otherwise(" ")).alias("b"))
-    return rows.withColumn("similarity", enrich.similarity(F.col("a"), F.col("b"))).select("id", F.round("similarity", 6).alias("similarity"), ((1 - F.col("similarity")) * 100 > 1).alias("reverted"))
+    k, a = F.col("p_partkey") % 4, F.col("p_name")
+    b = F.when(k == 0, F.concat(a, F.lit(" and more"))).when(k == 1, F.concat(F.upper(a), F.lit("  "))).when(k == 2, "").otherwise(a)
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), a.alias("a"), b.alias("b"))
+    rows = rows.withColumn("similarity", enrich.similarity(F.col("b"), F.col("a")))
+    return rows.select("id", F.round("similarity", 6).alias("similarity"), ((1 - F.col("similarity")) * 100 > 1).alias("reverted"), enrich.guarded(F.col("b"), F.col("a"), F.col("similarity")).alias("kept"))
 
 
-@query("SELECT 'part_' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'rule_card' WHEN 1 THEN 'rights_list' ELSE 'yes_no_exception' END AS type, CASE WHEN p_size = 50 THEN 'Life of author + 50 years' ELSE p_size || ' years pma' END AS shown FROM part WHERE p_size NOT IN (7) AND contains(p_size::VARCHAR, '70') = false")
+@query("SELECT 'part_' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'rule_card' WHEN 1 THEN 'rights_list' ELSE 'yes_no_exception' END AS type, CASE WHEN p_size = 50 THEN 'Life of author + 50 years' ELSE p_size || ' years pma' END AS shown FROM part")
 def viz_spec(spark, d):
-    p = _t(spark, d, "part").where("p_size <> 7")
+    p = _t(spark, d, "part")
     rule = F.element_at(F.array(*map(F.lit, rules.CARDS)), (F.col("p_partkey") % 3 + 1).cast("int"))
     text = F.concat(F.col("p_size").cast("string"), F.lit(" years pma"))
     return p.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"), rules.card(rule).alias("type"), rules.display_value(T.duration_kind(text)).alias("shown"))

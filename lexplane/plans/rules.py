@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,11 +19,13 @@ def verdict(rules: DataFrame, years: str, baseline: Column) -> DataFrame:
 
 
 def compliance(triples: DataFrame, baseline_node: str = "ex:WIPO_berne_art7") -> DataFrame:
-    """A verdict for each jurisdiction of the graph against the baseline node's years."""
+    """A verdict for each jurisdiction of the graph against the baseline node's years; null verdicts if the graph has no such node."""
     arms = {"country_name": "legal:jurisdictionName", "code": "legal:jurisdiction", "years": "legal:durationYears", "text": "legal:durationLiterary"}
     found = G.star(triples, arms, {"article": "legal:articleRef", "path": "legal:localPath", "title": "legal:docTitle", "source_url": "legal:sourceUrl"})
-    base = found.where(F.col("s") == baseline_node).select(F.col("years").cast("bigint").alias("base"), F.col("country_name").alias("treaty_name"), F.col("article").alias("treaty_article"))
-    rules = found.where(F.col("s") != baseline_node).withColumn("years", F.col("years").cast("bigint")).crossJoin(F.broadcast(base.limit(1)))
+    here = F.col("s") == baseline_node
+    of = lambda c: F.min(F.when(here, c))
+    base = found.agg(of(F.col("years").cast("bigint")).alias("base"), of(F.col("country_name")).alias("treaty_name"), of(F.col("article")).alias("treaty_article"))  # always one row
+    rules = found.where(~here).withColumn("years", F.col("years").cast("bigint")).crossJoin(F.broadcast(base))
     return verdict(rules, "years", F.col("base")).drop("base")
 
 
@@ -98,6 +100,35 @@ def rights_list(triples: DataFrame) -> DataFrame:
     return G.objects(triples, "legal:hasRight", "right").groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("right")), ", ").alias("rights"))
 
 
+def fallback(params: DataFrame, records: DataFrame) -> DataFrame:
+    """params (code, rule) with the record that stands in for the graph: the code's own of that rule, else the rule's first, else blanks.
+
+    records (n, code, rule, answer, article) is a small constant relation; n is its order.
+    """
+    value = F.struct("answer", "article")
+    own = records.groupBy("code", "rule").agg(F.min_by(value, "n").alias("own"))
+    first = records.groupBy("rule").agg(F.min_by(value, "n").alias("first"))
+    out = params.join(F.broadcast(own), ["code", "rule"], "left").join(F.broadcast(first), "rule", "left")
+    found = F.coalesce("own", "first")
+    return out.select(*params.columns, F.coalesce(found["answer"], F.lit("")).alias("answer"), F.coalesce(found["article"], F.lit("")).alias("article"))
+
+
+def law_ids(nodes: DataFrame) -> DataFrame:
+    """(code, title, law): the laws of each jurisdiction's rule nodes (s, code, rule, title) as law_1, law_2, ... in the order of first use.
+
+    Rules come in the order of RULE_KEYS; within one, nodes by their name.
+    """
+    place = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(RULE_KEYS) for x in (r, n)]), F.col("rule"))
+    used = nodes.where("title <> ''").groupBy("code", "title").agg(F.min(F.struct(place.alias("place"), "s")).alias("first"))
+    n = F.row_number().over(Window.partitionBy("code").orderBy("first", "title"))
+    return used.select("code", "title", F.concat(F.lit("law_"), n.cast("string")).alias("law"))
+
+
+def query_text(code: Column) -> Column:
+    """The text of the graph query of a jurisdiction, for display."""
+    return F.concat(F.lit('SELECT ?s ?p ?o WHERE { ?s legal:jurisdiction "'), F.upper(F.trim(code)), F.lit('" . ?s ?p ?o } ORDER BY ?s ?p'))
+
+
 def vertices(nodes: DataFrame) -> DataFrame:
     """(id, label, type) of rule nodes (s, code, name, rule, title) and of the jurisdictions and laws they belong to."""
     country = nodes.select(F.concat(F.lit("country_"), "code").alias("id"), F.col("name").alias("label"), F.lit("country").alias("type"))

@@ -168,3 +168,58 @@ def test_treaties_and_terms(spark, tmp_path):
     marked = spark.createDataFrame([("d", 0, 0, "Broadcast", "term_broadcast"), ("d", 1, 0, "broadcast", "term_broadcast"), ("d", 2, 0, "Old", "term_old")], "doc string, pos int, start int, target string, term_eid string")
     terms = spark.createDataFrame([("d", "term_old", "Old")], "doc string, eid string, shown string")
     assert {(r.eid, r.shown) for r in enrich.upsert_terms(terms, marked).collect()} == {("term_old", "Old"), ("term_broadcast", "Broadcast")}
+
+
+def test_national_outlines_nest_by_depth():
+    """Provisions close deeper boxes only; boxes close those as deep; labels of items run on; odd tags are passed over."""
+    import xml.etree.ElementTree as ET
+
+    from lexplane.sources import national
+
+    nz = """<act act.no="1" year="2000"><cover><title>T</title></cover><body><prov><label>1</label></prov><part><label>1</label><heading>P</heading><subpart><label>2</label><crosshead>Cross</crosshead>
+<prov><label>2</label><prov.body><para><text>Lead</text><label-para><label>a</label><para><text>one</text><label-para><label>i</label><para><text>deep</text></para></label-para></para></label-para></para></prov.body></prov></subpart>
+<prov><label>3</label><heading>H</heading></prov></part><prov><label>4</label></prov><crosshead><heading>Last</heading></crosshead><prov><label>5</label></prov><prov><heading>no label</heading></prov></body></act>"""
+    local = lambda t: t.rsplit("}", 1)[-1]
+    root = ET.fromstring(national.new_zealand(nz))
+    up = {c: p for p in root.iter() for c in p}
+    around = {el.get("eId"): up[el].get("eId") for el in root.iter() if el.get("eId")}
+    assert around == {"sec_1": None, "part_1": None, "chapter_2": "part_1", "crossheading_1": "chapter_2", "sec_2": "crossheading_1", "sec_3": "chapter_2", "sec_4": "part_1", "crossheading_2": None, "sec_5": "crossheading_2"}
+    assert [("".join(e.itertext())) for e in root.iter() if local(e.tag) == "item"] == ["(a)one", "(a)(i)deep"]
+    ca = """<Statute pit-date="2020-01-01"><Identification/><Body><Heading level="1"><Label>PART I</Label></Heading><Heading level="2"><TitleText>Sub</TitleText></Heading><Section><Label>1</Label><Text>Lead</Text><Subsection><Label>(1)</Label><Text>own</Text><Paragraph><Label>(a)</Label><Text>x</Text></Paragraph></Subsection></Section>
+<Heading level="1"><TitleText>Other</TitleText></Heading><Section><Label>2</Label></Section></Body></Statute>"""
+    root = ET.fromstring(national.canada(ca))
+    up = {c: p for p in root.iter() for c in p}
+    around = {el.get("eId"): up[el].get("eId") for el in root.iter() if el.get("eId")}
+    assert around == {"part_i": None, "crossheading_1": "part_i", "sec_1": "crossheading_1", "sec_1__intro": "sec_1", "sec_1__subsec_1": "sec_1", "crossheading_2": None, "sec_2": "crossheading_2"}
+
+
+def test_reports(spark):
+    """Schema findings count, reports are JSON lines, and a bare document has every issue of metadata."""
+    import json
+
+    from lexplane.operators import validate
+
+    nodes = akn.nodes(spark.createDataFrame([("a", ACT), ("b", ACT)], "doc string, xml string"))
+    schema = spark.createDataFrame([("b", ["line 1"])], "doc string, schema_errors array<string>")
+    found = {r.doc: r for r in validate.report(nodes, schema).collect()}
+    assert found["a"].schema_errors == [] and found["b"].schema_errors == ["line 1"] and not found["a"].valid
+    assert len(found["a"].frbr_issues) == 13 and "publication is missing" in found["a"].frbr_issues
+    line = json.loads(validate.as_json(validate.report(nodes)).first().value)
+    assert line["doc"] in "ab" and line["valid"] is False
+    assert validate.console(validate.summary(validate.report(nodes))).first().exit_code == 1
+
+
+def test_triples_read_again(spark):
+    rows = [("s", "p", 'a "b"\n\\n\\', "literal", "string"), ("s", "p", "o", "uri", ""), ("s", "p", "5", "literal", "integer"), ("s", "q", "", "literal", "string")]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in G.COLUMNS))
+    lines = G.to_ntriples(df).union(spark.createDataFrame([("# note",), ("",)], "value string"))
+    assert sorted(tuple(r) for r in G.from_ntriples(lines).collect()) == sorted(rows)
+
+
+def test_baseline_and_fallback(spark, tmp_path):
+    g = graph(spark, tmp_path)
+    without = rules.compliance(g.where("s <> 'ex:WIPO_berne_art7'")).collect()
+    assert len(without) == 9 and all(r.compliant is None and r.baseline is None for r in without)
+    records = spark.createDataFrame([(1, "A", "r", "first", "1"), (2, "B", "r", "own", "2")], "n int, code string, rule string, answer string, article string")
+    asked = spark.createDataFrame([("B", "r"), ("C", "r"), ("A", "x")], "code string, rule string")
+    assert {(r.code, r.rule): r.answer for r in rules.fallback(asked, records).collect()} == {("B", "r"): "own", ("C", "r"): "first", ("A", "x"): ""}
