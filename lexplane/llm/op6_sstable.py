@@ -204,7 +204,7 @@ class LibraryEncoder(Memo):
     tokens tell where each piece ends.
     """
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 550_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -292,7 +292,7 @@ def write_shards(scratch: Scratch, docs: DataFrame, vocab_path: str, end_id: int
         if shard is not None:
             yield close()
 
-    return scratch.table(src.mapInArrow(in_batches(run, rows, text=1), "part long, seq long, path string, docs long, ids long"), "manifest")
+    return scratch.table(src.mapInArrow(in_batches(run, rows, text=1, most=8 << 20), "part long, seq long, path string, docs long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
