@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..api import Engine
 from ..functions import citations as C
 from ..functions import text as T
-from ..operators import convert, enrich, ordered, render
+from ..operators import assemble, convert, enrich, ordered, render
 from ..operators import triples as G
-from ..sources import facts, html
+from ..sources import akn, facts, html
 from . import rules
 from .queries import _TRIPLES, _customers, _nations, _t, _treaty, query
 
@@ -48,6 +48,23 @@ def facts_triples(spark, d):
     return _graph(spark, d).where(F.col("p").isin(used)).groupBy("p").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH d AS (SELECT n_nationkey AS n, rule, {_DOC.format("'x'")} <> '' AS has, CASE WHEN n_nationkey % 4 <> 0 THEN 'http://x/' || n_nationkey END AS url FROM nation, {_RULES}),
+x AS (SELECT n, CASE rule WHEN 'copyright duration' THEN 'duration' WHEN 'economic rights' THEN 'rights' ELSE 'exception' END AS node, unnest(['legal:sourceUrl', 'legal:frbrWorkUri', 'legal:eliUri', 'legal:pointInTime', 'legal:dateInForce', 'legal:isAuthoritative']) AS p,
+unnest([CASE WHEN has AND n % 3 = 0 THEN 'http://own/' || n ELSE url END, CASE WHEN has THEN '/akn/N' || n END, CASE WHEN has AND n % 5 = 0 THEN 'eli/' || n END, CASE WHEN has THEN '2020-01-01' END, CASE WHEN has THEN CASE WHEN n % 3 = 1 THEN '2019-01-01' ELSE '2020-01-01' END END, CASE WHEN has AND n % 3 = 2 THEN 'true' ELSE 'false' END]) AS o FROM d)
+SELECT 'ex:N' || n || '_' || node AS s, p, o, CASE p WHEN 'legal:pointInTime' THEN 'date' WHEN 'legal:dateInForce' THEN 'date' WHEN 'legal:isAuthoritative' THEN 'boolean' ELSE 'string' END AS o_type FROM x WHERE o IS NOT NULL""")
+def facts_metadata(spark, d):
+    """The facts' graph with the metadata of the documents: some name their page, some an earlier date in force, some are authentic."""
+    n, name, c = F.col("n_nationkey"), F.col("n_nationkey").cast("string"), F.concat
+    page = F.when(n % 3 == 0, c(F.lit('<FRBRalias name="sourceUri" value="http://own/'), name, F.lit('"/>'))).when(n % 3 == 1, '<FRBRdate date="2019-01-01" name="jolux:dateEntryInForce"/>').otherwise('<FRBRauthoritative value="true"/>')
+    eli = F.when(n % 5 == 0, c(F.lit('<FRBRalias name="eli" value="eli/'), name, F.lit('"/>'))).otherwise("")
+    date = F.when(n % 3 == 1, '<FRBRdate date="2020-01-01" name="pointInTime"/>').otherwise('<FRBRdate date="2020-01-01" name="jolux:dateEntryInForce"/>')
+    xml = c(F.lit('<akomaNtoso><act><meta><identification><FRBRWork><FRBRuri value="/akn/N'), name, F.lit('"/>'), page, eli, date, F.lit("</FRBRWork></identification></meta></act></akomaNtoso>"))
+    docs = _t(spark, d, "nation").select(c(F.lit("doc_"), name, F.lit(".xml")).alias("doc"), xml.alias("xml"))
+    out = facts.with_metadata(_graph(spark, d), akn.frbr(akn.nodes(docs)))
+    used = "legal:sourceUrl legal:frbrWorkUri legal:eliUri legal:pointInTime legal:dateInForce legal:isAuthoritative".split()
+    return out.where(F.col("p").isin(used)).select("s", "p", "o", "o_type")
+
+
 @query(f"SELECT count(*)::BIGINT AS triples, count(DISTINCT s)::BIGINT AS nodes, count(*) FILTER (WHERE o_kind = 'uri')::BIGINT AS links FROM ({_TRIPLES})")
 def graph_size(spark, d):
     t = G.as_set(_nations(spark, d).unionByName(_customers(spark, d)))
@@ -272,3 +289,25 @@ def render_by_span(spark, d):
     xml = F.concat(F.lit('<act><body><section eId="s1"><num>1</num><content><p>other</p></content></section><section eId="s2"><num>2</num><content><p>for '), s, F.lit(" years</p></content></section></body></act>"))
     span = F.when(k == 0, F.concat(s, F.lit(" years"))).otherwise("absent")
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), render.html(F.when(k < 2, xml), F.lit("none"), span).alias("html"))
+
+
+_FILED = [
+    '<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act name="treaty"><meta><identification source="#wipo"><FRBRWork><FRBRthis value="{w}/!main"/><FRBRuri value="{w}"/><FRBRdate date="{d}" name="adoption"/><FRBRauthor href="#wipo" as="#author"/><FRBRcountry value="un"/><FRBRsubtype value="treaty"/><FRBRnumber value="{k}" showAs="{k}"/></FRBRWork>',
+    '<FRBRExpression><FRBRthis value="{w}/eng@{d}/!main"/><FRBRuri value="{w}/eng@{d}"/><FRBRdate date="{d}" name="adoption"/><FRBRauthor href="#wipo" as="#author"/><FRBRlanguage language="eng"/></FRBRExpression><FRBRManifestation><FRBRthis value="{w}/eng@{d}.xml/!main"/><FRBRuri value="{w}/eng@{d}.xml"/><FRBRdate date="2020-02-03" name="generation"/>',
+    f'<FRBRauthor href="{assemble.AUTHORS["mani"][0]}" as="#editor"/></FRBRManifestation></identification><publication date="{{d}}" {assemble.PUBLICATION}/><references source="#wipo">{assemble.ORGANISATION}<TLCPerson eId="{assemble.AUTHORS["mani"][0][1:]}" href="/ontology/person/{assemble.AUTHORS["mani"][0][1:]}" showAs="The Editor"/></references></meta><preface><p><docTitle>{{t}}</docTitle></p></preface>',
+]
+_BODIES = [
+    '<preamble><p eId="preamble__p_1">The States, {n},</p><p eId="preamble__p_2">Preamble.</p></preamble><body><article eId="art_1"><num>Article 1</num><heading>Scope</heading><paragraph eId="art_1__para_1"><num>(1)</num><intro><p>First {s}:</p></intro><list eId="art_1__para_1__list_1"><point eId="art_1__para_1__list_1__point_a"><num>(a)</num><content><p>one</p></content></point><point eId="art_1__para_1__list_1__point_b"><num>(b)</num><content><p>two</p></content></point></list></paragraph><paragraph eId="art_1__para_2"><num>(2)</num><content><p>Second</p></content></paragraph></article>'
+    '<article eId="art_2"><num>Article 2</num><heading>Terms</heading><paragraph eId="art_2__para_1"><intro><p>Plain text.</p></intro><list eId="art_2__para_1__list_1"><point eId="art_2__para_1__list_1__point_1"><num>-</num><content><p>bullet</p></content></point></list></paragraph></article></body></act></akomaNtoso>',
+    '<body><article eId="art_1"><num>Article 1</num><heading>Again</heading><paragraph eId="art_1__para_1"><num>(1)</num><content><p>More</p></content></paragraph></article></body></act></akomaNtoso>',
+]
+
+
+@query(f"""WITH x AS (SELECT p_partkey, p_name, p_size, s.seg, CASE s.seg WHEN 0 THEN '1971-01-01' ELSE (1900 + p_size) || '-01-01' END AS d, CASE s.seg WHEN 0 THEN 'x' || p_size ELSE 'x' || p_size || '-additional-act' END AS k, CASE s.seg WHEN 0 THEN 'Treaty ' || p_name ELSE 'Additional Act' END AS t, CASE s.seg WHEN 0 THEN '{_BODIES[0]}' ELSE '{_BODIES[1]}' END AS body FROM part, (VALUES (0), (1)) s(seg))
+SELECT 'part_' || p_partkey AS doc, seg, substr(d, 1, 4) || '_' || k || '_clean.xml' AS file, replace(replace(replace(replace(replace(replace('{"".join(_FILED)}' || body, '{{w}}', '/akn/un/act/treaty/wipo/{{d}}/{{k}}'), '{{d}}', d), '{{k}}', k), '{{t}}', t), '{{n}}', p_name), '{{s}}', p_size::VARCHAR) AS xml FROM x""")
+def treaty_documents(spark, d):
+    """Each treaty's segments as whole documents."""
+    found = _treaty(spark, d).persist()  # the articles and the documents around them
+    size = F.col("p_size")
+    known = _t(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), F.concat(F.lit("x"), size.cast("string")).alias("short_name"), F.lit("treaty").alias("kind"), (size + 1900).alias("year"))
+    return assemble.documents(found, convert.article_nodes(found), known, F.lit("2020-02-03").cast("date"), "The Editor").select("doc", "seg", "file", "xml")

@@ -78,3 +78,20 @@ def triples(facts: DataFrame, documents: DataFrame) -> DataFrame:
     }
     parts.append(G.expand(facts.sparkSession.range(1), F.lit("ex:WIPO_berne_art7"), baseline))
     return G.as_set(G.union(parts))
+
+
+def with_metadata(graph: DataFrame, frbr: DataFrame) -> DataFrame:
+    """graph with what the documents at legal:localPath say of themselves; frbr: akn.frbr() of them, doc being the path.
+
+    A document's own locator replaces the source of the facts, and its word on being authentic the default. Rules
+    without a document keep their triples.
+    """
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    rules = graph.where("p = 'legal:localPath' and o <> ''").select("s", F.col("o").alias("doc")).join(frbr, "doc")
+    fields = {
+        "legal:sourceUrl": G.literal(said("source_uri")), "legal:frbrWorkUri": G.literal(said("work_uri")), "legal:frbrThis": G.literal(said("this")), "legal:eliUri": G.literal(said("eli")),
+        "legal:pointInTime": G.literal(said("point_in_time"), "date"), "legal:dateInForce": G.literal(said("in_force"), "date"), "legal:isAuthoritative": G.literal(F.col("authoritative"), "boolean"),
+    }
+    own = G.expand(rules, F.col("s"), fields)
+    replaced = own.where("p in ('legal:sourceUrl', 'legal:isAuthoritative')").select("s", "p")
+    return G.as_set(graph.join(replaced, ["s", "p"], "left_anti").select(*G.COLUMNS).unionByName(own))

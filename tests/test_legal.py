@@ -223,3 +223,25 @@ def test_baseline_and_fallback(spark, tmp_path):
     records = spark.createDataFrame([(1, "A", "r", "first", "1"), (2, "B", "r", "own", "2")], "n int, code string, rule string, answer string, article string")
     asked = spark.createDataFrame([("B", "r"), ("C", "r"), ("A", "x")], "code string, rule string")
     assert {(r.code, r.rule): r.answer for r in rules.fallback(asked, records).collect()} == {("B", "r"): "own", ("C", "r"): "first", ("A", "x"): ""}
+
+
+def test_documents_are_valid_and_read_again(spark, tmp_path):
+    """Chapters open and close around their articles, markup is escaped, and an assembled document has no finding."""
+    from lexplane.operators import assemble, convert, validate
+    from lexplane.sources import html
+
+    text = "<h1>A & B</h1><p>of May 2, 1980</p><p>Parties &lt;all&gt;</p><p>CHAPTER I : General</p><p><b>Article 1 : Scope</b></p><p>(1) a &amp; b</p><p><b>Article 2 : Terms</b></p><p>One</p><p>CHAPTER II</p><p><b>Article 3 : Last</b></p><p>(1) Lead</p><p>(a) x</p><p>(i) y</p><p>(2) End</p>"
+    docs = spark.createDataFrame([("t", text), ("none", "<h1>None</h1><p>only a line</p>"), ("unknown", text)], "doc string, html string")
+    found = convert.blocks(html.entries(docs), docs.select("doc", html.title(F.col("html")).alias("title"))).cache()
+    known = spark.createDataFrame([("t", "ab", "treaty", 1900), ("none", "none", "treaty", 1901)], "doc string, short_name string, kind string, year int")
+    out = assemble.documents(found, convert.article_nodes(found), known).cache()
+    rows = {r.doc: r for r in out.collect()}
+    assert set(rows) == {"t", "none"} and rows["t"].file == "1980_ab_clean.xml" and rows["none"].date == "1901-01-01"
+    assert "<body></body>" in rows["none"].xml and "Parties &lt;all&gt;</p></preamble>" in rows["t"].xml
+    tree = {r.eid: r for r in akn.nodes(out.select("doc", "xml")).where("doc = 't' and eid is not null").collect()}
+    up = lambda a, b: tree[b].pre < tree[a].pre <= tree[b].post
+    assert up("art_1", "chapter_i") and up("art_2", "chapter_i") and up("art_3", "chapter_ii") and not up("art_3", "chapter_i")
+    assert tree["chapter_i"].num == "CHAPTER I" and tree["art_1__para_1"].content == "(1)a & b" and tree["art_3__para_2"].content == "(2)End"
+    assert all(r.valid for r in validate.report(akn.nodes(out.select("doc", "xml"))).collect())
+    assemble.write(out, str(tmp_path / "akn"))
+    assert sorted(tuple(r) for r in assemble.read(spark, str(tmp_path / "akn")).collect()) == sorted((r.file, r.xml) for r in rows.values())
