@@ -1,5 +1,6 @@
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -85,6 +86,45 @@ def test_mix_of_empty_table(scratch, empty):
     assert op3_mixing.decisions(scratch, empty).count() == 0
 
 
+def test_mix_against_brute_force(scratch, docs):
+    """Expected copies by bisection, ranks sorted as a whole, and the cut where the words come nearest to the need."""
+    from pyspark.sql import functions as F
+
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(op3_mixing.SEED), "doc_id", "tie"), 11).cast("double") + 0.5) / float(1 << 53)
+    drawn = {(x.doc_id, x.text): (x.u, x.tie) for x in docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).withColumn("u", u).collect()}
+    got = op3_mixing.decisions(scratch, docs, rows=True).collect()
+    by = defaultdict(list)
+    for x in got:
+        by[x.source].append((x["size"], drawn[x.doc_id, x.row.text], x.doc_id, x.copies, x.target))
+    sampled = 0
+    for of in by.values():
+        target = of[0][4]
+        copies = lambda size, f: min(2.0, f * math.sqrt(size))
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(s * copies(s, mid) for s, *_ in of) < target else (low, mid)
+        capped = target >= 2 * sum(s for s, *_ in of)
+        pool, sure = defaultdict(list), 0
+        for s, (draw, tie), i, have, _ in of:
+            e = 0.0 if s == 0 else 2.0 if capped else copies(s, high)
+            whole = math.floor(e + 1e-9)
+            sure += whole * s
+            lam = e - whole
+            if lam > 1e-9:
+                odds = draw / (1 - draw) / (lam / (1 - lam))
+                pool[odds, -1 if i is None else i, tie].append((s, whole, have))
+            else:
+                assert have == whole
+        upto = 0
+        for _, same in sorted(pool.items()):
+            upto += sum(s for s, *_ in same)
+            for s, whole, have in same:
+                assert have == whole + (upto - s / 2 <= target - sure)
+                sampled += 1
+    assert sampled > 20
+
+
 def test_pareto_odds(spark, scratch):
     """Inclusion follows size: of many equal pairs, large documents are taken more often; the words still meet the target."""
     rows = [(n, "w " * (400 if n % 2 else 25), ["a", "b", "c"][n % 3]) for n in range(3000)]
@@ -126,6 +166,46 @@ def test_divergence(spark, scratch, empty):
     assert op5_divergence.quality(scratch, empty).count() == 0
 
 
+def brute_class(c):
+    kind = unicodedata.category(c)
+    letters = {"Ll": 0, "Lu": 1, "Lt": 2, "Lm": 2, "Lo": 2, "Nd": 3, "Nl": 3, "No": 3}
+    return letters[kind] if kind in letters else 4 if c in WHITE else 5 if c in "#*$%&|<>" else 6 if c in ".,;:!?'\"()-" else 7
+
+
+def brute_distance(p, q):
+    if not sum(p) or not sum(q):
+        return None
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    kl = lambda u: sum(x * math.log2(x / ((y + z) / 2)) for x, y, z in zip(u, p, q, strict=True) if x)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_verdicts_against_brute_force(scratch, docs, rows):
+    """Histograms counted character by character and word by word, held against the sums of their language."""
+    counted = []
+    for r in rows:
+        text = r[1] or ""
+        chars, words = [0] * 8, [w.lower() for w in WORD.findall(text)]
+        for c in text:
+            chars[brute_class(c)] += 1
+        counted.append((r, chars, [words.count(w) for w in op5_divergence.COMMON.get(r[2], [])]))
+    sums = defaultdict(lambda: ([0] * 8, [0] * 24))
+    for r, chars, common in counted:
+        for total, part in zip(sums[r[2]], (chars, common), strict=True):
+            for n, x in enumerate(part):
+                total[n] += x
+    want = []
+    for r, chars, common in counted:
+        far = [brute_distance(h, total[: len(h)]) for h, total in zip((chars, common), sums[r[2]], strict=True)]
+        c = brute_counts(r[1] or "")
+        failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        odd = bool((sum(chars) >= 400 and far[0] > 0.25) or (sum(common) >= 20 and far[1] > 0.6))
+        want.append((str(r[0]), not failed and not odd, *(x is not None and round(x, 6) for x in far)))
+    got = [(str(x.doc_id), x.kept, *(y is not None and round(y, 6) for y in (x.js_chars, x.js_words))) for x in op5_divergence.quality(scratch, docs).collect()]
+    assert Counter(got) == Counter(want)
+    assert any(k for _, k, *_ in want)
+
+
 def test_junk_is_dropped_and_prose_kept(spark, scratch):
     base = [" ".join(f"{w}{chr(97 + (n * 7 + k) % 26)}" if k % 3 else w for k, w in enumerate(["the", "stone", "of", "river", "and", "green"] * 20)) for n in range(50)]
     rows = [(n, t, "en", "s", 1) for n, t in enumerate(base)] + [(100, base[0].upper(), "en", "s", 1), (101, " ".join(w + "***" for w in base[1].split()), "en", "s", 1)]
