@@ -376,24 +376,30 @@ def missing_refs(spark, d):
     return validate.missing_refs(refs, ids)
 
 
+def _letter(n):
+    return F.chr(n + 97)
+
+
 def _akn(spark, d):
-    """An act for each part: two articles with paragraphs, a list, a note, a definition and references, some of them broken."""
+    """An act for each part: two articles with paragraphs, a list of one to four points, a note, a definition and references, some of them broken."""
     k, n, s = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
     c = F.concat
     dup = F.when(k % 5 == 0, "art_1__para_1").otherwise("art_1__para_2")
     target = F.when(k % 7 == 0, "art_9").otherwise("art_2")
     term = F.when(k % 3 == 0, F.lit("")).otherwise(F.lit('<TLCTerm eId="term_x" href="/t" showAs="x"/>'))
+    point = lambda i: c(F.lit('<point eId="art_1__para_2__point_'), _letter(i), F.lit('"><num>('), _letter(i), F.lit(")</num><content><p>further</p></content></point>"))
+    more = F.when(F.col("p_size") % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 4), point), "")).otherwise("")
     xml = c(
         F.lit('<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act name="a"><meta><identification source="#s"><FRBRWork><FRBRthis value="/akn/un/act/treaty/wipo/1971-01-01/x/!main"/><FRBRuri value="/akn/un/act/treaty/wipo/1971-01-01/'), s,
         F.lit('"/><FRBRdate date="1971-10-29" name="jolux:dateEntryInForce"/><FRBRalias name="eli" value="eli/'), s, F.lit('"/></FRBRWork></identification><references source="#s">'), term,
         F.lit('</references></meta><body><article eId="art_1"><num>Article 1</num><paragraph eId="art_1__para_1"><num>(1)</num><content><p><def eId="def_1" refersTo="#term_x">'), n,
         F.lit('</def> of <ref href="#'), target, F.lit('">Article 2</ref><authorialNote><p>note</p></authorialNote>.</p></content></paragraph><paragraph eId="'), dup, F.lit('"><num>(2)</num><list eId="l"><point eId="art_1__para_2__point_a"><num>(a)</num><content><p>first '), s,
-        F.lit('</p></content></point></list></paragraph></article><article eId="art_2"><num>Article '), s, F.lit(" bis"), F.lit('</num><content><p>'), s, F.lit(" years after death.</p></content></article></body></act></akomaNtoso>"),
+        F.lit("</p></content></point>"), more, F.lit('</list></paragraph></article><article eId="art_2"><num>Article '), s, F.lit(" bis"), F.lit('</num><content><p>'), s, F.lit(" years after death.</p></content></article></body></act></akomaNtoso>"),
     )
     return akn.nodes(_t(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")))
 
 
-@query("""SELECT 'part_' || p_partkey AS doc, (CASE WHEN p_partkey % 3 = 0 THEN 32 ELSE 33 END)::BIGINT AS n_nodes, 2::BIGINT AS n_articles, 2::BIGINT AS n_paragraphs, 1::BIGINT AS n_points, 1::BIGINT AS n_refs, 1::BIGINT AS n_defs FROM part""")
+@query("""SELECT 'part_' || p_partkey AS doc, ((CASE WHEN p_partkey % 3 = 0 THEN 32 ELSE 33 END) + 4 * (p_size % 4))::BIGINT AS n_nodes, 2::BIGINT AS n_articles, 2::BIGINT AS n_paragraphs, (1 + p_size % 4)::BIGINT AS n_points, 1::BIGINT AS n_refs, 1::BIGINT AS n_defs FROM part""")
 def akn_counts(spark, d):
     count = lambda tag: F.count_if(F.col("tag") == tag)
     return _akn(spark, d).groupBy("doc").agg(F.count("*").alias("n_nodes"), count("article").alias("n_articles"), count("paragraph").alias("n_paragraphs"), count("point").alias("n_points"), count("ref").alias("n_refs"), count("def").alias("n_defs"))
@@ -406,10 +412,10 @@ def passage_text(spark, d):
     return locate.passages(wanted, found).select("doc", "passage")
 
 
-@query("SELECT 'part_' || p_partkey AS doc, 'Art. 1(2)(a) InfoSoc' AS ref, CASE WHEN p_partkey % 5 = 0 THEN 'art_1__para_2__point_a' ELSE 'art_1__para_2__point_a' END AS eid FROM part UNION ALL SELECT 'part_' || p_partkey, p_size || 'bis LDA', 'art_2' FROM part UNION ALL SELECT 'part_' || p_partkey, 'Art. 99', '' FROM part")
+@query("SELECT 'part_' || p_partkey AS doc, 'Art. 1(2)(' || chr((97 + p_size % 4)::INT) || ') InfoSoc' AS ref, 'art_1__para_2__point_' || chr((97 + p_size % 4)::INT) AS eid FROM part UNION ALL SELECT 'part_' || p_partkey, p_size || 'bis LDA', 'art_2' FROM part UNION ALL SELECT 'part_' || p_partkey, 'Art. 99', '' FROM part")
 def locate_citation(spark, d):
     found = _akn(spark, d).persist()  # read several times below
-    part = _t(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), F.explode(F.array(F.lit("Art. 1(2)(a) InfoSoc"), F.concat(F.col("p_size").cast("string"), F.lit("bis LDA")), F.lit("Art. 99"))).alias("ref"))
+    part = _t(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), F.explode(F.array(F.concat(F.lit("Art. 1(2)("), _letter(F.col("p_size") % 4), F.lit(") InfoSoc")), F.concat(F.col("p_size").cast("string"), F.lit("bis LDA")), F.lit("Art. 99"))).alias("ref"))
     return locate.find(part, found)
 
 
@@ -467,10 +473,17 @@ def html_paragraphs(spark, d):
     return html.entries(pages)
 
 
-@query(r"SELECT page_id, (len(regexp_extract_all(html, '<p\b')))::BIGINT AS n_p, (len(regexp_extract_all(html, '<(?:b|strong)>')))::BIGINT AS n_bold, contains(html, '<p><b>') AS starts_bold FROM pages")
+_BOLD = "CASE WHEN p_partkey % 4 = 3 THEN 'abc' ELSE p_brand END"
+_REST = "CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_name ELSE 'abc' END"
+
+
+@query(f"SELECT p_partkey AS id, trim({_BOLD} || ' ' || {_REST}) AS text, length({_BOLD}) >= greatest(6, 0.6 * length(trim({_BOLD} || ' ' || {_REST}))) AS is_bold FROM part")
 def bold_like(spark, d):
-    h = F.col("html")
-    return _t(spark, d, "pages").select("page_id", F.regexp_count(h, F.lit(r"<p\b")).cast("long").alias("n_p"), F.regexp_count(h, F.lit("<(?:b|strong)>")).cast("long").alias("n_bold"), h.contains("<p><b>").alias("starts_bold"))
+    """Paragraphs that begin in bold: short or long bold texts, followed by nothing, a few or many letters."""
+    k = F.col("p_partkey")
+    bold, rest = F.when(k % 4 == 3, "abc").otherwise(F.col("p_brand")), F.when(k % 3 == 0, "").when(k % 3 == 1, F.col("p_name")).otherwise("abc")
+    text = F.concat(F.lit("<body><p><b>"), bold, F.lit("</b> "), rest, F.lit("</p></body>"))
+    return html.entries(_t(spark, d, "part").select(k.cast("string").alias("doc"), text.alias("html"))).select(F.col("doc").cast("long").alias("id"), "text", "is_bold")
 
 
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
