@@ -19,9 +19,9 @@ SCHEMA = "doc string, pre int, post int, parent int, depth int, tag string, eid
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, xml): whole files, by name; files whose name starts with '_' are left out."""
+    """(doc, xml): whole files, by name; files whose name starts with '_' are left out. In folders file=<name> that name counts."""
     df = spark.read.text(path, wholetext=True)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    name = F.col("file").cast("string") if "file" in df.columns else F.element_at(F.split(F.input_file_name(), "/"), -1)
     return df.select(name.alias("doc"), F.col("value").alias("xml")).where(~F.col("doc").startswith("_"))
 
 

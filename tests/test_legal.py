@@ -245,3 +245,28 @@ def test_documents_are_valid_and_read_again(spark, tmp_path):
     assert all(r.valid for r in validate.report(akn.nodes(out.select("doc", "xml"))).collect())
     assemble.write(out, str(tmp_path / "akn"))
     assert sorted(tuple(r) for r in assemble.read(spark, str(tmp_path / "akn")).collect()) == sorted((r.file, r.xml) for r in rows.values())
+
+
+def test_commands(spark, tmp_path, capsys):
+    """A known treaty's file is converted and indexed, others are left out; what was written is valid, a broken copy is not."""
+    import json
+
+    from lexplane import commands
+    from lexplane.sources import treaties
+
+    html = tmp_path / "html"
+    html.mkdir()
+    text = "<h1>Nairobi Treaty</h1><p>of September 26, 1981</p><p>The States</p><p><b>Article 1 : Scope</b></p><p>(1) One</p><p>(2) Two</p>"
+    for name in ("1981_Nairobi_clean.html", "other.html", "_1981_Nairobi_clean.html"):
+        (html / name).write_text(text)
+    out = str(tmp_path / "out")
+    assert commands.main(["convert", str(html), out]) == 0
+    assert capsys.readouterr().out == "1981_nairobi_clean.xml: 1 articles, 2 paragraphs, 1 lines of preamble\n"
+    assert [(r.file, r.work_uri) for r in treaties.read_index(spark, f"{out}/index").collect()] == [("1981_nairobi_clean.xml", "/akn/un/act/treaty/wipo/1981-09-26/nairobi")]
+    assert commands.main(["validate", f"{out}/akn", f"{out}/report"]) == 0
+    assert capsys.readouterr().out == "1 files: 1 valid, 0 invalid\n"
+    assert json.loads(spark.read.text(f"{out}/report").first().value)["doc"] == "1981_nairobi_clean.xml"
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "a.xml").write_text("<act><body><article eId='x'/><article eId='x'/></body></act>")
+    assert commands.main(["validate", str(bad), f"{out}/report2"]) == 1
