@@ -9,7 +9,9 @@ the walk saves in them is modest; it is the deal that bounds the work.
 
 For looser budgets, in which no part is sure to be free of errors, representatives() takes wide fingerprints of several
 words: a trie holds the fingerprints that agree in a random group of bits, the walk prunes on the budget that the
-similarity asks for, the whole width decides, and links are held against the shingles themselves.
+similarity asks for, the whole width decides, and links are held against the shingles themselves. What that leaves out
+is found by open_pairs(): two sets of that similarity share one of their rarest shingles, so of each such shingle all
+pairs that are not in one group yet are held against the shingles, too. No link between groups is lost.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small, connected_components, in_batches, whole_runs
 
 BUDGET, FREE_BITS = 2, 10
+#: Of so many shingles of a set, one more must be shared among the rarest.
+PER_MATCH = 100
+NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def shingles(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -214,22 +219,80 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str | None, width: int = 5, words: int = 4) -> list[int]:
-    """A fingerprint of 64 * words bits of the text's shingles, as signed integers; all 0 without words."""
-    hashes = shingles(text, width)
+def sketch(hashes: np.ndarray, words: int = 4) -> list[int]:
+    """A fingerprint of 64 * words bits of a text's shingles, as signed integers; all 0 without words."""
     return [majority(_mixed(hashes, k)) if len(hashes) else 0 for k in range(words)]
 
 
-def sketches(docs: DataFrame, width: int = 5, words: int = 4) -> DataFrame:
-    """(doc_id, tie, fp array<long>) of every row of docs (doc_id, text); tie is a hash of the text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", pa.list_(pa.int64()))])
+def common_shingles(docs: DataFrame, width: int = 5, rows: int = 10_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of docs (text) that at least so many of about so many sampled rows have, ascending, and in how many.
+
+    They only order the shingles of a set from rare to frequent; links do not depend on the sample.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, n = np.unique(np.concatenate([np.unique(shingles(t.as_py(), width)) for t in b.column(0)]), return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    every = max(1, docs.count() // rows)
+    sample = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(every)), F.lit(every)) == 0)
+    counts = sample.mapInArrow(in_batches(run, 256), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n")).limit(most).toArrow()
+    shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def rarest(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest of a set's hashes (ascending, no repeats), so many that sets of that similarity share enough of theirs.
+
+    Such a set has at least similarity * n of the n hashes. All but one less than that can be left out and one is
+    still shared; with n // PER_MATCH more, so many more are shared, by the smaller set's count.
+    """
+    known, counts = common
+    n = len(hashes)
+    if not n:
+        return hashes
+    often = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[: n - math.ceil(similarity * n - 1e-6) + 1 + n // PER_MATCH]]
+
+
+def parities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits: whether an odd number of the hashes falls on each. Sets differ in at least as many hashes as in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer bits, both counts powers of 2."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def sketches(docs: DataFrame, width: int = 5, words: int = 4, similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = NONE) -> DataFrame:
+    """Of every row of docs (doc_id, text): doc_id, tie (a hash of the text), fp array<long>, and of its set of shingles
+    digest, size, wide array<long> and odd array<long> (parities of two bits a shingle and more, and of 64 * words), rare array<long> (rarest)."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", longs), ("digest", pa.binary()), ("size", pa.int64()), ("wide", longs), ("odd", longs), ("rare", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([sketch(t.as_py(), width, words) for t in b.column(2)], pa.list_(pa.int64()))], schema=schema)
+            fps, sets = [], []
+            for t in b.column(2):
+                hashes = shingles(t.as_py(), width)
+                fps.append(sketch(hashes, words))
+                own = np.unique(hashes)
+                wide = parities(own, max(words, 1 << (2 * len(own) // 64).bit_length()))
+                sets.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), wide, folded(wide, words), rarest(own, similarity, common).view(np.int64)))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, longs), *(pa.array(list(x), f.type) for x, f in zip(zip(*sets, strict=True), list(schema)[3:], strict=True))], schema=schema)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(in_batches(run, 256), "doc_id long, tie long, fp array<long>")
+    return src.mapInArrow(in_batches(run, 256), "doc_id long, tie long, fp array<long>, digest binary, size long, wide array<long>, odd array<long>, rare array<long>")
 
 
 def reach(bits: int, similarity: float) -> int:
@@ -257,6 +320,24 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndar
         root = _roots(n, a[pick], b[pick])[root]
 
 
+def _wide(column: pa.ChunkedArray, words: int) -> np.ndarray:
+    """Rows of so many words from a column of arrays."""
+    return np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in column.chunks]).view(np.uint64).reshape(-1, words)
+
+
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (key, rows_of_key or null, cls, ...) with block and side: a key of more than most rows is cut into parts, and
+    each pair of parts is a block, of which only pairs of differing sides count unless the parts are the same (side 0)."""
+    large = F.col("rows_of_key") > most
+    rows = rows.withColumn("parts", F.when(large, F.ceil(2 * F.col("rows_of_key") / most)).otherwise(1).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(low == high, 0).otherwise(F.when(F.col("part") == low, 1).otherwise(2)).cast("int")
+    block = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
+    return rows.withColumn("block", block).withColumn("side", side).drop("key", "rows_of_key", "parts", "part", "other")
+
+
 def _candidates(words: int, budget: int, most: int):
     """Batches of blocks to edges (a, b) of a spanning forest of each: pairs within budget bits in the block's word, and within most in all."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -264,7 +345,7 @@ def _candidates(words: int, budget: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "block", 8192):
             block, cls, word, side = (table.column(c).to_numpy() for c in ("block", "cls", "word", "side"))
-            fps = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column("fp").chunks]).view(np.uint64).reshape(-1, words)
+            fps = _wide(table.column("fp"), words)
             value = fps[np.arange(len(fps)), word]
             order = np.lexsort((cls, value, block))
             block, cls, side, fps, value = block[order], cls[order], side[order], fps[order], value[order]
@@ -306,33 +387,88 @@ def similar_pairs(scratch: Scratch, classes: DataFrame, similarity: float = 0.8,
     masks = [(g % words, sum(1 << b for b in draw.sample(range(64), key_bits))) for g in range(groups)]
     keys = [F.struct(F.lit(k).alias("word"), F.xxhash64(F.lit(g), F.col("fp")[k].bitwiseAND(F.lit(_signed(m)))).alias("key")) for g, (k, m) in enumerate(masks)]
     keyed = classes.select("cls", F.explode(F.array(*keys)).alias("k")).select("k.key")
-    large = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most), "large-tries")
+    large = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("rows_of_key")).where(F.col("rows_of_key") > most), "large-tries")
     rows = classes.select("cls", "fp", F.explode(F.array(*keys)).alias("k")).select("cls", "fp", "k.word", "k.key")
-    none = large.isEmpty()
-    rows = rows.withColumn("size", F.lit(None).cast("long")) if none else rows.join(broadcast_if_small(large), "key", "left")
-    parts = F.when(F.col("size").isNull(), 1).otherwise(F.ceil(2 * F.col("size") / most)).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    side = F.when(low == high, 0).otherwise(F.when(F.col("part") == low, 1).otherwise(2)).cast("int")
-    blocks = rows.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("block"), "cls", "word", side.alias("side"), "fp")
+    rows = rows.withColumn("rows_of_key", F.lit(None).cast("long")) if large.isEmpty() else rows.join(broadcast_if_small(large), "key", "left")
+    blocks = _blocks(rows, most).select("block", "cls", "word", "side", "fp")
     found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(words, reach(64, similarity), reach(64 * words, similarity)), "a long, b long")
     return found.distinct()
 
 
-def representatives(scratch: Scratch, docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4) -> DataFrame:
-    """(doc_id, tie, rows): of each group of near copies in docs (doc_id, text) the smallest, and how many rows are equal to it.
+def _between_groups(similarity: float, words: int):
+    """Batches of blocks to pairs (a, b) of differing groups that share a block's shingle and may have that similarity, with
+    n, the shingles found to be shared, and least, how many there must be in all. Pairs parted by more bits of their
+    parities than sets of that similarity differ in are left out."""
+    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "n", "least")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "block", 8192):
+            block, cls, group, size, side = (table.column(c).to_numpy() for c in ("block", "cls", "group", "size", "side"))
+            odd = _wide(table.column("odd"), words)
+            order = np.lexsort((group, block))
+            block, cls, group, size, side, odd = (x[order] for x in (block, cls, group, size, side, odd))
+            new = block[1:] != block[:-1]
+            ends = [np.append(np.flatnonzero(x) + 1, len(block)) for x in (new | (group[1:] != group[:-1]), new)]
+            after, last = (np.repeat(x, np.diff(x, prepend=0)) for x in ends)
+            partners = last - after  # rows of a block's later groups
+            starts = np.flatnonzero(np.diff(np.cumsum(partners) // (1 << 16), prepend=-1))
+            for start, end in zip(starts, np.append(starts[1:], len(block)), strict=True):
+                n = partners[start:end]
+                i = np.repeat(np.arange(start, end), n)
+                j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                most = _apart(size[i], size[j], similarity)
+                on = (most >= np.abs(size[i] - size[j])) & ((side[i] == 0) | (side[i] != side[j]))
+                i, j, most = i[on], j[on], most[on]
+                on = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= most
+                i, j = i[on], j[on]
+                if len(i):
+                    a, b, least = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), 1 + np.minimum(size[i], size[j]) // PER_MATCH
+                    order = np.lexsort((b, a))
+                    a, b, least = a[order], b[order], least[order]
+                    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                    yield pa.record_batch([pa.array(x) for x in (a[first], b[first], np.diff(np.append(first, len(a))), least[first])], schema=schema)
+
+    return run
+
+
+def _apart(x, y, similarity: float):
+    """Elements in which sets of x and y elements differ at most if they have that Jaccard similarity."""
+    return x + y - 2 * np.ceil((x + y) * (similarity / (1 + similarity)) - 1e-6).astype(np.int64)
+
 
-    Two texts are linked if their sets of word shingles have at least that Jaccard similarity, or equal fingerprints;
-    groups are what links reach. Letters A-Z count as a-z. Rows without a doc_id are in no group and are not returned;
-    texts without words are copies of each other. tie is xxhash64(text), so rows that repeat a doc_id are told apart.
+def open_pairs(scratch: Scratch, classes: DataFrame, groups: DataFrame, similarity: float = 0.8, words: int = 4, most: int = 1 << FREE_BITS) -> DataFrame:
+    """All pairs (a, b) of classes (cls, size, wide, odd, rare) that can have that similarity, but for those within one of groups (node, component).
+
+    A shingle that only one class has among its rarest, as nearly all have, leaves after one shuffle of slim rows; next
+    those of one group leave, and only then signatures join. One with more than most rows is cut into parts, of which
+    each pair is a block. Pairs must share enough shingles, and their wide parities be near enough.
     """
-    sk = scratch.table(sketches(docs, width, words), "sketches")
-    own = F.struct("doc_id", "tie").alias("own")
-    classes = sk.where("doc_id is not null").groupBy("fp").agg(F.min(own).alias("own")).withColumn("cls", F.monotonically_increasing_id())
-    classes = scratch.table(classes, "classes")  # the numbers are fixed from here on
-    edges = scratch.table(similar_pairs(scratch, classes, similarity, words), "candidates")
-    ends = scratch.table(edges.select(F.col("a").alias("cls")).union(edges.select(F.col("b").alias("cls"))).distinct(), "ends")
+    of_key = Window.partitionBy("key")
+    rows = classes.select("cls", F.explode("rare").alias("key"))
+    shared = scratch.table(rows.withColumn("rows_of_key", F.count("*").over(of_key)).where("rows_of_key > 1"), "shared-shingles")
+    shared = shared.join(groups, F.col("cls") == F.col("node"), "left").select("key", "rows_of_key", "cls", F.coalesce("component", "cls").alias("group"))
+    shared = shared.withColumn("low", F.min("group").over(of_key)).withColumn("high", F.max("group").over(of_key)).where("low < high").drop("low", "high")
+    blocks = _blocks(shared.join(classes.select("cls", "size", "odd"), "cls"), most).select("block", "cls", "group", "size", "side", "odd")
+    pairs = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_between_groups(similarity, words), "a long, b long, n long, least long")
+    pairs = pairs.groupBy("a", "b", "least").agg(F.sum("n").alias("n")).where("n >= least").select("a", "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = []
+            for m, n, x, y in zip(*(b.column(c) for c in ("m", "n", "x", "y")), strict=True):
+                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))  # of signed integers the bits of the absolute value are counted
+                fewer = min(len(x), len(y))
+                on.append(np.bitwise_count(folded(x, fewer) ^ folded(y, fewer)).sum() <= _apart(m.as_py(), n.as_py(), similarity))
+            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    sides = [classes.select(F.col("cls").alias(k), F.col("size").alias(n), F.col("wide").alias(w)) for k, n, w in (("a", "m", "x"), ("b", "n", "y"))]
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(near, "a long, b long")
+
+
+def _links_among(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes (cls, own) whose texts' sets of shingles have at least that Jaccard similarity."""
+    pairs = scratch.table(pairs, "candidates")
+    ends = scratch.table(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "ends")
     wanted = ends.join(classes, "cls").select("cls", F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     texts = broadcast_if_small(wanted, 100_000).join(texts, ["doc_id", "tie"]).select("cls", "text")
@@ -342,10 +478,35 @@ def representatives(scratch: Scratch, docs: DataFrame, similarity: float = 0.8,
             yield pa.record_batch([b.column(0), pa.array([np.unique(shingles(t.as_py(), width)).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["cls", "set"])
 
     sets = scratch.table(texts.mapInArrow(in_batches(run, 256), "cls long, set array<long>").dropDuplicates(["cls"]), "shingles")
-    both = edges.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
     common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     links = both.select("a", "b", common.alias("c"), total.alias("t")).where(F.col("c") >= F.lit(similarity) * (F.col("t") - F.col("c"))).select("a", "b")
-    groups = connected_components(scratch, links)
-    named = classes.join(groups, F.col("cls") == F.col("node"), "left").groupBy(F.coalesce("component", "cls").alias("group")).agg(F.min("own").alias("own"))
-    first = named.select(F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie"))
-    return sk.groupBy("doc_id", "tie").agg(F.count("*").alias("rows")).join(first, ["doc_id", "tie"])
+    links = scratch.table(links, "links")
+    for used in (pairs, ends, sets):
+        scratch.drop(used)
+    return links
+
+
+def representatives(scratch: Scratch, docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4) -> DataFrame:
+    """(doc_id, tie, rows): of each group of near copies in docs (doc_id, text) the smallest, and how many rows are equal to it.
+
+    Two texts are linked if their sets of word shingles have at least that Jaccard similarity; groups are all that
+    links reach. Fingerprints find most links, open_pairs() those between the groups so found. Letters A-Z count as
+    a-z. Rows without a doc_id are in no group and are not returned; texts without words are copies of each other.
+    tie is xxhash64(text), so rows that repeat a doc_id are told apart.
+    """
+    sk = scratch.table(sketches(docs, width, words, similarity, common_shingles(docs, width)), "sketches")
+    first = F.min(F.struct("doc_id", "tie", "fp", "size", "wide", "odd", "rare")).alias("first")
+    classes = sk.where("doc_id is not null").groupBy("digest").agg(first).select(F.struct("first.doc_id", "first.tie").alias("own"), "first.*").drop("doc_id", "tie")
+    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # the numbers are fixed from here on
+    rows = scratch.table(sk.groupBy("doc_id", "tie").agg(F.count("*").alias("rows")), "rows")
+    scratch.drop(sk)
+    links = _links_among(scratch, docs, classes, similar_pairs(scratch, classes, similarity, words), similarity, width)
+    groups = scratch.table(connected_components(scratch, links), "groups")
+    links = _links_among(scratch, docs, classes, open_pairs(scratch, classes, groups, similarity, words), similarity, width)
+    for k in ("a", "b"):
+        links = links.join(groups, F.col(k) == F.col("node"), "left").withColumn(k, F.coalesce("component", k)).select("a", "b")
+    joined = connected_components(scratch, links).toDF("group", "larger")
+    named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("own", F.coalesce("component", "cls").alias("group")).join(joined, "group", "left")
+    named = named.groupBy(F.coalesce("larger", "group").alias("group")).agg(F.min("own").alias("own"))
+    return rows.join(named.select(F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie")), ["doc_id", "tie"])

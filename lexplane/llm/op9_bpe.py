@@ -266,9 +266,9 @@ def _byte_letters() -> list[str]:
 
 
 @functools.cache
-def speculator(path: str, pattern: str) -> Speculator:
+def speculator(path: str, pattern: str, remembered: int = 250_000) -> Speculator:
     """One encoder for each worker process and file."""
-    return Speculator(path, pattern)
+    return Speculator(path, pattern, remembered)
 
 
 def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str] | None = None, rows: int = 4096) -> DataFrame:
@@ -286,17 +286,18 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str
     return src.mapInArrow(in_batches(run, rows, text=len(keep)), f"{schema}{', ' if schema else ''}ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, vocab_path: str, pattern: str, rows: int = 4096) -> DataFrame:
+def digests(docs: DataFrame, vocab_path: str, pattern: str, rows: int = 4096, remembered: int = 250_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs.
 
     What encode_decode() returns, reduced in the same pass so that ids and texts need not leave the worker. A null
     text counts as empty; a null doc_id stays null; extra columns are not read.
+    remembered: pieces kept in memory; results do not depend on it.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = speculator(vocab_path, pattern)
+        bpe = speculator(vocab_path, pattern, remembered)
         for b in batches:
             n, ids, texts = zip(*bpe.digest_all(b.column(1).to_pylist()), strict=True)
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema=schema)

@@ -203,5 +203,57 @@ def test_representatives_in_small_tries(spark, scratch):
         assert len(found) == 150 and set(found.values()) == {0}
 
 
+def near_threshold():
+    """Pairs on either side of 0.8, chains of them, one dense group around it, and a text that is nearly all repeats."""
+    r = random.Random(21)
+    texts = []
+    for n in range(250):
+        words = [f"w{r.randrange(9000)}" for _ in range(r.randrange(6, 90))]
+        texts.append(" ".join(words))
+        for _ in range(2):  # about a ninth of the shingles, on either side of the text
+            words = list(words)
+            for at in range(r.randrange(1, 2 + len(words) // 45)):
+                words[r.randrange(len(words))] = f"y{n}-{at}"
+            if r.random() < 0.3:
+                words += [f"z{r.randrange(9000)}" for _ in range(r.randrange(1 + len(words) // 5))]
+            texts.append(" ".join(words))
+    words = [f"v{n}" for n in range(44)]
+    for n in range(150):
+        other = list(words)
+        other[r.randrange(44)] = f"x{n}"
+        texts.append(" ".join(other))
+    words = [f"u{n}" for n in range(1500)]  # long texts, of which more shared shingles are asked for
+    for n in (0, 20, 25, 29, 30, 31, 32, 33, 34, 40):
+        other = list(words)
+        for k in range(n):
+            other[r.randrange(1500)] = f"q{n}-{k}"
+        texts.append(" ".join(other))
+    line = "the same seven words in every line "
+    return [*texts, line * 200, line * 200 + " ".join(f"t{n}" for n in range(40))]
+
+
+def test_representatives_lose_no_link_and_add_none(spark, scratch):
+    texts = near_threshold()
+    root, links = brute_groups(texts)
+    assert 300 < len(links) and root[-1] == len(texts) - 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in op10_simhash.representatives(scratch, docs).collect()} == set(root)
+
+
+def test_open_pairs_hold_every_link(spark, scratch):
+    """Without groups, in blocks cut into parts of few and in whole ones, with and without common shingles: no link is missing."""
+    texts = near_threshold()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, links = brute_groups(texts)
+    sets = [frozenset(op10_simhash.shingles(t, 5).tolist()) for t in texts]
+    want = {(j, i) for i, j in links if sets[i] != sets[j]}
+    none = spark.createDataFrame([], "node long, component long")
+    for common, most in ((op10_simhash.NONE, 16), (op10_simhash.common_shingles(docs), 1024)):
+        classes = scratch.table(op10_simhash.sketches(docs, common=common).withColumnRenamed("doc_id", "cls"), "classes")
+        assert want <= {tuple(x) for x in op10_simhash.open_pairs(scratch, classes, none, most=most).collect()}
+    one = classes.selectExpr("cls as node", "0L as component")
+    assert op10_simhash.open_pairs(scratch, classes, one).count() == 0
+
+
 def test_forest_of_empty_table(spark, scratch):
     assert op4_forest.near_duplicates(scratch, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
