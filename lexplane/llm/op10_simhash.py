@@ -10,8 +10,9 @@ the walk saves in them is modest; it is the deal that bounds the work.
 For looser budgets, in which no part is sure to be free of errors, representatives() takes wide fingerprints of several
 words: a trie holds the fingerprints that agree in a random group of bits, the walk prunes on the budget that the
 similarity asks for, the whole width decides, and links are held against the shingles themselves. What that leaves out
-is found by open_pairs(): two sets of that similarity share one of their rarest shingles, so of each such shingle all
-pairs that are not in one group yet are held against the shingles, too. No link between groups is lost.
+is found by open_links(): two sets of that similarity share one of their rarest shingles, so of each such shingle all
+pairs that are not in one group yet are compared by signatures where they meet, and the clusters that these leave are
+held against the shingles, too. No link between groups is lost, and only spanning forests leave either step.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from .common import Scratch, broadcast_if_small, connected_components, in_batche
 BUDGET, FREE_BITS = 2, 10
 #: Of so many shingles of a set, one more must be shared among the rarest.
 PER_MATCH = 100
+#: Words of the parities that go along with each of a set's rarest shingles, at most.
+MOST_ODD = 128
 NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -276,7 +280,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, width: int = 5, words: int = 4, similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = NONE) -> DataFrame:
     """Of every row of docs (doc_id, text): doc_id, tie (a hash of the text), fp array<long>, and of its set of shingles
-    digest, size, wide array<long> and odd array<long> (parities of two bits a shingle and more, and of 64 * words), rare array<long> (rarest)."""
+    digest, size, wide array<long> and odd array<long> (parities of two bits a shingle and more, and of about a quarter of them), rare array<long> (rarest)."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", longs), ("digest", pa.binary()), ("size", pa.int64()), ("wide", longs), ("odd", longs), ("rare", longs)])
 
@@ -288,7 +292,8 @@ def sketches(docs: DataFrame, width: int = 5, words: int = 4, similarity: float
                 fps.append(sketch(hashes, words))
                 own = np.unique(hashes)
                 wide = parities(own, max(words, 1 << (2 * len(own) // 64).bit_length()))
-                sets.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), wide, folded(wide, words), rarest(own, similarity, common).view(np.int64)))
+                odd = folded(wide, min(max(len(wide) // 4, 8), MOST_ODD))
+                sets.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), wide, odd, rarest(own, similarity, common).view(np.int64)))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, longs), *(pa.array(list(x), f.type) for x, f in zip(zip(*sets, strict=True), list(schema)[3:], strict=True))], schema=schema)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
@@ -395,38 +400,135 @@ def similar_pairs(scratch: Scratch, classes: DataFrame, similarity: float = 0.8,
     return found.distinct()
 
 
-def _between_groups(similarity: float, words: int):
+class _Parities:
+    """Rows of parities of differing widths, all powers of 2."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        self.flat = _wide(column, 1)[:, 0]
+        width = pc.list_value_length(column).to_numpy().astype(np.int64)
+        self.width, self.start = width[order], (np.cumsum(width) - width)[order]
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows of at least so many words, folded to them, and where each row is among these."""
+        if words not in self.at:
+            place, parts, have = np.zeros(len(self.width), np.int64), [], 0
+            for w in np.unique(self.width[self.width >= words]):
+                rows = np.flatnonzero(self.width == w)
+                bits = self.flat[self.start[rows][:, None] + np.arange(w)]
+                parts.append(np.bitwise_xor.reduce(bits.reshape(len(rows), w // words, words), axis=1))
+                place[rows] = have + np.arange(len(rows))
+                have += len(rows)
+            self.at[words] = np.concatenate(parts), place
+        return self.at[words]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits each row i differs from row j, both folded to the fewer words of the two."""
+        out, fewer = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for words in np.unique(fewer).tolist():
+            (bits, place), on = self._of(words), np.flatnonzero(fewer == words)
+            step = max(1, (1 << 19) // words)
+            for n in range(0, len(on), step):
+                part = on[n : n + step]
+                out[part] = np.bitwise_count(bits[place[i[part]]] ^ bits[place[j[part]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _between(block: np.ndarray, group: np.ndarray, size: np.ndarray, side: np.ndarray, bits: _Parities, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows sorted by block and group, pairs (i, j) of one block and differing groups that may have that similarity by
+    their sizes and parities, and by how many bits these differ. Sets differ in at least as many shingles."""
+    new = block[1:] != block[:-1]
+    ends = [np.append(np.flatnonzero(x) + 1, len(block)) for x in (new | (group[1:] != group[:-1]), new)]
+    after, last = (np.repeat(x, np.diff(x, prepend=0)) for x in ends)
+    partners = last - after  # rows of a block's later groups
+    starts = np.flatnonzero(np.diff(np.cumsum(partners) // (1 << 16), prepend=-1))
+    for start, end in zip(starts, np.append(starts[1:], len(block)), strict=True):
+        n = partners[start:end]
+        i = np.repeat(np.arange(start, end), n)
+        j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        most = _apart(size[i], size[j], similarity)
+        on = (most >= np.abs(size[i] - size[j])) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j, most = i[on], j[on], most[on]
+        apart = bits.differ(i, j)
+        on = apart <= most
+        if on.any():
+            yield i[on], j[on], apart[on]
+
+
+def _sorted(table: pa.Table, bits: str) -> tuple[np.ndarray, list[np.ndarray], _Parities]:
+    """The order of a table's rows by block and group, and in it block, cls, group, size and side, and the parities."""
+    columns = [table.column(c).to_numpy() for c in ("block", "cls", "group", "size", "side")]
+    order = np.lexsort((columns[2], columns[0]))
+    return order, [x[order] for x in columns], _Parities(table.column(bits), order)
+
+
+def _between_groups(similarity: float):
     """Batches of blocks to pairs (a, b) of differing groups that share a block's shingle and may have that similarity, with
-    n, the shingles found to be shared, and least, how many there must be in all. Pairs parted by more bits of their
-    parities than sets of that similarity differ in are left out."""
+    n, the shingles found to be shared, and least, how many there must be in all."""
     schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "n", "least")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "block", 8192):
-            block, cls, group, size, side = (table.column(c).to_numpy() for c in ("block", "cls", "group", "size", "side"))
-            odd = _wide(table.column("odd"), words)
-            order = np.lexsort((group, block))
-            block, cls, group, size, side, odd = (x[order] for x in (block, cls, group, size, side, odd))
-            new = block[1:] != block[:-1]
-            ends = [np.append(np.flatnonzero(x) + 1, len(block)) for x in (new | (group[1:] != group[:-1]), new)]
-            after, last = (np.repeat(x, np.diff(x, prepend=0)) for x in ends)
-            partners = last - after  # rows of a block's later groups
-            starts = np.flatnonzero(np.diff(np.cumsum(partners) // (1 << 16), prepend=-1))
-            for start, end in zip(starts, np.append(starts[1:], len(block)), strict=True):
-                n = partners[start:end]
-                i = np.repeat(np.arange(start, end), n)
-                j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                most = _apart(size[i], size[j], similarity)
-                on = (most >= np.abs(size[i] - size[j])) & ((side[i] == 0) | (side[i] != side[j]))
-                i, j, most = i[on], j[on], most[on]
-                on = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= most
-                i, j = i[on], j[on]
-                if len(i):
-                    a, b, least = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), 1 + np.minimum(size[i], size[j]) // PER_MATCH
-                    order = np.lexsort((b, a))
-                    a, b, least = a[order], b[order], least[order]
-                    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                    yield pa.record_batch([pa.array(x) for x in (a[first], b[first], np.diff(np.append(first, len(a))), least[first])], schema=schema)
+            _, (block, cls, group, size, side), bits = _sorted(table, "odd")
+            for i, j, _ in _between(block, group, size, side, bits, similarity):
+                a, b, least = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), 1 + np.minimum(size[i], size[j]) // PER_MATCH
+                order = np.lexsort((b, a))
+                a, b, least = a[order], b[order], least[order]
+                first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                yield pa.record_batch([pa.array(x) for x in (a[first], b[first], np.diff(np.append(first, len(a))), least[first])], schema=schema)
+
+    return run
+
+
+def _clusters(similarity: float):
+    """Batches of blocks to edges (a, b), fewer than rows: of each block what pairs of differing groups that may have that
+    similarity link, a row with the first of its cluster."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "block", 8192):
+            _, (block, cls, group, size, side), bits = _sorted(table, "odd")
+            own = np.arange(len(cls))
+            root = own
+            for i, j, _ in _between(block, group, size, side, bits, similarity):
+                root = _roots(len(cls), np.concatenate((own, i)), np.concatenate((root, j)))
+            at = np.flatnonzero(root != own)
+            if len(at):
+                yield pa.record_batch([pa.array(cls[at]), pa.array(cls[root[at]])], schema=schema)
+
+    return run
+
+
+def _links_between(similarity: float):
+    """Batches of blocks with the shingles of each class to links (a, b), fewer than rows: of each block a spanning forest
+    over the groups, nearest pairs first. Every pair that could join two groups is held against the shingles."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "block", 256):
+            order, (block, cls, group, size, side), bits = _sorted(table, "wide")
+            sets = _Parities(table.column("set"), order)
+            first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (group[1:] != group[:-1]))))
+            root = np.repeat(first, np.diff(np.append(first, len(cls)))).tolist()
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            found = []
+            for i, j, apart in _between(block, group, size, side, bits, similarity):
+                near = np.argsort(apart, kind="stable")
+                for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                    if (u := find(x)) != (v := find(y)):
+                        mine, other = (sets.flat[sets.start[z] : sets.start[z] + sets.width[z]] for z in (x, y))
+                        common = len(np.intersect1d(mine, other, assume_unique=True))
+                        if common >= similarity * (len(mine) + len(other) - common):
+                            root[u] = v
+                            found.append((x, y))
+            if found:
+                x, y = np.array(found).T
+                yield pa.record_batch([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y]))], schema=schema)
 
     return run
 
@@ -436,20 +538,29 @@ def _apart(x, y, similarity: float):
     return x + y - 2 * np.ceil((x + y) * (similarity / (1 + similarity)) - 1e-6).astype(np.int64)
 
 
-def open_pairs(scratch: Scratch, classes: DataFrame, groups: DataFrame, similarity: float = 0.8, words: int = 4, most: int = 1 << FREE_BITS) -> DataFrame:
-    """All pairs (a, b) of classes (cls, size, wide, odd, rare) that can have that similarity, but for those within one of groups (node, component).
+def _open_blocks(scratch: Scratch, classes: DataFrame, groups: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (block, cls, group, size, side, odd) of classes that share one of their rarest shingles with another group, sorted, and the table they read.
 
     A shingle that only one class has among its rarest, as nearly all have, leaves after one shuffle of slim rows; next
     those of one group leave, and only then signatures join. One with more than most rows is cut into parts, of which
-    each pair is a block. Pairs must share enough shingles, and their wide parities be near enough.
+    each pair is a block.
     """
     of_key = Window.partitionBy("key")
     rows = classes.select("cls", F.explode("rare").alias("key"))
-    shared = scratch.table(rows.withColumn("rows_of_key", F.count("*").over(of_key)).where("rows_of_key > 1"), "shared-shingles")
-    shared = shared.join(groups, F.col("cls") == F.col("node"), "left").select("key", "rows_of_key", "cls", F.coalesce("component", "cls").alias("group"))
+    read = scratch.table(rows.withColumn("rows_of_key", F.count("*").over(of_key)).where("rows_of_key > 1"), "shared-shingles")
+    shared = read.join(groups, F.col("cls") == F.col("node"), "left").select("key", "rows_of_key", "cls", F.coalesce("component", "cls").alias("group"))
     shared = shared.withColumn("low", F.min("group").over(of_key)).withColumn("high", F.max("group").over(of_key)).where("low < high").drop("low", "high")
     blocks = _blocks(shared.join(classes.select("cls", "size", "odd"), "cls"), most).select("block", "cls", "group", "size", "side", "odd")
-    pairs = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_between_groups(similarity, words), "a long, b long, n long, least long")
+    return blocks.repartition("block").sortWithinPartitions("block"), read
+
+
+def open_pairs(scratch: Scratch, classes: DataFrame, groups: DataFrame, similarity: float = 0.8, most: int = 1 << FREE_BITS) -> DataFrame:
+    """All pairs (a, b) of classes (cls, size, wide, odd, rare) that can have that similarity, but for those within one of groups (node, component).
+
+    Their number grows with the square of a cluster; open_links() returns spanning links instead. Pairs
+    must share enough shingles, and their wide parities be near enough.
+    """
+    pairs = _open_blocks(scratch, classes, groups, most)[0].mapInArrow(_between_groups(similarity), "a long, b long, n long, least long")
     pairs = pairs.groupBy("a", "b", "least").agg(F.sum("n").alias("n")).where("n >= least").select("a", "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,11 +576,9 @@ def open_pairs(scratch: Scratch, classes: DataFrame, groups: DataFrame, similari
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(near, "a long, b long")
 
 
-def _links_among(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes (cls, own) whose texts' sets of shingles have at least that Jaccard similarity."""
-    pairs = scratch.table(pairs, "candidates")
-    ends = scratch.table(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "ends")
-    wanted = ends.join(classes, "cls").select("cls", F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie"))
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, set array<long>): the shingles of the texts of wanted (cls, own)."""
+    wanted = wanted.select("cls", F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     texts = broadcast_if_small(wanted, 100_000).join(texts, ["doc_id", "tie"]).select("cls", "text")
 
@@ -477,7 +586,35 @@ def _links_among(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: D
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([np.unique(shingles(t.as_py(), width)).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["cls", "set"])
 
-    sets = scratch.table(texts.mapInArrow(in_batches(run, 256), "cls long, set array<long>").dropDuplicates(["cls"]), "shingles")
+    return texts.mapInArrow(in_batches(run, 256), "cls long, set array<long>").dropDuplicates(["cls"])
+
+
+def open_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, groups: DataFrame, similarity: float = 0.8, width: int = 5, most: int = 1 << FREE_BITS, load: int = 1 << 22) -> DataFrame:
+    """Links (a, b) of classes (cls, own, size, wide, odd, rare) between groups (node, component), so many that they join whatever any link joins.
+
+    Classes of differing groups that share one of their rarest shingles are compared by sizes and parities where they
+    meet. All pairs that may be links lie in one of the clusters that these form, so only edges that span them leave.
+    Then every class is in one block, its cluster, with its wide parities and shingles, which decide; again only
+    spanning links leave. A cluster with more than load shingles, or most classes, is cut into parts, of which each pair
+    is a block.
+    """
+    blocks, read = _open_blocks(scratch, classes, groups, most)
+    clusters = scratch.table(connected_components(scratch, blocks.mapInArrow(_clusters(similarity), "a long, b long")).toDF("cls", "key"), "clusters")
+    scratch.drop(read)
+    rows = scratch.table(classes.join(broadcast_if_small(clusters, 100_000), "cls").select("key", "cls", "own", "size", "wide"), "clustered")
+    sets = scratch.table(_sets(docs, rows, width), "shingles")
+    weights = rows.groupBy("key").agg(F.sum(F.col("size") + load // most).alias("rows_of_key")).where(F.col("rows_of_key") > load)
+    rows = rows.join(groups, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("group"), "size", "wide")
+    dealt = _blocks(rows.join(broadcast_if_small(weights), "key", "left"), load).join(sets, "cls")
+    found = dealt.select("block", "cls", "group", "size", "side", "wide", "set").repartition("block").sortWithinPartitions("block")
+    return scratch.table(found.mapInArrow(_links_between(similarity), "a long, b long"), "links")
+
+
+def _links_among(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes (cls, own) whose texts' sets of shingles have at least that Jaccard similarity."""
+    pairs = scratch.table(pairs, "candidates")
+    ends = scratch.table(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "ends")
+    sets = scratch.table(_sets(docs, ends.join(classes, "cls"), width), "shingles")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
     common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     links = both.select("a", "b", common.alias("c"), total.alias("t")).where(F.col("c") >= F.lit(similarity) * (F.col("t") - F.col("c"))).select("a", "b")
@@ -491,7 +628,7 @@ def representatives(scratch: Scratch, docs: DataFrame, similarity: float = 0.8,
     """(doc_id, tie, rows): of each group of near copies in docs (doc_id, text) the smallest, and how many rows are equal to it.
 
     Two texts are linked if their sets of word shingles have at least that Jaccard similarity; groups are all that
-    links reach. Fingerprints find most links, open_pairs() those between the groups so found. Letters A-Z count as
+    links reach. Fingerprints find most links, open_links() those between the groups so found. Letters A-Z count as
     a-z. Rows without a doc_id are in no group and are not returned; texts without words are copies of each other.
     tie is xxhash64(text), so rows that repeat a doc_id are told apart.
     """
@@ -503,7 +640,7 @@ def representatives(scratch: Scratch, docs: DataFrame, similarity: float = 0.8,
     scratch.drop(sk)
     links = _links_among(scratch, docs, classes, similar_pairs(scratch, classes, similarity, words), similarity, width)
     groups = scratch.table(connected_components(scratch, links), "groups")
-    links = _links_among(scratch, docs, classes, open_pairs(scratch, classes, groups, similarity, words), similarity, width)
+    links = open_links(scratch, docs, classes, groups, similarity, width)
     for k in ("a", "b"):
         links = links.join(groups, F.col(k) == F.col("node"), "left").withColumn(k, F.coalesce("component", k)).select("a", "b")
     joined = connected_components(scratch, links).toDF("group", "larger")

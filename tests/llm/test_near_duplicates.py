@@ -255,5 +255,43 @@ def test_open_pairs_hold_every_link(spark, scratch):
     assert op10_simhash.open_pairs(scratch, classes, one).count() == 0
 
 
+def test_open_links_of_cut_clusters_join_what_links_join(spark, scratch):
+    """Shared shingles and clusters in one block or cut into parts of few: links only, and with them the same groups as by brute force."""
+    texts = near_threshold()
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    root, links = brute_groups(texts)
+    classes = op10_simhash.sketches(docs).selectExpr("doc_id as cls", "struct(doc_id, tie) as own", "size", "wide", "odd", "rare")
+    classes = scratch.table(classes, "classes")
+    none = spark.createDataFrame([], "node long, component long")
+    for most, load in ((16, 2000), (1024, 1 << 22)):
+        found = {tuple(x) for x in op10_simhash.open_links(scratch, docs, classes, none, most=most, load=load).collect()}
+        assert found <= {(j, i) for i, j in links}
+        assert union(len(texts), found) == root
+    one = classes.selectExpr("cls as node", "0L as component")
+    assert op10_simhash.open_links(scratch, docs, classes, one).count() == 0
+
+
+def test_rows_of_a_dense_cluster_do_not_grow_with_its_square(spark, scratch, monkeypatch):
+    """300 near copies that no fingerprint has joined: spanning links come back, not their 44,850 pairs."""
+    r = random.Random(31)
+    words = [f"w{n}" for n in range(200)]
+    rows = []
+    for n in range(300):
+        other = list(words)
+        other[r.randrange(200)] = f"x{n}"
+        rows.append((n, " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, real = [], op10_simhash.connected_components
+
+    def counted(scratch, edges):
+        made.append(edges.count())
+        return real(scratch, edges)
+
+    monkeypatch.setattr(op10_simhash, "connected_components", counted)
+    monkeypatch.setattr(op10_simhash, "similar_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    assert [tuple(x) for x in op10_simhash.representatives(scratch, docs).select("doc_id", "rows").collect()] == [(0, 1)]
+    assert made[-1] < 300 and max(made) < 300 * 45  # a class has 41 rarest shingles
+
+
 def test_forest_of_empty_table(spark, scratch):
     assert op4_forest.near_duplicates(scratch, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
