@@ -25,31 +25,34 @@ from .labelled import training_rows
 DIM, SHAPES = 1 << 16, 4.0
 _RUNS = re.compile(r"(.)\1+")
 _SHAPE = [(re.compile(p), r) for p, r in ((r"[^\W\d_A-Z]+", "a"), (r"[A-Z]+", "A"), (r"\d+", "0"))]
-_cache: dict[str, tuple[int, int]] = {}
 
 
-def slots(token: str) -> tuple[int, int]:
-    """Hashed places of a token and of its shape (letters a, capitals A, digits 0, other characters as they are, runs once)."""
-    found = _cache.get(token)
+def slots(token: str, memory: dict[str, tuple[int, int]]) -> tuple[int, int]:
+    """Hashed places of a token and of its shape (letters a, capitals A, digits 0, other characters as they are, runs once).
+
+    memory: places known by token, of at most 300,000; the caller's, so that it ends with its task.
+    """
+    found = memory.get(token)
     if found is None:
         shape = token
         for p, r in _SHAPE:
             shape = p.sub(r, shape)
         shape = _RUNS.sub(r"\1", shape)
-        if len(_cache) > 300_000:
-            _cache.clear()
-        found = _cache[token] = (zlib.crc32(b"w" + token.encode("utf-8", "replace")) % DIM, zlib.crc32(b"s" + shape.encode("utf-8", "replace")) % DIM)
+        if len(memory) > 300_000:
+            memory.clear()
+        found = memory[token] = (zlib.crc32(b"w" + token.encode("utf-8", "replace")) % DIM, zlib.crc32(b"s" + shape.encode("utf-8", "replace")) % DIM)
     return found
 
 
-def features(text: str) -> dict[int, float]:
+def features(text: str, memory: dict[str, tuple[int, int]] | None = None) -> dict[int, float]:
     """Hashed features: word counts damped by a square root, shares of shapes, length and repetition in steps."""
     counts = Counter(text.split())
+    memory = {} if memory is None else memory
     n = sum(counts.values())
     out: dict[int, float] = {}
     root = math.sqrt(n) if n else 1.0
     for token, c in counts.items():
-        w, s = slots(token)
+        w, s = slots(token, memory)
         out[w] = out.get(w, 0.0) + math.sqrt(c) / root
         out[s] = out.get(s, 0.0) + SHAPES * c / n
     for name in (f"length {int(math.log2(n + 1))}", f"distinct {int(10 * len(counts) / max(n, 1))}"):
@@ -67,9 +70,9 @@ class Ordinal:
         """P(grade > k) for each threshold k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - f[:, None], -30, 30)))
 
-    def score(self, text: str) -> float:
+    def score(self, text: str, memory: dict[str, tuple[int, int]] | None = None) -> float:
         w = self.weights
-        return float(sum(w[k] * v for k, v in features(text).items()))
+        return float(sum(w[k] * v for k, v in features(text, memory).items()))
 
 
 def fit(rows: list[tuple[Sequence[int] | np.ndarray, Sequence[float] | np.ndarray, int]], grades: int = 3, steps: int = 120, rate: float = 0.1, l2: float = 1e-4) -> Ordinal:
@@ -113,10 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Ordinal:
     grade = F.when(F.col("quality").isNull(), None).when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, tuple[int, int]] = {}
         for b in batches:
             ks, vs = [], []
             for t in b.column(0).to_pylist():
-                found = features(t)
+                found = features(t, memory)
                 ks.append(np.fromiter(found, np.int32, len(found)))
                 vs.append(np.fromiter(found.values(), np.float32, len(found)))
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float32())), b.column(1)], names=["k", "v", "y"])
@@ -136,9 +140,9 @@ def classify(docs: DataFrame, model: Ordinal, least: float = 0.3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tail_probability", pa.float64()), ("kept", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Ordinal(weights.tolist(), thresholds)
+        own, memory = Ordinal(weights.tolist(), thresholds), {}
         for b in batches:
-            tails = own.tails(np.array([own.score(t) for t in b.column(1).to_pylist()], float))
+            tails = own.tails(np.array([own.score(t, memory) for t in b.column(1).to_pylist()], float))
             yield pa.record_batch([b.column(0), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 0] >= least)], schema=schema)
 
     return src.mapInArrow(in_batches(run, 256), "doc_id long, expected_grade double, tail_probability double, kept boolean")

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -225,9 +224,6 @@ def keep_clean(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> Data
     src = docs.withColumn(fresh(docs, "__scored"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = sys.modules.get("lexplane.llm.op9_bpe")
-        if encoder:  # what a reused worker still remembers of an earlier run's last stage
-            encoder.speculator.cache_clear()
         memory: dict[str, tuple[int, ...]] = {}
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()

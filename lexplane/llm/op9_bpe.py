@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,11 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches
+from .merging import NEVER, PairTable
 from .pieces import BYTE_LEVEL, Memo
 
-_NEVER = np.iinfo(np.int64).max
-#: Bytes from which a failing word is merged with a heap: its time grows as n log n.
-LONG = 256
 
 
 class Speculator(Memo):
@@ -59,22 +56,24 @@ class Speculator(Memo):
         for t, n in self.added.items():
             self.bytes_of[n] = t.encode()
         self.digits = [str(n) for n in range(top)]
-        self.size, self.rank, self.made = top, {}, {}
+        self.size = top
+        rank: dict[int, int] = {}
+        merged: dict[int, int] = {}
         left, right, born = np.full(top, -1), np.full(top, -1), np.full(top, -1)
         ids = {t: n for t, n in model["vocab"].items()}
         self.checkable = True
         for n, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             x, y, z = ids[a], ids[b], ids[a + b]
-            self.rank[x * top + y], self.made[x * top + y] = n, z
+            rank[x * top + y], merged[x * top + y] = n, z
             self.checkable &= born[z] < 0 and max(born[x], born[y]) < n
             left[z], right[z], born[z] = x, y, n
-        codes = np.array(sorted(self.rank), np.int64)
-        self.codes, self.ranks = codes, np.array([self.rank[c] for c in codes.tolist()], np.int64)
-        self.made_ids = np.array([self.made[c] for c in codes.tolist()], np.int64)
+        ends, made = (np.array(list(x.values()), np.int64) for x in (rank, merged))
+        codes = np.array(list(rank), np.int64)
+        self.table = PairTable(codes // top, codes % top, ends, made, top)
         self.byte_ids = np.array([vocab.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.left, self.right, self.born = left, right, born
-        self.fits: dict[int, bool] = {}
+        self.forget_fits()
         self.proposed = self.failed = 0
         super().__init__(self.added, pattern == BYTE_LEVEL, remembered)
 
@@ -98,99 +97,39 @@ class Speculator(Memo):
     def pairs_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of each pair of tokens whether it is the encoding of its bytes."""
         fit = np.ones(len(a), bool)
-        x, used_x = a.copy(), np.full(len(a), _NEVER)
+        x, used_x = a.copy(), np.full(len(a), NEVER)
         while True:
             on = np.flatnonzero(fit & (x >= 0))
             if not len(on):
                 return fit
-            y, used_y = b.copy(), np.full(len(b), _NEVER)
+            y, used_y = b.copy(), np.full(len(b), NEVER)
             while len(on):
-                code = x[on] * self.size + y[on]
-                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-                when = np.where(self.codes[at] == code, self.ranks[at], _NEVER)
-                fit[on[(when < used_x[on]) & (when <= used_y[on]) & (when < _NEVER)]] = False
+                when = self.table.rank_of(x[on], y[on])
+                fit[on[(when < used_x[on]) & (when <= used_y[on]) & (when < NEVER)]] = False
                 used_y[on], y[on] = self.born[y[on]], self.left[y[on]]
                 on = on[fit[on] & (y[on] >= 0)]
             went = np.flatnonzero(x >= 0)
             used_x[went], x[went] = self.born[x[went]], self.right[x[went]]
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The exact merging of all words: of every word the pair of the lowest rank, from the left. Short words go in step."""
-        out: list[list[int]] = [self._merge_long(w) if len(w) > LONG else [] for w in words]
-        order = sorted((n for n in range(len(words)) if len(words[n]) <= LONG), key=lambda n: len(words[n]))
-        at = 0
-        while at < len(order):  # words of like length together: padding stays below a half, memory below some 20 MB
-            longest = max(16, 2 * len(words[order[at]]))
-            end = at
-            while end < len(order) and len(words[order[end]]) <= longest and (end - at) * longest < 1_000_000:
-                end += 1
-            group = order[at:end]
-            for n, ids in zip(group, self._merge([words[n] for n in group]), strict=True):
-                out[n] = ids
-            at = end
-        return out
-
-    def _merge_long(self, word: bytes) -> list[int]:
-        """The same for one word, by a heap of pairs over linked parts."""
-        n = len(word)
-        parts = self.byte_ids[np.frombuffer(word, np.uint8)]
-        ranks = self._ranks(parts[:-1], parts[1:])
-        there = np.flatnonzero(ranks < _NEVER)
-        heap = (ranks[there] * n + there).tolist()
-        heapq.heapify(heap)
-        at, rank = parts.tolist(), [*ranks.tolist(), _NEVER]
-        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
-
-        def look(i: int) -> None:
-            rank[i] = _NEVER if behind[i] == n else self.rank.get(at[i] * self.size + at[behind[i]], _NEVER)
-            if rank[i] < _NEVER:
-                heapq.heappush(heap, rank[i] * n + i)
-
-        while heap:
-            r, i = divmod(heapq.heappop(heap), n)
-            if rank[i] != r:
-                continue
-            j = behind[i]
-            at[i], at[j], rank[j] = self.made[at[i] * self.size + at[j]], -1, _NEVER
-            behind[i] = behind[j]
-            if behind[i] < n:
-                before[behind[i]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
-        return [t for t in at if t >= 0]
-
-    def _merge(self, words: list[bytes]) -> list[list[int]]:
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(counts.max())
-        parts = np.full((len(words), width + 1), -1, np.int64)
-        parts[np.arange(width + 1)[None, :] < counts[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        rows = np.arange(len(words))
-        ranks = self._ranks(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(words), width)
-        while True:
-            best = ranks[rows].argmin(1)
-            live = ranks[rows, best] < _NEVER
-            rows, best = rows[live], best[live]
-            if not len(rows):
-                break
-            code = parts[rows, best] * self.size + parts[rows, best + 1]
-            parts[rows, best] = self.made_ids[np.searchsorted(self.codes, code)]
-            columns = np.arange(width + 1)[None, :]
-            take = np.minimum(columns + (columns > best[:, None]), width)
-            parts[rows] = np.take_along_axis(parts[rows], take, 1)
-            moved = np.take_along_axis(ranks[rows], np.minimum(take[:, :-1], width - 1), 1)
-            moved[:, -1] = _NEVER
-            at = np.arange(len(rows))
-            moved[at, best] = self._ranks(parts[rows, best], parts[rows, best + 1])
-            left = np.maximum(best - 1, 0)
-            moved[at, left] = self._ranks(parts[rows, left], parts[rows, left + 1])
-            ranks[rows] = moved
-        return [row[row >= 0].tolist() for row in parts]
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        code = np.where((a >= 0) & (b >= 0), a * self.size + b, -1)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.ranks[at], _NEVER)
+        """The exact merging of all words."""
+        return self.table.merge([self.byte_ids[np.frombuffer(w, np.uint8)] for w in words])
+
+    def known_fits(self, codes: np.ndarray) -> np.ndarray:
+        """Of each code of a pair, ascending and distinct, whether the pair fits; verdicts are kept, at most 4 times `remembered`."""
+        at = np.minimum(np.searchsorted(self.seen, codes), len(self.seen) - 1)
+        new = codes[self.seen[at] != codes]
+        if len(new):
+            if len(self.seen) + len(new) > 4 * self.remembered:
+                self.forget_fits()
+                new = codes
+            where = np.searchsorted(self.seen, new)
+            fits = self.pairs_fit(new // self.size, new % self.size)
+            self.seen, self.fits = np.insert(self.seen, where, new), np.insert(self.fits, where, fits)
+        return self.fits[np.searchsorted(self.seen, codes)]
+
+    def forget_fits(self) -> None:
+        self.seen, self.fits = np.full(1, -1, np.int64), np.zeros(1, bool)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Speculate on all words, verify all their pairs in step, and merge those that fail."""
@@ -203,14 +142,7 @@ class Speculator(Memo):
             inner = owner[1:] == owner[:-1]
             a, b, owner = flat[:-1][inner], flat[1:][inner], owner[1:][inner]
             codes, which = np.unique(a * self.size + b, return_inverse=True)
-            new = [c for c in codes.tolist() if c not in self.fits]
-            if new:
-                if len(self.fits) > 4_000_000:
-                    self.fits.clear()
-                    new = codes.tolist()
-                c = np.array(new, np.int64)
-                self.fits.update(zip(new, self.pairs_fit(c // self.size, c % self.size).tolist(), strict=True))
-            fit = np.array([self.fits[c] for c in codes.tolist()], bool)
+            fit = self.known_fits(codes)
             bad[owner[~fit[which]]] = True
         if not self.checkable:
             bad[:] = True
@@ -267,10 +199,22 @@ def _byte_letters() -> list[str]:
 
 @functools.cache
 def speculator(path: str, pattern: str, remembered: int = 250_000) -> Speculator:
-    """One encoder for each worker process and file."""
+    """One encoder for each worker process and file. Tasks drop it when they end, so that a reused worker holds none."""
     return Speculator(path, pattern, remembered)
 
 
+def dropped(f: Callable) -> Callable:
+    """f over an iterator, with the process's encoders dropped when it ends, fails or is closed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            speculator.cache_clear()
+
+    return run
+
+
 def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str] | None = None, rows: int = 4096) -> DataFrame:
     """The columns in keep, with ids array<int> and decoded string; a null text counts as empty."""
     keep = ["doc_id"] if keep is None else keep
@@ -283,7 +227,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=[*b.schema.names[:-1], "ids", "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(in_batches(run, rows, text=len(keep)), f"{schema}{', ' if schema else ''}ids array<int>, decoded string")
+    return src.mapInArrow(in_batches(dropped(run), rows, text=len(keep)), f"{schema}{', ' if schema else ''}ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, vocab_path: str, pattern: str, rows: int = 4096, remembered: int = 250_000) -> DataFrame:
@@ -302,7 +246,7 @@ def digests(docs: DataFrame, vocab_path: str, pattern: str, rows: int = 4096, re
             n, ids, texts = zip(*bpe.digest_all(b.column(1).to_pylist()), strict=True)
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema=schema)
 
-    return src.mapInArrow(in_batches(run, rows, text=1), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(in_batches(dropped(run), rows, text=1), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocab() -> tuple[str, str]:

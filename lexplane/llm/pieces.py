@@ -39,7 +39,8 @@ class Memo:
 
     def __init__(self, special: Iterable[str], lines: bool, remembered: int = 800_000):
         """lines: whether a line end between other characters is always a token of its own. remembered: pieces kept
-        in each of two generations; those in use move on to the next, the rest are forgotten with theirs."""
+        in each of two generations, and 32 times as many characters besides 4 M; those in use move on to the next, the
+        rest are forgotten with theirs."""
         self.special, self.lines, self.remembered = list(special), lines, remembered
         self.spaced: dict[str, int] = {}
         self.ids, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -50,6 +51,7 @@ class Memo:
         self.older, self.older_ids, self.older_start, self.older_count = self.spaced, self.ids, self.start, self.count
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -72,6 +74,7 @@ class Memo:
     def _store(self, strings: list[str], spaced: bool) -> int:
         """Encode and keep strings, which are distinct and new; the first one's slot."""
         first = self._put(*self.ids_of(strings, spaced)) if strings else self.n
+        self.chars += sum(map(len, strings))
         (self.spaced if spaced else self.bare).update(zip(strings, range(first, first + len(strings)), strict=True))
         return first
 
@@ -105,7 +108,7 @@ class Memo:
 
     def slots(self, texts: list[str]) -> list[np.ndarray]:
         """The slots of each text's pieces, in order."""
-        if self.n > self.remembered or self.used > 16 * self.remembered + (1 << 20):
+        if self.n > self.remembered or self.used > 16 * self.remembered + (1 << 20) or self.chars > 32 * self.remembered + (4 << 20):
             self.age()
         if not texts:
             return []
