@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lines, op2_warc, op3_mixing, op4_forest, op5_divergence, op6_sstable, op7_ordinal, op8_toxicity, op9_bpe, op10_simhash
+from . import op1_lines, op2_warc, op3_mixing, op4_forest, op5_divergence, op6_sstable, op7_ordinal, op8_toxicity, op9_bpe, op10_simhash, op11_sentencepiece, op12_merkle, op13_alignment
 from .common import Scratch
 
 
@@ -63,7 +63,21 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_normalise, op3_mix_sources, op4_embedding_forest, op5_divergence_rules, op6_sstable_shards, op7_ordinal_quality, op8_weak_toxicity, op9_speculative_bpe, op10_simhash_trie)}
+def op11_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_sentencepiece.digests(_read(spark, sf_dir, "documents"), op11_sentencepiece.default_model())
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = op12_merkle.document_leaves(_read(spark, sf_dir, "documents"))
+    return op12_merkle.prove(*op12_merkle.manifest(Scratch(spark, "op12"), leaves))
+
+
+def op13_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = (*op9_bpe.default_vocab(), op11_sentencepiece.default_model())
+    return op13_alignment.alignments(Scratch(spark, "op13"), _read(spark, sf_dir, "documents"), *both)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_normalise, op3_mix_sources, op4_embedding_forest, op5_divergence_rules, op6_sstable_shards, op7_ordinal_quality, op8_weak_toxicity, op9_speculative_bpe, op10_simhash_trie, op11_sentencepiece_offsets, op12_merkle_manifest, op13_segment_alignment)}
 
 _WS = r"[\x20\x09-\x0D]+"
 
