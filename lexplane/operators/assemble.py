@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
-from .validate import AUTHORS
+from ..sources import files
+from .validate import AUTHORS, EDITOR
 
 #: The parts of an id and their elements; the publication's name; who is referred to.
 PARTS = {"art": "article", "para": "paragraph", "list": "list", "point": "point"}
@@ -64,19 +65,18 @@ def _body(articles: Column) -> Column:
     return F.array_join(F.transform(articles, placed), "")
 
 
-def _meta(kind: Column, name: Column, date: Column, generated: Column, editor: str) -> Column:
+def _meta(kind: Column, name: Column, date: Column, generated: Column, editor: str, editor_id: str) -> Column:
     work = T.work_iri(kind, date, name)
     expression = F.concat(work, F.lit("/eng@"), date)
     head = '<{tag}><FRBRthis value="{uri}/!main"/><FRBRuri value="{uri}"/><FRBRdate date="{date}" name="{event}"/><FRBRauthor href="{who}" as="{role}"/>'
 
     def level(tag: str, key: str, uri: Column, day: Column, event: str, more: Column) -> Column:
-        who, role = AUTHORS[key]
+        who, role = (f"#{editor_id}", "#editor") if key == "mani" else AUTHORS[key]
         begin = _xml(head.replace("{tag}", tag).replace("{event}", event).replace("{who}", who).replace("{role}", role), uri=uri, date=day)
         return F.concat(begin, more, F.lit(f"</{tag}>"))
 
     more = _xml('<FRBRcountry value="un"/><FRBRsubtype value="{kind}"/><FRBRnumber value="{name}" showAs="{name}"/>', kind=kind, name=name)
-    person = AUTHORS["mani"][0].lstrip("#")
-    references = _xml(f'<references source="#wipo">{ORGANISATION}<TLCPerson eId="{person}" href="/ontology/person/{person}" showAs="{{editor}}"/></references>', editor=F.lit(editor or person))
+    references = _xml(f'<references source="#wipo">{ORGANISATION}<TLCPerson eId="{editor_id}" href="/ontology/person/{editor_id}" showAs="{{editor}}"/></references>', editor=F.lit(editor or editor_id))
     return F.concat(
         F.lit('<meta><identification source="#wipo">'),
         level("FRBRWork", "work", work, date, "adoption", more),
@@ -86,12 +86,13 @@ def _meta(kind: Column, name: Column, date: Column, generated: Column, editor: s
     )
 
 
-def documents(found: DataFrame, nodes: DataFrame, treaties: DataFrame, generated: Column | None = None, editor: str = "") -> DataFrame:
+def documents(found: DataFrame, nodes: DataFrame, treaties: DataFrame, generated: Column | None = None, editor: str = "", editor_id: str = EDITOR) -> DataFrame:
     """(doc, seg, short_name, date, file, xml): a document for each segment of BLOCKS found, with its articles from NODES.
 
     treaties (doc, short_name, kind, year). The date is found in the title and the first eight lines before the
     articles; lines that look like dates are no preamble. A segment without articles has an empty body; a document
-    that treaties lacks has no row. generated: the day of the run, today if not given.
+    that treaties lacks has no row. generated: the day of the run, today if not given. editor, editor_id: who made the
+    manifestation, by name and as an identifier.
     """
     line = F.when(F.col("art").isNull() & F.col("line").isNotNull(), F.struct("pos", "line"))
     heads = found.groupBy("doc", "seg").agg(F.max("seg_title").alias("title"), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
@@ -105,17 +106,17 @@ def documents(found: DataFrame, nodes: DataFrame, treaties: DataFrame, generated
     preamble = F.when(F.size(kept) > 0, F.concat(F.lit("<preamble>"), F.array_join(numbered, ""), F.lit("</preamble>"))).otherwise("")
     day = F.date_format(F.current_date() if generated is None else generated, "yyyy-MM-dd")
     xml = F.concat(
-        _xml('<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act name="{kind}">', kind=F.col("subtype")), _meta(F.col("subtype"), F.col("short_name"), F.col("date"), day, editor),
+        _xml('<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act name="{kind}">', kind=F.col("subtype")), _meta(F.col("subtype"), F.col("short_name"), F.col("date"), day, editor, editor_id),
         _xml("<preface><p><docTitle>{title}</docTitle></p></preface>", title=F.col("title")), preamble, F.lit("<body>"), _or_empty(_body(F.col("articles"))), F.lit("</body></act></akomaNtoso>"),
     )
     return out.select("doc", "seg", "short_name", "date", T.file_name(F.substring("date", 1, 4).cast("int"), F.col("short_name")).alias("file"), xml.alias("xml"))
 
 
-def write(docs: DataFrame, path: str) -> None:
-    """docs (file, xml) as texts, a folder file=<name> for each."""
-    docs.select("file", "xml").write.mode("overwrite").partitionBy("file").text(path)
+def write(docs: DataFrame, path: str) -> DataFrame:
+    """docs (file, xml) as files of these names below path, written where the rows are; the manifest of them."""
+    return files.write(docs.select("file", F.col("xml").cast("binary").alias("content")), path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, xml) of what write() wrote."""
-    return spark.read.text(path, wholetext=True).select(F.col("file").cast("string").alias("file"), F.regexp_replace("value", r"\n\z", "").alias("xml"))
+    return files.contents(spark, path, "*").select(F.col("doc").alias("file"), "xml")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
+from ..sources import markup
 from .ordered import list_depths
 
 BLOCKS = "doc string, seg int, seg_title string, art int, pos int, token string, display string, heading string, container string, raw string, marker string, text string, line string, depth int"
@@ -137,3 +138,23 @@ def source_text(found: DataFrame) -> DataFrame:
     """(doc, seg, text): a segment's text in order, for the similarity check."""
     line = F.coalesce("line", F.concat_ws(" ", F.lit("Article"), "display", "heading"))
     return found.groupBy("doc", "seg").agg(T.normalize_space(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), " ")).alias("text"))
+
+
+def kept_text(found: DataFrame) -> DataFrame:
+    """(doc, seg, text): what a segment's document must say: its title and its lines, without those that look like dates before the articles."""
+    lines = found.where(F.col("art").isNotNull() | ~F.coalesce(T.looks_like_date(F.col("line")), F.lit(False)))
+    heads = found.groupBy("doc", "seg").agg(F.max("seg_title").alias("title"))
+    return heads.join(source_text(lines), ["doc", "seg"], "left").select("doc", "seg", F.concat_ws(" ", "title", "text").alias("text"))
+
+
+def faithful(docs: DataFrame, found: DataFrame, most: float = 1.0) -> DataFrame:
+    """docs (doc, seg, xml) with delta, how far in percent the document's text is from the source's, and status: FAIL beyond most.
+
+    White space is left out of the comparison, as markup stands where the source has it.
+    """
+    from .enrich import with_delta
+
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    both = docs.join(kept_text(found), ["doc", "seg"])
+    both = with_delta(both, bare(F.col("text")), bare(markup.document_text(F.col("xml"))), most).drop("text")
+    return both.withColumn("status", F.when(F.col("delta") > most, "FAIL").otherwise("OK"))

@@ -35,11 +35,12 @@ def undefined_terms(defs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 LEVELS = {"work": "FRBRWork", "expr": "FRBRExpression", "mani": "FRBRManifestation"}
-#: By level, the author's reference and role.
-AUTHORS = {"work": ("#wipo", "#author"), "expr": ("#wipo", "#author"), "mani": ("#johnbruene", "#editor")}
+#: By level, the author's reference and role. A manifestation's author is the editor, a parameter.
+AUTHORS = {"work": ("#wipo", "#author"), "expr": ("#wipo", "#author")}
+EDITOR = "editor"
 
 
-def _meta_issues(meta: Column) -> Column:
+def _meta_issues(meta: Column, editor: str) -> Column:
     """Issues of a document's metadata, from meta: its elements as array<struct<pre, parent, tag, attrs>> in document order."""
     first = lambda test: F.get(F.filter(meta, test), F.lit(0))
     of_tag = lambda tag: first(lambda x: x["tag"] == tag)
@@ -52,7 +53,7 @@ def _meta_issues(meta: Column) -> Column:
         uri, this = value(level, "FRBRuri"), value(level, "FRBRthis")
         out += [issue(~has_form(uri, f"{level}_uri"), f"{tag}/FRBRuri has a wrong form"), issue(~has_form(this, f"{level}_this"), f"{tag}/FRBRthis has a wrong form")]
         out.append(issue((uri != "") & (this != "") & (this != F.concat(uri, F.lit("/!main"))), f"{tag}/FRBRthis is not FRBRuri and /!main"))
-        author, (href, role) = found[level, "FRBRauthor"], AUTHORS[level]
+        author, (href, role) = found[level, "FRBRauthor"], AUTHORS.get(level, (f"#{editor}", "#editor"))
         out.append(issue(author.isNull(), f"{tag}/FRBRauthor is missing"))
         for name, wanted in (("href", href), ("as", role)):
             out.append(F.when(author.isNotNull(), issue(author["attrs"][name] != wanted, f"{tag}/FRBRauthor@{name} is not {wanted}")))
@@ -64,7 +65,7 @@ def _meta_issues(meta: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def report(nodes: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+def report(nodes: DataFrame, schema: DataFrame | None = None, editor: str = EDITOR) -> DataFrame:
     """A row per document: duplicate_eids, missing_refs, bad_defs, frbr_issues, unmarked (arrays), schema_errors, and valid.
 
     All lists come from one pass over the nodes, grouped by document, which was one text in memory before. A document
@@ -85,7 +86,7 @@ def report(nodes: DataFrame, schema: DataFrame | None = None) -> DataFrame:
         F.array_distinct(F.filter("ids", lambda x, i: (i > 0) & (x == F.get("ids", i - 1)))).alias("duplicate_eids"),
         F.array_sort(F.array_except(F.filter("refs", lambda x: x.startswith("#")), targets)).alias("missing_refs"),
         F.array_sort(F.array_distinct(F.transform(F.filter("defs", lambda x: ~F.coalesce(F.array_contains("terms", x["to"]), F.lit(False))), lambda x: x["eid"]))).alias("bad_defs"),
-        _meta_issues(F.col("meta")).alias("frbr_issues"),
+        _meta_issues(F.col("meta"), editor).alias("frbr_issues"),
         F.filter(F.array_distinct("ids"), lambda x: x.contains("para_unmarked")).alias("unmarked"),
     )
     none = F.array().cast("array<string>")

@@ -437,7 +437,7 @@ def _filed(spark, d):
     xml = c(
         F.lit('<akomaNtoso><act name="a"><meta><identification source="'), fault(19, "#else", "#wipo"), F.lit('">'),
         level("FRBRWork", work, c(work, fault(13, "/main", "/!main")), by("#wipo", "#author"), '<FRBRcountry value="un"/>'),
-        level("FRBRExpression", expr, c(expr, main), fault(11, "", '<FRBRauthor href="#wipo" as="#author"/>')), level("FRBRManifestation", mani, c(mani, main), by("#johnbruene", "#editor")),
+        level("FRBRExpression", expr, c(expr, main), fault(11, "", '<FRBRauthor href="#wipo" as="#author"/>')), level("FRBRManifestation", mani, c(mani, main), by("#editor", "#editor")),
         F.lit('</identification><publication/><references source="#wipo">'), fault(3, "", '<TLCTerm eId="term_x" href="/t" showAs="x"/>'), F.lit('</references></meta><body><article eId="art_1"><num>Article 1</num><paragraph eId="art_1__para_1"><content><p><def eId="def_1" refersTo="#term_x">x</def> of <ref href="#'),
         fault(7, "art_9", "art_2"), F.lit('">Article 2</ref> and <ref href="http://else">else</ref></p></content></paragraph><paragraph eId="'), fault(5, "art_1__para_1", "art_1__para_2"), F.lit('"/></article><article eId="art_2"><paragraph eId="'), fault(17, "art_2__para_unmarked_1", "art_2__para_1"), F.lit('"/></article></body></act></akomaNtoso>'),
     )
