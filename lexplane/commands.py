@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .operators import assemble, convert, enrich, validate
+from .operators import assemble, convert, enrich, schema, validate
 from .sources import akn, files, html, markup, treaties
 
 
@@ -59,10 +59,12 @@ def enrich_folder(spark: SparkSession, source: str, out: str, index: str | None
 
 def validate_folder(spark: SparkSession, source: str, out: str) -> tuple[str, int]:
     """Check the documents below source and write the report, a JSON line for each; the line to print and the exit code."""
-    reports = validate.report(akn.nodes(akn.read_texts(spark, source))).persist()
+    nodes = akn.nodes(akn.read_texts(spark, source)).persist()
+    reports = validate.report(nodes, schema.errors(nodes)).persist()
     validate.as_json(reports).write.mode("overwrite").text(out)
     row = validate.console(validate.summary(reports)).first()
     reports.unpersist()
+    nodes.unpersist()
     return row["line"], row["exit_code"]
 
 
