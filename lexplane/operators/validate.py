@@ -36,8 +36,8 @@ def undefined_terms(defs: DataFrame, terms: DataFrame) -> DataFrame:
 
 LEVELS = {"work": "FRBRWork", "expr": "FRBRExpression", "mani": "FRBRManifestation"}
 #: By level, the author's reference and role. A manifestation's author is the editor, a parameter.
-AUTHORS = {"work": ("#wipo", "#author"), "expr": ("#wipo", "#author")}
 EDITOR = "editor"
+AUTHORS = {"work": ("#wipo", "#author"), "expr": ("#wipo", "#author"), "mani": (f"#{EDITOR}", "#editor")}
 
 
 def _meta_issues(meta: Column, editor: str) -> Column:
@@ -53,7 +53,7 @@ def _meta_issues(meta: Column, editor: str) -> Column:
         uri, this = value(level, "FRBRuri"), value(level, "FRBRthis")
         out += [issue(~has_form(uri, f"{level}_uri"), f"{tag}/FRBRuri has a wrong form"), issue(~has_form(this, f"{level}_this"), f"{tag}/FRBRthis has a wrong form")]
         out.append(issue((uri != "") & (this != "") & (this != F.concat(uri, F.lit("/!main"))), f"{tag}/FRBRthis is not FRBRuri and /!main"))
-        author, (href, role) = found[level, "FRBRauthor"], AUTHORS.get(level, (f"#{editor}", "#editor"))
+        author, (href, role) = found[level, "FRBRauthor"], (f"#{editor}", "#editor") if level == "mani" else AUTHORS[level]
         out.append(issue(author.isNull(), f"{tag}/FRBRauthor is missing"))
         for name, wanted in (("href", href), ("as", role)):
             out.append(F.when(author.isNotNull(), issue(author["attrs"][name] != wanted, f"{tag}/FRBRauthor@{name} is not {wanted}")))
