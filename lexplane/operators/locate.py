@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
+from . import structural
 
 WHOLE = ("article", "section", "prov")
 NUMBERED = ("paragraph", "subsection", "subparagraph", "item", "point", "level", "prov", "subprov", "indent", "alinea")
 
 
-def find(citations: DataFrame, nodes: DataFrame, deepest: int = 3) -> DataFrame:
+def find(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     """citations (doc, ref) with eid, empty where nothing fits.
 
     Both sides meet on the start of their bare number, the full rule decides. The first article, section or provision
-    in document order counts, else the first other node; its sub-references, up to deepest, then lead down from node
+    in document order counts, else the first other node; its sub-references, however many, then lead down from node
     to node until one is not found.
     """
     asked = citations.select("doc", "ref").distinct().withColumn("norm", C.norm_ref(F.col("ref")))
@@ -26,16 +27,11 @@ def find(citations: DataFrame, nodes: DataFrame, deepest: int = 3) -> DataFrame:
     order = F.struct((~F.col("owner_tag").isin(*WHOLE)).alias("later"), F.col("pre"))
     best = hits.groupBy("doc", "ref").agg(F.min_by("owner_eid", order).alias("eid"))
     at = nodes.where("eid is not null").groupBy("doc", "eid").agg(F.min(F.struct("pre", "post")).alias("at"))
-    state = best.join(at, ["doc", "eid"]).select("doc", "ref", "eid", "at", C.sub_refs(F.col("ref")).alias("subs"), F.lit(True).alias("on"))
-    numbered = nodes.where(F.col("eid").isNotNull() & F.col("tag").isin(*NUMBERED) & F.col("num").isNotNull()).select("doc", C.num_token(F.col("num")).alias("token"), F.struct("pre", "post", "eid").alias("child"))
-    for n in range(deepest):
-        want = state.withColumn("token", F.when(F.col("on"), C.num_token(F.get("subs", F.lit(n)))))
-        inside = (F.col("child.pre") > F.col("at.pre")) & (F.col("child.pre") <= F.col("at.post"))
-        first = want.where("token is not null").join(numbered, ["doc", "token"]).where(inside).groupBy("doc", "ref").agg(F.min("child").alias("child"))
-        found = want.join(first, ["doc", "ref"], "left")
-        at_child = F.struct(F.col("child.pre").alias("pre"), F.col("child.post").alias("post"))
-        state = found.select("doc", "ref", F.coalesce("child.eid", "eid").alias("eid"), F.when(F.col("child").isNotNull(), at_child).otherwise(F.col("at")).alias("at"), "subs", F.col("child").isNotNull().alias("on"))
-    return citations.join(state.select("doc", "ref", "eid"), ["doc", "ref"], "left").withColumn("eid", F.coalesce("eid", F.lit("")))
+    tokens = F.transform(C.sub_refs(F.col("ref")), lambda x: C.num_token(x))
+    start = best.join(at, ["doc", "eid"]).select("doc", F.col("ref").alias("id"), "at.pre", "at.post", "eid", tokens.alias("tokens"))
+    numbered = nodes.where(F.col("eid").isNotNull() & F.col("tag").isin(*NUMBERED) & F.col("num").isNotNull()).select("doc", "pre", "post", "eid", C.num_token(F.col("num")).alias("token"))
+    found = structural.descend(start, numbered).withColumnRenamed("id", "ref")
+    return citations.join(found, ["doc", "ref"], "left").withColumn("eid", F.coalesce("eid", F.lit("")))
 
 
 def passages(wanted: DataFrame, nodes: DataFrame, chars: int = 800) -> DataFrame:
@@ -46,4 +42,4 @@ def passages(wanted: DataFrame, nodes: DataFrame, chars: int = 800) -> DataFrame
 
 def descendants(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Pairs of nodes of a document, the second inside the first: outer (doc, pre, post), inner (doc, pre_in)."""
-    return outer.join(inner, "doc").where("pre_in > pre and pre_in <= post")
+    return structural.contained(outer, inner)
