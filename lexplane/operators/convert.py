@@ -134,6 +134,12 @@ def counters(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(kept.groupBy("doc", "seg").agg(F.count("*").alias("preamble")), ["doc", "seg"], "left").na.fill(0, ["preamble"])
 
 
+def totals(counted: DataFrame) -> DataFrame:
+    """counters() with rows for each document and for all, by one ROLLUP: level 0 is a segment, 1 a document, 2 all."""
+    rolled = counted.rollup("doc", "seg").agg(F.grouping_id().alias("__id"), F.count("*").alias("segments"), *[F.sum(c).alias(c) for c in ("articles", "paragraphs", "preamble")])
+    return rolled.withColumn("level", F.when(F.col("__id") == 3, 2).otherwise(F.col("__id").cast("int"))).drop("__id")
+
+
 def source_text(found: DataFrame) -> DataFrame:
     """(doc, seg, text): a segment's text in order, for the similarity check."""
     line = F.coalesce("line", F.concat_ws(" ", F.lit("Article"), "display", "heading"))

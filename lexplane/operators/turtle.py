@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The prefixes of the graph's names, and the namespace of the literals' types.
-PREFIXES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "legal": "http://example.org/legal#", "ipronto": "http://dmag.upf.edu/ontologies/ipronto#", "ex": "http://example.org/resource/"}
+PREFIXES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "legal": "http://example.org/legal#", "ipronto": "http://rhizomik.net/ontologies/2005/03/ipronto.owl#", "ex": "http://example.org/resource/"}
 XSD = "http://www.w3.org/2001/XMLSchema#"
 #: Names without a prefix of the table stand as IRIs below this one.
 OTHER = "urn:x:"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rule_queries  # noqa: F401, its queries register themselves
+from . import document_queries, rule_queries  # noqa: F401, their queries register themselves
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

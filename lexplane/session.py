@@ -18,3 +18,16 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name below the one that driver and executors share (spark.checkpoint.dir), in local mode below a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/lexplane-{name}-{uuid.uuid4().hex[:12]}"
