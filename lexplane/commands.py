@@ -58,10 +58,11 @@ def enrich_folder(spark: SparkSession, source: str, out: str, index: str | None
 
 
 def validate_folder(spark: SparkSession, source: str, out: str) -> tuple[str, int]:
-    """Check the documents below source and write the report, a JSON line for each; the line to print and the exit code."""
+    """Check the documents below source and write the report, a JSON line for each and the summary in out/_summary; the line to print and the exit code."""
     nodes = akn.nodes(akn.read_texts(spark, source)).persist()
     reports = validate.report(nodes, schema.errors(nodes)).persist()
     validate.as_json(reports).write.mode("overwrite").text(out)
+    validate.summary(reports).write.mode("overwrite").json(f"{out}/_summary")
     row = validate.console(validate.summary(reports)).first()
     reports.unpersist()
     nodes.unpersist()

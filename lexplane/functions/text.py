@@ -153,6 +153,14 @@ def highlight(html: Column, span: Column) -> Column:
     return F.when((F.length(s) > 0) & (at > 0), marked).otherwise(html)
 
 
+def underline(passage: Column, span: Column) -> Column:
+    """passage as one line in quotes, the first occurrence of span in it underlined, if it is there and not empty."""
+    line, s = normalize_space(passage), F.coalesce(span, F.lit(""))
+    at = F.instr(line, s)
+    marked = F.concat(F.substr(line, F.lit(1), at - 1), F.lit("<u>"), s, F.lit("</u>"), F.substr(line, at + F.length(s)))
+    return F.concat(F.lit('"'), F.when((s != "") & (at > 0), marked).otherwise(line), F.lit('"'))
+
+
 def cut_passage(c: Column, chars: int = 800) -> Column:
     return F.substring(F.trim(c), 1, chars)
 

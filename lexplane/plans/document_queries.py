@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..api import Engine
+from ..functions import text as T
 from ..operators import convert, enrich, locate, schema, stored, temporal, turtle, validate
 from ..operators import triples as G
 from ..session import shared_folder
-from ..sources import akn, files, markup
+from ..sources import akn, facts, files, markup, treaties
+from . import rules
 from .queries import _TRIPLES, _customers, _nations, _t, _treaty, query
 
 _NAMED = {"Paris Convention": "paris", "Rome Convention": "rome"}
@@ -168,3 +171,82 @@ def folded_terms(spark, d):
     word = F.when(first, "Straße ").when(k % 3 == 0, "STRASSE ").when(k % 3 == 1, "strasse ").otherwise("straße ")
     rows = _t(spark, d, "part").select(F.concat(F.lit("d"), (k % 10).cast("string")).alias("doc"), k.alias("pos"), F.lit(0).alias("start"), F.lit("def").alias("kind"), F.concat(word, (k % 7).cast("string")).alias("target"))
     return enrich.definition_ids(rows).select("doc", "pos", "term_eid")
+
+
+@query("SELECT 'N' || n_nationkey AS id, n_name || ', \"the\" ' || n_nationkey AS name, (n_nationkey + 46) || ' years pma' AS duration_literary, CASE WHEN n_nationkey % 2 = 0 THEN 'true' END AS rental, 'Yes (s. ' || n_nationkey || '(1), (2))' AS private_copy_exception FROM nation")
+def facts_csv(spark, d):
+    """The curated facts' file written and read: quoted commas and quotes, missing values, identifiers with blanks around them."""
+    n, name = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    values = {"id": F.concat(F.lit(" N"), name, F.lit(" ")), "name": F.concat("n_name", F.lit(', "the" '), name), "duration_literary": F.concat((n + 46).cast("string"), F.lit(" years pma")), "rental": F.when(n % 2 == 0, "true"), "private_copy_exception": F.concat(F.lit("Yes (s. "), name, F.lit("(1), (2))"))}
+    path = shared_folder(spark, "facts")
+    _t(spark, d, "nation").select(*[values.get(k, F.lit("x")).cast("string").alias(k) for k in facts.COLUMNS]).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return facts.read(spark, path).select(*values)
+
+
+@query("SELECT 'page_' || page_id || '.html' AS file, md5(html) AS digest FROM pages WHERE html <> ''")
+def html_files(spark, d):
+    """Raw pages written as files and read whole, by name; files whose name begins with '_' are left out."""
+    path = shared_folder(spark, "pages")
+    name = F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html"))
+    pages = _t(spark, d, "pages").where("html <> ''")
+    files.write(pages.select(name.alias("file"), F.col("html").cast("binary").alias("content")).unionByName(pages.select(F.concat(F.lit("_"), name).alias("file"), F.lit(b"x").alias("content"))), path)
+    return akn.read_texts(spark, path).select(F.col("doc").alias("file"), F.md5(F.col("xml").cast("binary")).alias("digest"))
+
+
+@query("SELECT 'x' || p_size AS short_name, max('/akn/x' || p_size || '/' || CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE '' END) FILTER (WHERE p_partkey % 3 > 0) AS work_uri FROM part WHERE p_partkey % 3 > 0 GROUP BY p_size")
+def metadata_index(spark, d):
+    """The index written as JSON lines and read: names with their work identifiers, blank ones left out."""
+    path, k, s = shared_folder(spark, "index"), F.col("p_partkey"), F.concat(F.lit("x"), F.col("p_size").cast("string"))
+    uri = F.when(k % 3 > 0, F.concat(F.lit("/akn/"), s, F.lit("/"), "p_name")).otherwise("")
+    treaties.write_index(_t(spark, d, "part").select(F.concat(F.lit("part_"), k.cast("string")).alias("file"), s.alias("short_name"), uri.alias("work_uri")), path)
+    own = spark.createDataFrame([], "doc string, work_uri string")
+    return treaties.work_uris(own, treaties.read_index(spark, path)).select("short_name", "work_uri")
+
+
+@query("SELECT 'C' || c_nationkey AS code, DATE '2000-01-01' + (c_custkey % 50)::INT AS at, 'f' || c_custkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 50, 'f' || c_custkey) AS n FROM customer WHERE c_nationkey = 7")
+def versions_sorted(spark, d):
+    """One jurisdiction's versions by date, those of a day by file."""
+    k = F.col("c_custkey")
+    versions = _t(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("code"), F.date_add(F.lit("2000-01-01").cast("date"), (k % 50).cast("int")).alias("at"), F.concat(F.lit("f"), k.cast("string")).alias("file"))
+    found = Engine(_nations(spark, d), spark.createDataFrame([], "doc string, xml string"), versions).versions_of("C7")
+    return found.coalesce(1).withColumn("n", F.monotonically_increasing_id() + 1)  # in the order that it came in; one jurisdiction's versions are few
+
+
+@query("SELECT 'part_' || p_partkey AS doc, p_name || ' means a & b under Article ' || p_size AS text FROM part")
+def document_texts(spark, d):
+    """All text of preface, preamble and body in this order, whatever theirs in the document, as one line."""
+    s, c = F.col("p_size").cast("string"), F.concat
+    xml = c(F.lit('<a:act xmlns:a="u"><a:meta><a:x>no</a:x></a:meta><a:body><a:p>under\n  <a:b>Art</a:b>icle '), s, F.lit("</a:p></a:body><a:preamble><a:p>means a &amp; b</a:p></a:preamble><a:preface><a:p> "), F.col("p_name"), F.lit("</a:p></a:preface></a:act>"))
+    return _t(spark, d, "part").select(c(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), markup.document_text(xml).alias("text"))
+
+
+@query("SELECT 'part_' || p_partkey AS doc, n, CASE n WHEN 1 THEN 'b' || p_size WHEN 2 THEN 'c' ELSE p_name END AS text FROM part, (VALUES (1), (2), (3)) x(n)")
+def paragraph_order(spark, d):
+    """Paragraphs of the body before those of the preamble, as terms are numbered."""
+    s, c = F.col("p_size").cast("string"), F.concat
+    xml = c(F.lit("<act><preamble><p>"), F.col("p_name"), F.lit("</p></preamble><body><p>b<i>"), s, F.lit("</i></p><p>c</p></body></act>"))
+    found = markup.parts(_t(spark, d, "part").select(c(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), xml.alias("xml")))
+    from ..operators import ordered
+
+    return ordered.numbered(found.where("kind = 'p'"), ["doc"], ["pos"]).select("doc", "n", "text")
+
+
+@query("""SELECT p_partkey AS id, '"' || CASE WHEN p_partkey % 3 = 0 THEN 'lasts <u>' || p_size || ' years</u> or ' || p_size || ' years ' ELSE 'lasts ' || p_size || ' years or ' || p_size || ' years ' END || p_name || '"' AS text FROM part""")
+def underlined(spark, d):
+    """Evidence in quotes with the span that supports it underlined once, where it is there."""
+    s = F.col("p_size").cast("string")
+    passage = F.concat(F.lit(" lasts  "), s, F.lit(" years or\n"), s, F.lit(" years "), "p_name")
+    span = F.when(F.col("p_partkey") % 3 == 0, F.concat(s, F.lit(" years"))).when(F.col("p_partkey") % 3 == 1, "never").otherwise("")
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), T.underline(passage, span).alias("text"))
+
+
+@query("""WITH t AS (SELECT 'ex:N' || n_nationkey || '_duration' AS node, 'copyright duration' AS kind, 'N' || n_nationkey AS code, n_name AS name, (n_nationkey + 46) || ' years pma' AS text FROM nation),
+p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ' n' || c_nationkey END AS code, CASE WHEN c_custkey % 2 = 0 THEN 'copyright duration' ELSE 'weather' END AS rule FROM customer)
+SELECT p.id, t.node, t.name, t.text FROM p JOIN t ON trim(p.code) = '' OR upper(trim(p.code)) = t.code""")
+def bindings_all(spark, d):
+    """Rule nodes bound by each question's pattern: unknown topics ask for durations, a blank code for all jurisdictions."""
+    from .rule_queries import _graph
+
+    k = F.col("c_custkey")
+    asked = _t(spark, d, "customer").select(k.alias("id"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" n"), F.col("c_nationkey").cast("string"))).alias("code"), F.when(k % 2 == 0, "copyright duration").otherwise("weather").alias("rule"))
+    return rules.bindings(asked, _graph(spark, d).where("s <> 'ex:WIPO_berne_art7'")).select("id", "node", "name", "text")

@@ -40,10 +40,10 @@ def answer(name: Column, rule: Column, duration: Column, rights: Column, has: Co
     )
 
 
-def full_answer(short: Column, passage: Column, article: Column, title: Column, path: Column, country: Column) -> Column:
-    """Answer, evidence, reference and document in sections; a fixed sentence without a passage, a note without a country."""
+def full_answer(short: Column, passage: Column, article: Column, title: Column, path: Column, country: Column, span: Column | None = None) -> Column:
+    """Answer, evidence, reference and document in sections; a fixed sentence without a passage, a note without a country. span: what supports the answer, underlined."""
     note = F.when(F.coalesce(country, F.lit("")) == "", "\n\nNote: no country was named; the treaty baseline was used.").otherwise("")
-    body = F.concat(F.lit("Answer: "), short, F.lit("\n\nEvidence: \""), T.normalize_space(passage), F.lit("\"\n\nReference: "), T.format_reference(article, F.lit("")), F.lit("\n\nDocument: "), T.document_link(title, path), note)
+    body = F.concat(F.lit("Answer: "), short, F.lit("\n\nEvidence: "), T.underline(passage, F.lit("") if span is None else span), F.lit("\n\nReference: "), T.format_reference(article, F.lit("")), F.lit("\n\nDocument: "), T.document_link(title, path), note)
     return F.when(F.coalesce(F.trim(passage), F.lit("")) == "", "No passage was found that supports an answer.").otherwise(body)
 
 
@@ -95,6 +95,24 @@ def evidence(params: DataFrame, triples: DataFrame) -> DataFrame:
     return out.select(*params.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in kept])
 
 
+def bindings(params: DataFrame, triples: DataFrame) -> DataFrame:
+    """params (code, rule) with node, name, text and article: a row for each rule node that a question's pattern binds.
+
+    The pattern is that of the rule's kind, that of durations for any other; a blank code binds the nodes of all
+    jurisdictions. Unlike evidence(), nothing is made up for what binds nothing.
+    """
+    arms = {"kind": "legal:ruleType", "of": "legal:jurisdiction", "name": "legal:jurisdictionName"}
+    nodes = G.star(triples, arms, {"duration": "legal:durationLiterary", "exception": "legal:exceptionText", "article": "legal:articleRef"}).join(rights_list(triples), "s", "left")
+    shown = F.when(F.col("kind") == "copyright duration", F.col("duration")).when(F.col("kind") == "economic rights", F.col("rights")).otherwise(F.col("exception"))
+    nodes = nodes.select(F.col("s").alias("node"), "kind", "of", "name", shown.alias("text"), "article").where("text is not null")
+    asked = params.withColumn("kind", F.when(F.col("rule").isin(*RULE_KEYS), F.col("rule")).otherwise("copyright duration"))
+    blank = F.coalesce(F.trim("code"), F.lit("")) == ""
+    one = asked.where(~blank).withColumn("of", F.upper(F.trim("code"))).join(nodes, ["kind", "of"])
+    every = asked.where(blank).join(nodes, "kind")
+    kept = [*params.columns, "node", "name", "text", "article"]
+    return one.select(*kept).unionByName(every.select(*kept))
+
+
 def rights_list(triples: DataFrame) -> DataFrame:
     """(s, rights): the distinct rights of a node, sorted, in one text."""
     return G.objects(triples, "legal:hasRight", "right").groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("right")), ", ").alias("rights"))
