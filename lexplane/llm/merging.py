@@ -10,6 +10,8 @@ import heapq
 
 import numpy as np
 
+from .pieces import spans
+
 NEVER = np.iinfo(np.int64).max
 #: Parts from which a word is merged with a heap.
 LONG = 256
@@ -35,19 +37,40 @@ class PairTable:
 
     def merge(self, words: list[np.ndarray]) -> list[list[int]]:
         """The exact merging of all words, each given by its first parts."""
-        out: list[list[int]] = [self._long(w) if len(w) > LONG else [] for w in words]
-        order = sorted((n for n in range(len(words)) if 0 < len(words[n]) <= LONG), key=lambda n: len(words[n]))
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        tokens, counts = self.merge_flat(np.concatenate(words) if words else np.zeros(0, np.int64), counts)
+        found, ends = tokens.tolist(), np.cumsum(counts).tolist()
+        return [found[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if words else []
+
+    def merge_flat(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words one after another, of which counts has the parts of each: tokens one after another, and their numbers."""
+        starts = np.cumsum(counts) - counts
+        made = np.zeros(len(counts), np.int64)
+        groups: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in np.flatnonzero(counts > LONG).tolist():
+            tokens = np.array(self._long(flat[starts[n] : starts[n] + counts[n]]), np.int64)
+            made[n] = len(tokens)
+            groups.append((np.array([n]), tokens))
+        order = np.argsort(counts, kind="stable")
+        order = order[(counts[order] > 0) & (counts[order] <= LONG)]
+        sizes = counts[order]
         at = 0
         while at < len(order):  # words of like length together: padding stays below a half, memory below some 20 MB
-            longest = max(16, 2 * len(words[order[at]]))
-            end = at
-            while end < len(order) and len(words[order[end]]) <= longest and (end - at) * longest < 1_000_000:
-                end += 1
-            group = order[at:end]
-            for n, ids in zip(group, self._in_step([words[n] for n in group]), strict=True):
-                out[n] = ids
+            longest = max(16, 2 * int(sizes[at]))
+            end = min(int(np.searchsorted(sizes, longest, "right")), at + max(1, 1_000_000 // longest))
+            rows = order[at:end]
+            width = int(counts[rows].max())
+            parts = np.full((len(rows), width + 1), -1, np.int64)
+            parts[np.arange(width + 1)[None, :] < counts[rows][:, None]] = spans(flat, starts[rows], counts[rows])
+            self._in_step(parts)
+            made[rows] = (parts >= 0).sum(1)
+            groups.append((rows, parts[parts >= 0]))
             at = end
-        return out
+        out, begin = np.zeros(int(made.sum()), np.int64), np.cumsum(made) - made
+        for rows, tokens in groups:
+            n = made[rows]
+            out[np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(len(tokens))] = tokens
+        return out, made
 
     def _long(self, word: np.ndarray) -> list[int]:
         n = len(word)
@@ -89,19 +112,17 @@ class PairTable:
                 known.clear()
         return [t for t in at if t >= 0]
 
-    def _in_step(self, words: list[np.ndarray]) -> list[list[int]]:
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(counts.max())
-        parts = np.full((len(words), width + 1), -1, np.int64)
-        parts[np.arange(width + 1)[None, :] < counts[:, None]] = np.concatenate(words)
-        rows = np.arange(len(words))
-        ranks = self.rank_of(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(words), width)
+    def _in_step(self, parts: np.ndarray) -> None:
+        """Merge each row of parts, which -1 fills up behind; in place."""
+        width = parts.shape[1] - 1
+        rows = np.arange(len(parts))
+        ranks = self.rank_of(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(parts), width)
         while True:
             best = ranks[rows].argmin(1)
             live = ranks[rows, best] < NEVER
             rows, best = rows[live], best[live]
             if not len(rows):
-                break
+                return
             parts[rows, best] = self._made(parts[rows, best], parts[rows, best + 1])
             columns = np.arange(width + 1)[None, :]
             take = np.minimum(columns + (columns > best[:, None]), width)
@@ -113,4 +134,3 @@ class PairTable:
             left = np.maximum(best - 1, 0)
             moved[at, left] = self.rank_of(parts[rows, left], parts[rows, left + 1])
             ranks[rows] = moved
-        return [row[row >= 0].tolist() for row in parts]

@@ -103,7 +103,7 @@ class Normaliser:
 class SentencePieces:
     """Encoder and decoder of a BPE model file with byte fallback of the sentencepiece library."""
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as files
 
         model = files.ModelProto()
@@ -132,45 +132,56 @@ class SentencePieces:
         order = {s: n for n, s in enumerate(sorted(set(scores.values()), reverse=True))}
         pairs = [(symbols[p[:n]], symbols[p[n:]], order[scores[p]], symbols[p]) for p in scores for n in range(1, len(p)) if p[:n] in symbols and p[n:] in symbols]
         self.table = PairTable(*np.array(pairs or [(0, 0, 0, 0)], np.int64).T, self.size + 1)
-        self.text_of = {n: s for s, n in symbols.items()}
+        self.lengths = np.ones(self.size + 1, np.int64)  # characters of a symbol; the last one is any other character
+        for text, n in symbols.items():
+            self.lengths[n] = len(text)
+        self.symbol_of = np.full(0x110000, self.size, np.int32)
+        for c, n in self.symbols.items():
+            self.symbol_of[ord(c)] = n
         safe = cut_characters(p.replace(SPACE, " ").encode() for p in scores) if self.normaliser.plain and self.normaliser.dummy else ""
         self.cuts = safe if " " in safe else ""
         self.memo = _Memo(cutter(self.cuts), self.encode_segments if self.cuts else self.encode_whole, self, remembered)
 
-    def _tokens(self, normal: list[tuple[str, list[int]]]) -> list[tuple[list[int], list[int]]]:
-        """Ids of normal forms, and of each the source bytes; all bytes of a character are those of its last byte piece."""
-        get, none = self.symbols.get, self.size
-        merged = self.table.merge([np.fromiter((get(c, none) for c in s), np.int64, len(s)) for s, _ in normal])
-        out = []
-        for (s, offsets), found in zip(normal, merged, strict=True):
-            ids: list[int] = []
-            widths: list[int] = []
-            at = 0
-            for n in found:
-                length = 1 if n == none else len(self.text_of[n])
-                width = offsets[at + length] - offsets[at]
-                if n < len(self.bytes_of):
-                    ids.append(n)
-                    widths.append(width)
-                else:
-                    data = s[at : at + length].encode("utf-8")
-                    ids += map(self.byte_ids.__getitem__, data)
-                    widths += [0] * (len(data) - 1) + [width]
-                at += length
-            out.append((ids, widths))
-        return out
-
-    def encode_segments(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
+    def _tokens(self, points: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of normal forms, the source bytes of each, and the numbers of ids; a character's bytes are those of its last byte piece.
+
+        points: the forms' characters, one after another, of which counts has the number in each; offsets: where in the
+        source each begins, and the end; those of a form begin where the last one's end.
+        """
+        tokens, made = self.table.merge_flat(self.symbol_of[points].astype(np.int64), counts)
+        lengths = self.lengths[tokens]
+        ends = np.cumsum(lengths)
+        widths = offsets[ends] - offsets[ends - lengths]
+        other = np.flatnonzero(tokens >= len(self.bytes_of))
+        if len(other):
+            data = [chr(c).encode("utf-8") for c in points[ends[other] - 1].tolist()]
+            times = np.ones(len(tokens), np.int64)
+            times[other] = list(map(len, data))
+            owner = np.repeat(np.arange(len(made)), made)
+            last = np.cumsum(times) - 1
+            tokens = np.repeat(tokens, times)
+            for n, d in zip(other.tolist(), data, strict=True):
+                tokens[last[n] - len(d) + 1 : last[n] + 1] = [self.byte_ids[x] for x in d]
+            spread, widths = widths, np.zeros(len(tokens), np.int64)
+            widths[last] = spread
+            made = np.bincount(owner, times, len(made)).astype(np.int64)
+        return tokens, widths, made
+
+    def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same of segments that begin with the space in front of them, by a map that changes nothing."""
-        normal = []
-        for s in segments:
-            sizes = [1 if c < "\x80" else len(c.encode("utf-8")) for c in s] if not s.isascii() else [1] * len(s)
-            normal.append((s.replace(" ", SPACE), [0, *np.cumsum(sizes).tolist()]))
-        return self._tokens(normal)
+        points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        sizes = 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
+        normal = np.where(points == 32, ord(SPACE), points)
+        return self._tokens(normal, np.fromiter(map(len, segments), np.int64, len(segments)), np.concatenate(([0], np.cumsum(sizes))))
 
-    def encode_whole(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same of whole texts by the character map."""
-        return self._tokens([self.normaliser(t) for t in texts])
+        found = []
+        for text in texts:
+            normal, offsets = self.normaliser(text)
+            points = np.frombuffer(normal.encode("utf-32-le"), np.uint32)
+            found.append(self._tokens(points, np.array([len(points)]), np.array(offsets, np.int64)))
+        return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
 
     def slots(self, texts: list[str]) -> list[np.ndarray]:
         return self.memo.slots([" " + t if t else "" for t in texts] if self.cuts else texts)
@@ -178,13 +189,13 @@ class SentencePieces:
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids of a text, and the start and the end of each in bytes of the text."""
         slots = self.slots([text])[0]
-        ids, widths = self.memo.gather(slots, self.memo.ids), self.memo.gather(slots, self.memo.widths).astype(np.int64)
+        ids, widths = self.memo.gather(slots)
         start = 0
         if self.cuts and len(ids):  # the space in front is not in the text
             widths[np.flatnonzero(widths)[0] if not self.is_byte[ids[0]] else 0] -= 1
         elif len(ids):
             start = self.normaliser(text)[1][0]
-        ends = start + np.cumsum(widths)
+        ends = start + np.cumsum(widths, dtype=np.int64)
         return ids.tolist(), (ends - widths).tolist(), ends.tolist()
 
     def decode(self, ids: list[int]) -> str:
@@ -219,7 +230,7 @@ class SentencePieces:
                 text = joined(memo.decoded, slots)[1:]
                 covered = int(memo.source[slots].sum()) - bool(n)
             else:
-                text = self.decode(memo.gather(slots, memo.ids).tolist()).encode()
+                text = self.decode(memo.gather(slots)[0].tolist()).encode()
                 covered = int(memo.source[slots].sum())
             yield n, ids, hashlib.sha256(text).hexdigest(), covered
 
@@ -237,15 +248,17 @@ class _Memo(Segments):
         self.decoded: list[bytes] = []
         self.source = np.zeros(0, np.int64)
 
-    def fresh(self, new: list[str]) -> None:
+    def fresh(self, first: int, ids: list[int], counts: list[int]) -> None:
         digits, data = self.owner.digits, self.owner.bytes_of
-        first = len(self.printed)
-        for n in range(first, first + len(new)):
-            ids = self.ids[n].tolist()
-            self.printed.append(b",".join([digits[t] for t in ids]))
-            self.decoded.append(b"".join([data[t] for t in ids]))
-            self.held += len(self.printed[-1]) + len(self.decoded[-1])
-        self.source = np.concatenate((self.source, np.fromiter((int(w.sum()) for w in self.widths[first:]), np.int64, len(new))))
+        at = 0
+        for n in counts:
+            some = ids[at : at + n]
+            self.printed.append(b",".join([digits[t] for t in some]))
+            self.decoded.append(b"".join([data[t] for t in some]))
+            at += n
+        begin, end = int(self.start[first]), self.used
+        owner = np.repeat(np.arange(len(counts)), counts)
+        self.source = np.concatenate((self.source, np.bincount(owner, self.widths[begin:end], len(counts)).astype(np.int64)))
 
 
 def _by_character(data: bytes) -> str:

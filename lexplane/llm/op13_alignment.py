@@ -24,8 +24,10 @@ from .op9_bpe import Speculator
 from .op11_sentencepiece import SPACE, SentencePieces
 from .segments import cut_characters, cutter
 
-CODED = "chunk string, doc_id long, codes array<int>, idx int, seg string, n long"
-ALIGNED = "id long, seg string, n long, n_a int, n_b int, groups string, links array<struct<a:int,b:int>>"
+CODED = "chunk long, doc_id long, codes array<int>, idx int, seg string, n long"
+ALIGNED = "id long, seg string, n long, n_a int, n_b int, groups string, links array<long>"
+#: A link is a pair of ids as one number, a * PAIR + b.
+PAIR = 1 << 32
 
 
 class Aligner:
@@ -35,24 +37,35 @@ class Aligner:
         self.a, self.b = Speculator(byte_vocab, pattern, 50_000), SentencePieces(piece_model)
         if not self.b.cuts:
             raise ValueError("texts cannot be cut for this piece model")
-        self.widths_a, self.widths_b = (np.array([len(x) for x in e.bytes_of], np.int64) for e in (self.a, self.b))
+        self.width_a, self.width_b = ([len(x) for x in e.bytes_of] for e in (self.a, self.b))
+        self.digits = [str(n) for n in range(max(len(self.width_a), len(self.width_b)))]
 
     def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         words = [self.a.words.findall(s) for s in segments]
         distinct = list(dict.fromkeys(chain.from_iterable(words)))
         ids = dict(zip(distinct, self.a.encode_words([w.encode("utf-8") for w in distinct]), strict=True))
-        return [[t for w in ws for t in ids[w]] for ws in words], [x for x, _ in self.b.encode_segments(segments)]
+        flat, _, counts = self.b.encode_segments(segments)
+        found, ends = flat.tolist(), np.cumsum(counts).tolist()
+        return [[t for w in ws for t in ids[w]] for ws in words], [found[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def align(self, segments: list[str]) -> Iterator[tuple[int, int, str, list[tuple[int, int]]]]:
+    def align(self, segments: list[str]) -> Iterator[tuple[int, int, str, list[int]]]:
         """Of each segment: the numbers of ids, the groups in print, and the linked ids."""
+        width_a, width_b, digits = self.width_a, self.width_b, self.digits
         for a, b in zip(*self.tokens(segments), strict=True):
-            ends_a, ends_b = np.cumsum(self.widths_a[a]), np.cumsum(self.widths_b[b])
-            _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            groups, i, j = [], 0, 0
-            for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-                groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-                i, j = x, y
-            yield len(a), len(b), ";".join(groups), [(a[x], b[y]) for x, y in zip(at_a.tolist(), at_b.tolist(), strict=True)]
+            groups, links = [], []
+            i = j = x = 0
+            end_a = width_a[a[0]]
+            end_b = 0
+            for y, t in enumerate(b):
+                end_b += width_b[t]
+                while end_a < end_b:
+                    x += 1
+                    end_a += width_a[a[x]]
+                if end_a == end_b:
+                    groups.append(",".join([digits[k] for k in a[i : x + 1]]) + "|" + ",".join([digits[k] for k in b[j : y + 1]]))
+                    links.append(a[x] * PAIR + t)
+                    i, j = x + 1, y + 1
+            yield len(a), len(b), ";".join(groups), links
 
 
 def cuts_of(byte_vocab: str, pattern: str, piece_model: str) -> str:
@@ -64,21 +77,21 @@ def cuts_of(byte_vocab: str, pattern: str, piece_model: str) -> str:
     return found
 
 
-def coded(docs: DataFrame, cuts: str, chunk_bytes: int = 8 << 20) -> DataFrame:
+def coded(docs: DataFrame, cuts: str, chunk_bytes: int = 32 << 20) -> DataFrame:
     """CODED: a row for each document (doc_id, codes) and one for each entry of a chunk's dictionary (idx, seg, n).
 
     A chunk ends with the batch that takes it beyond chunk_bytes of text, so that it holds no more than that and a
     batch, or one text. Null and empty texts, and those with U+2581, whose pieces spell a space, have no codes.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = pa.schema([("chunk", pa.string()), ("doc_id", pa.int64()), ("codes", pa.list_(pa.int32())), ("idx", pa.int32()), ("seg", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.list_(pa.int32())), ("idx", pa.int32()), ("seg", pa.string()), ("n", pa.int64())])
 
     def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(cuts)
-        task, number = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 24
         known: dict[str, int] = {}
         counts, taken = np.zeros(0, np.int64), 0
 
@@ -86,7 +99,7 @@ def coded(docs: DataFrame, cuts: str, chunk_bytes: int = 8 << 20) -> DataFrame:
             segments, k = list(known), len(known)
             for at in range(0, k, 20_000):
                 part = segments[at : at + 20_000]
-                names = pa.array([f"{task}-{number}"] * len(part), pa.string())
+                names = pa.array(np.full(len(part), number))
                 yield rows(len(part), chunk=names, idx=pa.array(np.arange(at, at + len(part)), pa.int32()), seg=pa.array(part, pa.string()), n=pa.array(counts[at : at + len(part)]))
 
         for b in batches:
@@ -99,7 +112,7 @@ def coded(docs: DataFrame, cuts: str, chunk_bytes: int = 8 << 20) -> DataFrame:
             flat = np.fromiter(map(get, chain.from_iterable(found)), np.int32)
             counts = np.bincount(flat, minlength=len(known)) + np.pad(counts, (0, len(known) - len(counts)))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            yield rows(len(found), chunk=pa.array([f"{task}-{number}"] * len(found), pa.string()), doc_id=b.column(0), codes=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            yield rows(len(found), chunk=pa.array(np.full(len(found), number)), doc_id=b.column(0), codes=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
             taken += b.column(1).nbytes
             if taken > chunk_bytes:
                 yield from dictionary()
@@ -111,26 +124,25 @@ def coded(docs: DataFrame, cuts: str, chunk_bytes: int = 8 << 20) -> DataFrame:
 
 def aligned(segments: DataFrame, byte_vocab: str, pattern: str, piece_model: str) -> DataFrame:
     """ALIGNED of distinct segments (id, seg, n)."""
-    schema = pa.schema([("id", pa.int64()), ("seg", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()), ("links", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+    schema = pa.schema([("id", pa.int64()), ("seg", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Aligner | None = None
         for b in batches:
             own = own or Aligner(byte_vocab, pattern, piece_model)
             n_a, n_b, groups, links = zip(*own.align(b.column(1).to_pylist()), strict=True)
-            ids = [np.fromiter((x[k] for x in chain.from_iterable(links)), np.int32) for k in range(2)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in links]))).astype(np.int32)
-            pairs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in ids], names=["a", "b"]))
+            pairs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(links), np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(groups, pa.string()), pairs], schema=schema)
 
     return segments.select("id", "seg", "n").mapInArrow(in_batches(run, 8192, text=1), ALIGNED)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
-    """(a, b, count, best) of ALIGNED: how many links of the corpus hold the pair, and whether no pair of b has more."""
-    pairs = found.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"))
+    """(pair, count, best) of ALIGNED: how many links of the corpus hold the pair, and whether no pair of its b has more."""
+    pairs = found.select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair") % PAIR)
     most = pairs.groupBy("b").agg(F.max("count").alias("most"))
-    return pairs.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+    return pairs.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
 def _compose(groups: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -138,12 +150,13 @@ def _compose(groups: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def run(docs: pa.Table, entries: pa.Table) -> pa.Table:
         at = entries.column("idx").to_numpy()
-        table = np.zeros((len(at), len(names)), np.int64)
-        for k, name in enumerate(names):
-            table[at, k] = entries.column(name).to_numpy()
         printed: list[bytes] = [b""] * len(at)
         for n, g in zip(at.tolist(), entries.column("groups").to_pylist(), strict=True):
             printed[n] = g.encode()
+        tokens, n_groups = entries.column("tokens").to_numpy(), np.fromiter((g.count(b"|") for g in printed), np.int64, len(at))
+        table = np.zeros((len(at), len(names)), np.int64)
+        for k, column in enumerate((tokens // PAIR, tokens % PAIR, n_groups[at], n_groups[at], entries.column("n_best").to_numpy(), entries.column("count_sum").to_numpy())):
+            table[at, k] = column
         sums, digests, texts = [], [], []
         for codes in docs.column("codes"):
             codes = codes.values.to_numpy()
@@ -159,7 +172,7 @@ def _compose(groups: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def alignments(scratch: Scratch, docs: DataFrame, byte_vocab: str, pattern: str, piece_model: str, groups: bool = False, chunk_bytes: int = 8 << 20) -> DataFrame:
+def alignments(scratch: Scratch, docs: DataFrame, byte_vocab: str, pattern: str, piece_model: str, groups: bool = False, chunk_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row; groups: the groups in print too.
 
     A null, empty or U+2581-holding text has zeros and empty strings. Repeated rows count as often as they stand; a
@@ -172,9 +185,10 @@ def alignments(scratch: Scratch, docs: DataFrame, byte_vocab: str, pattern: str,
     segments = scratch.table(entries.groupBy("seg").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("id"), "seg", "n"), "segments")
     found = scratch.table(aligned(segments, *both), "aligned")
     pairs = scratch.table(pair_counts(found), "pairs")
-    links = found.select("id", F.explode("links").alias("l")).select("id", "l.a", "l.b").join(broadcast_if_small(pairs, 300_000), ["a", "b"])
-    sums = links.groupBy("id").agg(F.sum("count").alias("count_sum"), F.count_if("best").alias("n_best"))
-    whole = scratch.table(found.join(sums, "id").select("seg", "n_a", "n_b", F.size("links").alias("n_groups"), F.size("links").alias("n_links"), "n_best", "count_sum", "groups"), "whole")
+    links = found.select("id", F.explode("links").alias("pair")).join(broadcast_if_small(pairs, 300_000), "pair")
+    sums = links.groupBy("id").agg(F.sum("count").alias("count_sum"), F.count_if("best").cast("int").alias("n_best"))
+    tokens = (F.col("n_a").cast("long") * PAIR + F.col("n_b")).alias("tokens")
+    whole = scratch.table(found.join(sums, "id").select("seg", tokens, "n_best", "count_sum", "groups"), "whole")
     for used in (segments, found, pairs):
         scratch.drop(used)
     parts = entries.select(F.col("chunk").alias("part"), "idx", "seg").join(whole, "seg").drop("seg")

@@ -22,7 +22,7 @@ _TAIL = re.compile(r"(\n?[^\W_]+)([!-&(-/:-@\[-`{-~]+)")
 _SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
-def _spans(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+def spans(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """values[a : a + n] of each start a and count n, one after another."""
     ends = np.cumsum(count)
     if not len(ends) or not ends[-1]:
@@ -84,7 +84,7 @@ class Memo:
         known = np.flatnonzero(out >= 0)
         if len(known):
             start, count = self.older_start[out[known]], self.older_count[out[known]]
-            first = self._put(_spans(self.older_ids, start, count), count)
+            first = self._put(spans(self.older_ids, start, count), count)
             out[known] = np.arange(first, first + len(known))
             self.spaced.update(zip([new[n] for n in known], range(first, first + len(known)), strict=True))
         rest = np.flatnonzero(out < 0).tolist()
@@ -160,7 +160,7 @@ class Memo:
 
     def gather(self, slots: np.ndarray) -> np.ndarray:
         """The ids of slots, one after another."""
-        return _spans(self.ids, self.start[slots], self.count[slots])
+        return spans(self.ids, self.start[slots], self.count[slots])
 
     def ids_of_texts(self, texts: list[str]) -> list[np.ndarray]:
         found = self.slots(texts)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 
+from .pieces import spans
+
 #: White space before which texts may be cut, as far as the vocabularies allow.
 CUTS = " \n\t\r\v\f"
 
@@ -44,53 +45,60 @@ def cutter(characters: str) -> Callable[[str], list[str]]:
 
 
 class Segments:
-    """Slots of segments, with the ids of each, the source bytes that each id takes up, and what `detail` makes of them.
+    """Slots of segments, with the ids of each, and the source bytes that each id takes up.
 
-    encode: distinct segments to (ids, source bytes), one pair of lists for each. Beyond the bounds all are forgotten:
-    `remembered` segments, 32 times as many characters or ids.
+    encode: distinct segments to ids and source bytes, each one after another, and the numbers of ids. Beyond the bounds
+    all are forgotten: `remembered` segments, 32 times as many characters and ids.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list[tuple[list[int], list[int]]]], remembered: int = 150_000):
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], remembered: int = 400_000):
         self.cut, self.encode, self.remembered = cut, encode, remembered
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.widths: list[np.ndarray] = []
-        self.count = np.zeros(1 << 12, np.int64)
-        self.held = 0
+        self.ids, self.widths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.held = 0
 
     def slots(self, texts: list[str]) -> list[np.ndarray]:
         """The slots of each text's segments, in order; good until the next call."""
         if len(self.slot) > self.remembered or self.held > 32 * self.remembered:
             self.clear()
         found = [self.cut(t) for t in texts]
-        new = list(dict.fromkeys(s for segments in found for s in set(segments) if s not in self.slot))
-        first = len(self.slot)
-        if first + len(new) > len(self.count):
-            self.count = np.concatenate((self.count, np.zeros(max(len(self.count), len(new)), np.int64)))
-        for n, (segment, (ids, widths)) in enumerate(zip(new, self.encode(new), strict=True), first):
-            self.slot[segment] = n
-            self.ids.append(np.array(ids, np.int32))
-            self.widths.append(np.array(widths, np.int32))
-            self.count[n] = len(ids)
-            self.held += len(segment) + len(ids)
-        self.fresh(new)
-        get = self.slot.__getitem__
+        slot, new = self.slot, []
+        first = len(slot)
+        for segments in found:
+            for s in segments:
+                if s not in slot:
+                    slot[s] = len(slot)
+                    new.append(s)
+        if new:
+            ids, widths, counts = self.encode(new)
+            n, end = len(slot), self.used + len(ids)
+            self.start, self.count = _room(self.start, n), _room(self.count, n)
+            self.ids, self.widths = _room(self.ids, end), _room(self.widths, end)
+            self.ids[self.used : end], self.widths[self.used : end] = ids, widths
+            self.start[first:n], self.count[first:n] = self.used + np.cumsum(counts) - counts, counts
+            self.used = end
+            self.held += sum(map(len, new)) + len(ids)
+            self.fresh(first, ids.tolist(), counts.tolist())
+        get = slot.__getitem__
         return [np.fromiter(map(get, segments), np.int64, len(segments)) for segments in found]
 
-    def fresh(self, new: list[str]) -> None:
-        """Called with the segments that were added, in the order of their slots."""
+    def fresh(self, first: int, ids: list[int], counts: list[int]) -> None:
+        """Called with the slots that were added, from first on."""
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of slots, one after another, and their source bytes."""
+        return spans(self.ids, self.start[slots], self.count[slots]), spans(self.widths, self.start[slots], self.count[slots])
 
-    def gather(self, slots: np.ndarray, what: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([what[n] for n in slots.tolist()]) if len(slots) else np.zeros(0, np.int32)
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(len(x), n - len(x)), x.dtype)))
 
 
 def joined(parts: list[bytes], slots: np.ndarray, by: bytes = b"") -> bytes:
     """The parts of the slots, one after another."""
     return by.join(map(parts.__getitem__, slots.tolist()))
 
-
-def flat(lists: Iterable[list[int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(lists), np.int64)
