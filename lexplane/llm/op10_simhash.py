@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small, connected_components, in_batches, whole_runs
@@ -541,15 +541,17 @@ def _apart(x, y, similarity: float):
 def _open_blocks(scratch: Scratch, classes: DataFrame, groups: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Blocks (block, cls, group, size, side, odd) of classes that share one of their rarest shingles with another group, sorted, and the table they read.
 
-    A shingle that only one class has among its rarest, as nearly all have, leaves after one shuffle of slim rows; next
-    those of one group leave, and only then signatures join. One with more than most rows is cut into parts, of which
-    each pair is a block.
+    A shingle that only one class has among its rarest, as nearly all have, leaves first; next those of one group leave,
+    and only then signatures join. Keys are counted with partial counts and joined back, so that no task holds all rows
+    of a frequent one. One with more than most rows is cut into parts, of which each pair is a block.
     """
-    of_key = Window.partitionBy("key")
     rows = classes.select("cls", F.explode("rare").alias("key"))
-    read = scratch.table(rows.withColumn("rows_of_key", F.count("*").over(of_key)).where("rows_of_key > 1"), "shared-shingles")
-    shared = read.join(groups, F.col("cls") == F.col("node"), "left").select("key", "rows_of_key", "cls", F.coalesce("component", "cls").alias("group"))
-    shared = shared.withColumn("low", F.min("group").over(of_key)).withColumn("high", F.max("group").over(of_key)).where("low < high").drop("low", "high")
+    counts = scratch.table(rows.groupBy("key").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1"), "shared-keys")
+    shared = rows.join(broadcast_if_small(counts, 200_000), "key").join(groups, F.col("cls") == F.col("node"), "left")
+    read = scratch.table(shared.select("key", "rows_of_key", "cls", F.coalesce("component", "cls").alias("group")), "shared-shingles")
+    scratch.drop(counts)
+    apart = scratch.table(read.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"), "keys-between-groups")
+    shared = read.join(broadcast_if_small(apart, 200_000), "key")
     blocks = _blocks(shared.join(classes.select("cls", "size", "odd"), "cls"), most).select("block", "cls", "group", "size", "side", "odd")
     return blocks.repartition("block").sortWithinPartitions("block"), read
 
