@@ -59,7 +59,10 @@ def write(rows: DataFrame, path: str) -> DataFrame:
                 draft = posixpath.join(root, f"_{uuid.uuid4().hex}")
                 with store.open_output_stream(draft) as f:
                     f.write(content)
-                store.move(draft, posixpath.join(root, file))
+                target = posixpath.join(root, file)
+                if store.get_file_info(target).type != fs.FileType.NotFound:  # of an earlier run or attempt
+                    store.delete_file(target)
+                store.move(draft, target)
                 out.append((file, len(content), hashlib.sha256(content).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
