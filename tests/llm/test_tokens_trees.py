@@ -1,6 +1,8 @@
 """SentencePiece offsets, Merkle manifest and token alignment against the libraries and brute force."""
 
+import functools
 import hashlib
+import itertools
 import random
 import resource
 import zlib
@@ -159,11 +161,17 @@ def test_levels_are_stored(spark, docs, rows, scratch):
     assert trees.roots().count() == len(sizes)
 
 
+@functools.cache
+def bytes_of_pieces():
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    return [bytes([int(own.id_to_piece(n)[3:5], 16)]) if own.is_byte(n) else own.id_to_piece(n).replace("▁", " ").encode() for n in range(own.get_piece_size())]
+
+
 def brute_alignment(rows):
     a_of, b_of = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     a_of.encode_special_tokens = True
     byte = {c: b for b, c in enumerate(op9_bpe._byte_letters())}
-    piece = [bytes([int(b_of.id_to_piece(n)[3:5], 16)]) if b_of.is_byte(n) else b_of.id_to_piece(n).replace("▁", " ").encode() for n in range(b_of.get_piece_size())]
+    piece = bytes_of_pieces()
     found, counts = [], Counter()
     for i, t in rows:
         a, b, whole = a_of.encode(" " + (t or ""), add_special_tokens=False), b_of.encode(t or ""), (" " + (t or "")).encode()
@@ -171,7 +179,7 @@ def brute_alignment(rows):
         if not t or b"".join(parts_a) != whole or b"".join(parts_b) != whole:
             found.append((i, 0, 0, [], []))
             continue
-        ends = {sum(map(len, parts_a[: k + 1])): k for k in range(len(parts_a))} if len(parts_a) < 500 else dict(zip(__import__("itertools").accumulate(map(len, parts_a)), range(len(parts_a)), strict=True))
+        ends = dict(zip(itertools.accumulate(map(len, parts_a)), range(len(parts_a)), strict=True))
         links, groups, x0, y0, end = [], [], 0, 0, 0
         for y, part in enumerate(parts_b):
             end += len(part)
