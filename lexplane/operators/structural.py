@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -49,20 +50,37 @@ def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     stream = a.unionByName(b, allowMissingColumns=True).select("doc", "at", "order", "end", "o", "i")
     schema = S.StructType([S.StructField("doc", kind), S.StructField("o", stream.schema["o"].dataType), S.StructField("i", stream.schema["i"].dataType)])
 
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        now, stack = None, []
-        for doc, at, order, end, o, i in rows:
-            if doc != now:
-                now, stack = doc, []
-            while stack and stack[-1][0] < at:
-                stack.pop()
-            if order == 1:
-                stack.append((end, o))
-            else:
-                for _, around in stack:
-                    yield doc, around, i
-
-    return _streamed(stream, ["at", "order"], fold, schema).select("doc", "o.*", "i.*")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stack holds places of open nodes; rows themselves stay in Arrow and are taken by their places."""
+        now, stack, held = None, [], None
+        for b in filter(len, batches):
+            docs, at, order, end, outers, inners = b.columns
+            around = outers if held is None else pa.concat_arrays([held, outers])
+            base, left, right = len(around) - len(b), [], []
+            new = [docs[0].as_py() != now, *pc.not_equal(docs[1:], docs[:-1]).to_pylist()]
+            for n, (begins, place, kind, last) in enumerate(zip(new, at.to_pylist(), order.to_pylist(), end.to_pylist(), strict=True)):
+                if begins:
+                    stack = []
+                while stack and stack[-1][0] < place:
+                    stack.pop()
+                if kind == 1:
+                    stack.append((last, base + n))
+                elif stack:
+                    left += [k for _, k in stack]
+                    right += [n] * len(stack)
+                    if len(left) > 50_000:
+                        yield pairs(docs, around, inners, left, right)
+                        left, right = [], []
+            if left:
+                yield pairs(docs, around, inners, left, right)
+            now, held = docs[-1].as_py(), around.take(pa.array([k for _, k in stack], pa.int64()))
+            stack = [(last, k) for k, (last, _) in enumerate(stack)]
+
+    def pairs(docs: pa.Array, around: pa.Array, inners: pa.Array, left: list[int], right: list[int]) -> pa.RecordBatch:
+        inside = pa.array(right, pa.int64())
+        return pa.RecordBatch.from_arrays([docs.take(inside), around.take(pa.array(left, pa.int64())), inners.take(inside)], names=["doc", "o", "i"])
+
+    return stream.repartition("doc").sortWithinPartitions("doc", "at", "order").mapInArrow(fold, schema).select("doc", "o.*", "i.*")
 
 
 def descend(asked: DataFrame, nodes: DataFrame) -> DataFrame:
