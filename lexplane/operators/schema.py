@@ -49,28 +49,45 @@ def _one_of(tag: Column, values: dict, otherwise: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in values.items() for x in kv]), tag), otherwise)
 
 
-def errors(nodes: DataFrame, models: dict[str, str] | None = None, required: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc, schema_errors) of each document of a node table, errors sorted: misplaced, missing or repeated children, and missing attributes.
+#: The columns of a node table that marked() reads.
+READ = ("doc", "pre", "tag", "eid", "attrs", "children")
+
 
-    Elements without a model may hold anything. A node meets its children in one grouping by document and node, so that
-    no task holds more than one element's children; each model is a constant pattern of the plan.
+def marked(nodes: DataFrame, models: dict[str, str] | None = None, required: dict[str, list[str]] | None = None) -> DataFrame:
+    """nodes with errors: of each node of a table with children, what is misplaced, missing or repeated below it, and attributes that it lacks.
+
+    Elements without a model may hold anything. Each model is a constant pattern of the plan, held against the names that
+    the reader of the tree has put beside a node.
     """
     models, required = MODELS if models is None else models, REQUIRED if required is None else required
-    own = F.struct(F.col("pre").alias("key"), F.lit(None).cast("struct<pre:int,tag:string>").alias("child"), F.struct("tag", "eid", F.map_keys("attrs").alias("has")).alias("own"))
-    child = F.struct(F.col("parent").alias("key"), F.struct("pre", "tag").alias("child"), F.lit(None).cast("struct<tag:string,eid:string,has:array<string>>").alias("own"))
-    pairs = nodes.select("doc", F.explode(F.array(own, child)).alias("x")).select("doc", "x.*").where("key >= 0")
-    met = pairs.groupBy("doc", "key").agg(F.max("own").alias("own"), F.array_sort(F.collect_list("child")).alias("children"))
-    tag, names = F.col("own.tag"), F.array_join(F.transform("children", lambda x: F.concat(x["tag"], F.lit(" "))), "")
+    tag, none = F.col("tag"), F.array().cast("array<string>")
+    names = F.when(F.col("children") == "", "").otherwise(F.concat("children", F.lit(" ")))
     by_pattern: dict[str, list[str]] = {}
     for name, model in models.items():
         by_pattern.setdefault(compiled(model), []).append(name)
     fits = F.lit(True)
     for pattern, tags in by_pattern.items():
         fits = F.when(tag.isin(*tags), names.rlike(pattern)).otherwise(fits)
-    where = F.concat(tag, F.lit("["), F.coalesce("own.eid", F.col("key").cast("string")), F.lit("]"))
-    lacking = F.array_except(_one_of(tag, required, F.array().cast("array<string>")), F.col("own.has"))
+    where = F.concat(tag, F.lit("["), F.coalesce("eid", F.col("pre").cast("string")), F.lit("]"))
+    lacking = F.array_except(_one_of(tag, required, none), F.map_keys("attrs"))
     found = F.concat(
-        F.when(~fits, F.array(F.concat(where, F.lit(": children "), F.rtrim(names), F.lit(" do not fit")))).otherwise(F.array().cast("array<string>")),
+        F.when(~fits, F.array(F.concat(where, F.lit(": children "), F.col("children"), F.lit(" do not fit")))).otherwise(none),
         F.transform(lacking, lambda a: F.concat(where, F.lit(": attribute "), a, F.lit(" is missing"))),
     )
-    return met.select("doc", found.alias("e")).groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list(F.when(F.size("e") > 0, F.col("e"))))).alias("schema_errors"))
+    return nodes.withColumn("errors", F.when(tag.isin(*models) | tag.isin(*required), found).otherwise(none))
+
+
+def errors(nodes: DataFrame, models: dict[str, str] | None = None, required: dict[str, list[str]] | None = None) -> DataFrame:
+    """(doc, schema_errors) of each document of a node table, errors sorted: misplaced, missing or repeated children, and missing attributes.
+
+    A node table without children meets them first in one grouping by document and node, so that no task holds more
+    than one element's children.
+    """
+    if "children" not in nodes.columns:
+        own = F.struct(F.col("pre").alias("key"), F.lit(None).cast("struct<pre:int,tag:string>").alias("child"), F.struct("tag", "eid", "attrs").alias("own"))
+        child = F.struct(F.col("parent").alias("key"), F.struct("pre", "tag").alias("child"), F.lit(None).cast("struct<tag:string,eid:string,attrs:map<string,string>>").alias("own"))
+        pairs = nodes.select("doc", F.explode(F.array(own, child)).alias("x")).select("doc", "x.*").where("key >= 0")
+        met = pairs.groupBy("doc", F.col("key").alias("pre")).agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("child")).alias("children"))
+        nodes = met.select("doc", "pre", "own.*", F.array_join(F.transform("children", lambda x: x["tag"]), " ").alias("children"))
+    found = marked(nodes, models, required).where((F.size("errors") > 0) | (F.col("pre") == 0))
+    return found.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("errors"))).alias("schema_errors"))

@@ -65,20 +65,28 @@ def _meta_issues(meta: Column, editor: str) -> Column:
     return F.array_compact(F.array(*out))
 
 
+#: The columns of a node table that report() reads.
+READ = ("doc", "pre", "parent", "tag", "eid", "attrs")
+
+
 def report(nodes: DataFrame, schema: DataFrame | None = None, editor: str = EDITOR) -> DataFrame:
     """A row per document: duplicate_eids, missing_refs, bad_defs, frbr_issues, unmarked (arrays), schema_errors, and valid.
 
     All lists come from one pass over the nodes, grouped by document, which was one text in memory before. A document
-    is valid if all lists are empty. schema (doc, schema_errors) has what a schema processor found, if one was run.
+    is valid if all lists are empty. schema (doc, schema_errors) has what a schema processor found, if one was run; nodes
+    with a column errors, as schema.marked() gives them, bring these along in the same pass.
     """
+    marked = "errors" in nodes.columns
     tag, attrs = F.col("tag"), F.col("attrs")
     meta = tag.startswith("FRBR") | tag.isin("identification", "references", "publication")
-    lists = nodes.groupBy("doc").agg(
+    said = F.col("eid").isNotNull() | tag.isin("ref", "def", "TLCTerm") | meta | (F.col("pre") == 0)  # a document's first node stands for it
+    lists = nodes.where(said | (F.size("errors") > 0) if marked else said).groupBy("doc").agg(
         F.array_sort(F.collect_list("eid")).alias("ids"),
         F.collect_set(F.when(tag == "ref", attrs["href"])).alias("refs"),
         F.collect_list(F.when(tag == "def", F.struct("pre", F.coalesce("eid", F.lit("(no-eId)")).alias("eid"), attrs["refersTo"].alias("to")))).alias("defs"),
         F.collect_set(F.when(tag == "TLCTerm", F.concat(F.lit("#"), "eid"))).alias("terms"),
         F.array_sort(F.collect_list(F.when(meta, F.struct("pre", "parent", "tag", F.struct(*[attrs[k].alias(k) for k in ("value", "href", "as", "source")]).alias("attrs"))))).alias("meta"),
+        *([F.array_sort(F.flatten(F.collect_list(F.when(F.size("errors") > 0, F.col("errors"))))).alias("schema_errors")] if marked else []),
     )
     targets = F.transform(F.array_distinct("ids"), lambda x: F.concat(F.lit("#"), x))
     lists = lists.select(
@@ -88,12 +96,13 @@ def report(nodes: DataFrame, schema: DataFrame | None = None, editor: str = EDIT
         F.array_sort(F.array_distinct(F.transform(F.filter("defs", lambda x: ~F.coalesce(F.array_contains("terms", x["to"]), F.lit(False))), lambda x: x["eid"]))).alias("bad_defs"),
         _meta_issues(F.col("meta"), editor).alias("frbr_issues"),
         F.filter(F.array_distinct("ids"), lambda x: x.contains("para_unmarked")).alias("unmarked"),
+        *(["schema_errors"] if marked else []),
     )
     none = F.array().cast("array<string>")
-    if schema is None:
+    if schema is None and not marked:
         lists = lists.withColumn("schema_errors", none)
-    else:
-        lists = lists.join(schema.select("doc", "schema_errors"), "doc", "left").withColumn("schema_errors", F.coalesce("schema_errors", none))
+    elif schema is not None:
+        lists = lists.drop("schema_errors").join(schema.select("doc", "schema_errors"), "doc", "left").withColumn("schema_errors", F.coalesce("schema_errors", none))
     empty = [F.size(c) == 0 for c in ("duplicate_eids", "missing_refs", "bad_defs", "frbr_issues", "unmarked", "schema_errors")]
     return lists.withColumn("valid", reduce(Column.__and__, empty))
 

@@ -88,7 +88,7 @@ def _shaped(spark, d):
         F.lit('<akomaNtoso><act name="a"><meta><identification source="#s">'), F.when(k % 7 == 0, "").otherwise(f'<FRBRWork>{core}<FRBRcountry value="un"/></FRBRWork>'), F.lit(f'<FRBRExpression>{core}<FRBRlanguage language="eng"/></FRBRExpression>'), F.lit(mani), F.when(k % 11 == 0, mani).otherwise(""),
         F.lit("</identification></meta><body>"), F.when(k % 13 == 0, "").otherwise(c(F.lit("<article"), F.when(k % 17 == 0, "").otherwise(c(F.lit(' eId="art_'), k.cast("string"), F.lit('"'))), F.lit(">"), article, F.lit("<content><p>x</p></content></article>"))), F.lit("</body></act></akomaNtoso>"),
     )
-    return akn.nodes(_spread(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")))
+    return akn.nodes(_spread(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")), {*validate.READ, *schema.READ})
 
 
 _CHILDREN = "concat_ws(' ', CASE WHEN p_partkey % 7 <> 0 THEN 'FRBRWork' END, 'FRBRExpression FRBRManifestation', CASE WHEN p_partkey % 11 = 0 THEN 'FRBRManifestation' END)"
@@ -102,8 +102,7 @@ CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 = 0 THEN 'article[' || (body +
 NOT (p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 17 = 0) AS fits FROM x""")
 def schema_report(spark, d):
     """Misplaced, missing and repeated children, and a missing attribute."""
-    nodes = _shaped(spark, d)
-    out = validate.report(nodes, schema.errors(nodes))
+    out = validate.report(schema.marked(_shaped(spark, d)))
     return out.select("doc", "schema_errors", (F.size("schema_errors") == 0).alias("fits"))
 
 

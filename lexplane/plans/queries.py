@@ -387,7 +387,7 @@ def _letter(n):
     return F.chr(n + 97)
 
 
-def _akn(spark, d):
+def _akn(spark, d, *columns):
     """An act for each part: two articles with paragraphs, a list of one to four points, a note, a definition and references, some of them broken."""
     k, n, s = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
     c = F.concat
@@ -403,18 +403,18 @@ def _akn(spark, d):
         F.lit('</def> of <ref href="#'), target, F.lit('">Article 2</ref><authorialNote><p>note</p></authorialNote>.</p></content></paragraph><paragraph eId="'), dup, F.lit('"><num>(2)</num><list eId="l"><point eId="art_1__para_2__point_a"><num>(a)</num><content><p>first '), s,
         F.lit("</p></content></point>"), more, F.lit('</list></paragraph></article><article eId="art_2"><num>Article '), s, F.lit(" bis"), F.lit('</num><content><p>'), s, F.lit(" years after death.</p></content></article></body></act></akomaNtoso>"),
     )
-    return akn.nodes(_spread(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")))
+    return akn.nodes(_spread(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")), columns or None)
 
 
 @query("""SELECT 'part_' || p_partkey AS doc, ((CASE WHEN p_partkey % 3 = 0 THEN 32 ELSE 33 END) + 4 * (p_size % 4))::BIGINT AS n_nodes, 2::BIGINT AS n_articles, 2::BIGINT AS n_paragraphs, (1 + p_size % 4)::BIGINT AS n_points, 1::BIGINT AS n_refs, 1::BIGINT AS n_defs FROM part""")
 def akn_counts(spark, d):
     count = lambda tag: F.count_if(F.col("tag") == tag)
-    return _akn(spark, d).groupBy("doc").agg(F.count("*").alias("n_nodes"), count("article").alias("n_articles"), count("paragraph").alias("n_paragraphs"), count("point").alias("n_points"), count("ref").alias("n_refs"), count("def").alias("n_defs"))
+    return _akn(spark, d, "doc", "tag").groupBy("doc").agg(F.count("*").alias("n_nodes"), count("article").alias("n_articles"), count("paragraph").alias("n_paragraphs"), count("point").alias("n_points"), count("ref").alias("n_refs"), count("def").alias("n_defs"))
 
 
 @query("SELECT 'part_' || p_partkey AS doc, '(1)' || p_name || ' of Article 2.' AS passage FROM part")
 def passage_text(spark, d):
-    found = _akn(spark, d)
+    found = _akn(spark, d, "doc", "pre", "eid", "content")
     wanted = _t(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("doc"), F.lit("art_1__para_1").alias("eid"))
     return locate.passages(wanted, found).select("doc", "passage")
 
@@ -431,7 +431,7 @@ def frbr_fields(spark, d):
     return akn.frbr(_akn(spark, d)).select("doc", "work_uri", "this", "eli", "in_force", "point_in_time", "authoritative")
 
 
-def _filed(spark, d):
+def _filed(spark, d, *columns):
     """A treaty for each part, with all its metadata; every seventh or so has one of six faults."""
     k, s = F.col("p_partkey"), F.col("p_size").cast("string")
     c, fault = F.concat, lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
@@ -448,7 +448,7 @@ def _filed(spark, d):
         F.lit('</identification><publication/><references source="#wipo">'), fault(3, "", '<TLCTerm eId="term_x" href="/t" showAs="x"/>'), F.lit('</references></meta><body><article eId="art_1"><num>Article 1</num><paragraph eId="art_1__para_1"><content><p><def eId="def_1" refersTo="#term_x">x</def> of <ref href="#'),
         fault(7, "art_9", "art_2"), F.lit('">Article 2</ref> and <ref href="http://else">else</ref></p></content></paragraph><paragraph eId="'), fault(5, "art_1__para_1", "art_1__para_2"), F.lit('"/></article><article eId="art_2"><paragraph eId="'), fault(17, "art_2__para_unmarked_1", "art_2__para_1"), F.lit('"/></article></body></act></akomaNtoso>'),
     )
-    return akn.nodes(_spread(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")))
+    return akn.nodes(_spread(spark, d, "part").select(c(F.lit("part_"), k.cast("string")).alias("doc"), xml.alias("xml")), columns or None)
 
 
 _VALID = "p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 19 <> 0"
@@ -459,14 +459,14 @@ CASE WHEN p_partkey % 17 = 0 THEN 'art_2__para_unmarked_1' ELSE '' END AS unmark
 
 @query(_REPORT)
 def valid_report(spark, d):
-    out = validate.report(_filed(spark, d))
+    out = validate.report(_filed(spark, d, *validate.READ))
     return out.select("doc", *[F.array_join(c, ",").alias(c) for c in ("duplicate_eids", "missing_refs", "bad_defs", "frbr_issues", "unmarked")], "valid")
 
 
 @query(f"""WITH s AS (SELECT count(*)::BIGINT AS total_files, count(*) FILTER (WHERE {_VALID})::BIGINT AS valid_files, count(*) FILTER (WHERE NOT ({_VALID}))::BIGINT AS invalid_files FROM part)
 SELECT *, total_files || ' files: ' || valid_files || ' valid, ' || invalid_files || ' invalid' AS line, CASE WHEN invalid_files = 0 THEN 0 ELSE 1 END AS exit_code FROM s""")
 def valid_summary(spark, d):
-    return validate.console(validate.summary(validate.report(_filed(spark, d))))
+    return validate.console(validate.summary(validate.report(_filed(spark, d, *validate.READ))))
 
 
 @query(f"SELECT page_id, {_SPACE.format(chr(39).join(['regexp_replace(regexp_extract(html, ', '(?s)<h1[^>]*>(.*?)</h1>', ', 1), ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))} AS title FROM pages")

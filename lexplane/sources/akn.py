@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,51 +48,134 @@ def _content(el) -> str:
     return "".join(out)
 
 
-def tree_rows(doc: str, xml: str | None) -> list[tuple]:
-    """Rows of SCHEMA in document order; none for a text that is no XML. Descendants of a node have pre in (pre, post]."""
-    try:
-        root = ET.fromstring((xml or "").encode("utf-8"))
-    except ET.ParseError:
-        return []
-    rows: list[list] = []
-    todo = [(root, -1, 0, None, None)]
-    while todo:
-        el, parent, depth, owner_eid, owner_tag = todo.pop()
-        tag, eid = _local(el.tag), el.get("eId")
-        if eid:
-            owner_eid, owner_tag = eid, tag
-        pre = len(rows)
-        num = None
-        for c in el:
-            if _local(c.tag) == "num":
-                num = "".join(c.itertext())
-                break
-        rows.append([doc, pre, pre, parent, depth, tag, eid, [(_local(k), v) for k, v in el.attrib.items()], num, "".join(el.itertext()) if tag in TEXTS else None, _content(el) if eid else None, owner_eid, owner_tag])
-        for child in reversed(list(el)):
-            if isinstance(child.tag, str):
-                todo.append((child, pre, depth + 1, owner_eid, owner_tag))
-    for row in reversed(rows):
-        if row[3] >= 0:
-            rows[row[3]][2] = max(rows[row[3]][2], row[2])
-    return [tuple(r) for r in rows]
-
-
-def nodes(docs: DataFrame) -> DataFrame:
-    """The node table of docs (doc, xml). A broken or null text has no nodes."""
-    schema = pa.schema([("doc", pa.string()), *[(n, pa.int32()) for n in ("pre", "post", "parent", "depth")], ("tag", pa.string()), ("eid", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), *[(n, pa.string()) for n in ("num", "text", "content", "owner_eid", "owner_tag")]])
+class _Tree:
+    """Columns of SCHEMA, filled as a parser reads one text after another; only those that are wanted are made.
+
+    Pieces of text are kept with the depth of the innermost skipped element around them, so that an element's content
+    is a run of pieces, without another way down.
+    """
+
+    def __init__(self, wanted: Sequence[str]):
+        self.wanted = wanted
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns: dict[str, list] = {name: [] for name in self.wanted}
+        self.rows = 0
+
+    def read(self, doc: str, xml: str | None) -> None:
+        """Adds the rows of a text in document order; none for one that is no XML. Descendants of a node have pre in (pre, post]."""
+        want = set(self.wanted)
+        texts, content, nums = bool(want & {"num", "text", "content"}), "content" in want, "num" in want
+        pieces: list[str] = []
+        inside: list[int] = []
+        rows: list[list] = []
+        stack: list[list] = []
+        dropped = [0]  # skipped elements so far
+
+        def opened(name: str, attrs: dict) -> None:
+            tag, pre, eid = _local(name), len(rows), attrs.get("eId")
+            if stack:
+                up, owner, around, above = stack[-1], stack[-1][6], stack[-1][7], stack[-1][0]
+                up[8].append(tag)
+            else:
+                owner, around, above = (None, None), -1, -1
+            depth = len(stack)
+            if tag in SKIPPED:
+                around = depth
+                dropped[0] += 1
+            # pre, post, parent, tag, eid, attributes, owner, depth of the innermost skipped element, children, num, text, content, depth, pieces before, dropped before
+            row = [pre, pre, above, tag, eid, attrs, (eid, tag) if eid else owner, around, [], None, None, None, depth, len(pieces), dropped[0]]
+            rows.append(row)
+            stack.append(row)
+
+        def closed(name: str) -> None:
+            row = stack.pop()
+            row[1] = len(rows) - 1
+            if not texts:
+                return
+            tag, begin = row[3], row[13]
+            if tag in TEXTS:
+                row[10] = "".join(pieces[begin:])
+                if tag == "num" and stack and stack[-1][9] is None:
+                    stack[-1][9] = row[10]
+            if content and row[4]:
+                if row[7] < row[12] and dropped[0] == row[14]:
+                    row[11] = "".join(pieces[begin:])
+                else:
+                    row[11] = "".join(t for t, d in zip(pieces[begin:], inside[begin:], strict=True) if d < row[12])
+
+        def text(piece: str) -> None:
+            pieces.append(piece)
+            inside.append(stack[-1][7])
+
+        def unknown(name: str, parameter: bool) -> None:
+            raise expat.ExpatError(f"undefined entity {name}")
+
+        parser = expat.ParserCreate(None, "}")
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.SkippedEntityHandler = opened, closed, unknown
+        if texts:
+            parser.CharacterDataHandler = text
+        try:
+            parser.Parse((xml or "").encode("utf-8"), True)
+        except expat.ExpatError:
+            return
+        self.rows += len(rows)
+        for name, values in self.columns.items():
+            if name == "doc":
+                values += [doc] * len(rows)
+            elif name == "attrs":
+                values += [[(_local(k), v) for k, v in r[5].items()] for r in rows]
+            elif name == "children":
+                values += [" ".join(r[8]) for r in rows]
+            elif name in ("owner_eid", "owner_tag"):
+                values += [r[6][name == "owner_tag"] for r in rows]
+            else:
+                at = _PLACES[name]
+                values += [r[at] for r in rows]
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        out = [_maps(c) if f.name == "attrs" else pa.array(c, f.type) for c, f in zip(self.columns.values(), schema, strict=True)]
+        self.clear()
+        return pa.RecordBatch.from_arrays(out, schema=schema)
+
+
+_PLACES = {"pre": 0, "post": 1, "parent": 2, "tag": 3, "eid": 4, "num": 9, "text": 10, "content": 11, "depth": 12}
+
+
+def _maps(rows: list[list[tuple]]) -> pa.MapArray:
+    ends, keys, values = [0], [], []
+    for row in rows:
+        for k, v in row:
+            keys.append(k)
+            values.append(v)
+        ends.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+
+
+def nodes(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The node table of docs (doc, xml). A broken or null text has no nodes.
+
+    columns: those of SCHEMA that the caller reads, in any order, all if not given; the others are not made. children
+    has the names of a node's elements in order, with a space between them, and comes only when it is named.
+    """
+    kinds = dict(x.split(" ") for x in SCHEMA.split(", ")) | {"children": "string"}
+    wanted = [c for c in kinds if (c != "children" if columns is None else c in columns)]
+    arrow = {"string": pa.string(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    schema = pa.schema([(c, arrow[kinds[c]]) for c in wanted])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _Tree(wanted)
         for b in batches:
-            rows: list[tuple] = []
             for doc, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += tree_rows(doc, xml)
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    return docs.select("doc", "xml").mapInArrow(run, SCHEMA)
+                tree.read(doc, xml)
+                if tree.rows > 20_000:
+                    yield tree.batch(schema)
+            if tree.rows:
+                yield tree.batch(schema)
+
+    return docs.select("doc", "xml").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in wanted))
 
 
 def frbr(found: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """Plans that must not depend on how small a compressed table looks: no guessed broadcasts, work dealt over all cores, nodes read once."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexplane.operators import structural
+from lexplane.functions.text import normalize_space
+from lexplane.operators import schema, structural, validate
 from lexplane.plans import queries
 from lexplane.plans.registry import QUERIES
-from lexplane.sources import akn
+from lexplane.sources import akn, html
 
 
 def _plan(df):
@@ -55,3 +57,62 @@ def test_contained_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert rows == sorted((d, a, b, p, n) for d, a, b in outer for e, p, n in inner if d == e and a < p <= b)
     assert got.select(F.count("*")).first()[0] == len(rows) > 0
+
+
+ODD = [
+    '<a eId="a">x<meta eId="m">y<p eId="p">z<authorialNote eId="n">q<b eId="bb">r</b>s</authorialNote>t</p>u</meta>v<p eId="k">1<ref>2<references>3<num>4</num></references>5</ref>6</p></a>',
+    "<a xml:id='1' id='2' eId=''><num/><num>2</num>t<!-- c -->u<?pi x?>v<![CDATA[w]]></a>", "<!DOCTYPE a [<!ENTITY x 'y<b eId=\"e\"/>'>]><a eId='r'>1&x;2</a>", "<!DOCTYPE a SYSTEM 'x'><a>&foo;</a>", "<a", "", None,
+]
+
+
+def test_nodes_make_wanted_columns_only(spark):
+    """Some columns are the same as those of the whole table, also inside skipped elements; children are their names in order."""
+    docs = spark.createDataFrame([(f"d{n}", x) for n, x in enumerate(ODD)], "doc string, xml string")
+    whole = akn.nodes(docs)
+    some = akn.nodes(docs, ["doc", "pre", "content", "children"])
+    assert some.columns == ["doc", "pre", "content", "children"]
+    rows = sorted(some.collect())
+    assert [tuple(r)[:3] for r in rows] == sorted(tuple(r) for r in whole.select("doc", "pre", "content").collect())
+    assert [(r.content, r.children) for r in rows if r.doc == "d0"] == [("xv1256", "meta p"), ("", "p"), ("zt", "authorialNote"), ("", "b"), ("r", ""), ("1256", "ref"), (None, "references"), (None, "num"), (None, "")]
+    assert {r.doc for r in rows} == {"d0", "d1", "d2"}
+
+
+@pytest.mark.parametrize("name, columns", [("akn_counts", "doc tag"), ("passage_text", "doc pre eid content"), ("valid_report", "doc pre parent tag eid attrs"), ("valid_summary", "doc pre parent tag eid attrs")])
+def test_queries_make_the_columns_they_read(spark, name, columns):
+    made = re.findall(r"MapInArrow run\([^)]*\)#\d+, \[([^\]]*)\]", _plan(QUERIES[name](spark, entry.SF)))
+    assert [[c.split("#")[0].strip() for c in x.split(",")] for x in made] == [columns.split()]
+
+
+def test_schema_is_checked_in_the_pass_that_reports(spark):
+    """One reading of the texts; with and without children beside the nodes the errors are the same."""
+    assert _plan(QUERIES["schema_report"](spark, entry.SF)).count("MapInArrow") == 1
+    docs = spark.createDataFrame([("a", '<act><body/><meta/></act>'), ("b", "<p/>"), ("c", '<body><article><num/><heading/></article><article eId="x"><heading/><num/></article></body>')], "doc string, xml string")
+    some = akn.nodes(docs, {*validate.READ, *schema.READ})
+    want = sorted(schema.errors(akn.nodes(docs)).collect())
+    assert sorted(schema.errors(some).collect()) == want and [len(r.schema_errors) for r in want] == [4, 0, 2]
+    assert sorted(validate.report(schema.marked(some)).select("doc", "schema_errors").collect()) == want
+
+
+def test_plain_html_is_read_as_the_parser_reads_it():
+    rng = random.Random(5)
+    tokens = ["<p>", "</p>", "<P>", "<b>", "</b >", "<ul>", "</ul>", "<table>", "</table>", "<br>", "<br/>", '<div class="a">', "<div a=b>", '<p a="x>y">', '</p x="y">', "text ", " &amp; x", "&am", "p;", "&lt", "<!-- c -->", "<?x?>", "<script>", "</script>", "<", "<3", ">", "\u200b", "</", "<title>", "<p\x0b>", "<p\x0c>", "<p-x>", "<scriptx>", "<plaintext>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(tokens) for _ in range(rng.randrange(12)))
+        parser = html._Entries()
+        parser.feed(text)
+        parser.close()
+        parser.close_p()
+        assert html._rows(text) == parser.rows, text
+    calls, feed = [], html._Entries.feed
+    html._Entries.feed = lambda self, x: calls.append(x)
+    try:
+        assert html._rows('<div><p class="a">a &amp; <b>bold</b><p>c</div>') == [("a & bold", 0, 4, False), ("c", 0, 0, False)] and not calls
+    finally:
+        html._Entries.feed = feed
+
+
+def test_entries_are_one_line_as_normalize_space_makes_them(spark):
+    spaces = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200F), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+    texts = [f"{c}a{c}{c}b{c}" for c in spaces]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(normalize_space(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [html._one_line(t) for t in texts]
