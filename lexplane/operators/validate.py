@@ -40,12 +40,22 @@ EDITOR = "editor"
 AUTHORS = {"work": ("#wipo", "#author"), "expr": ("#wipo", "#author"), "mani": (f"#{EDITOR}", "#editor")}
 
 
-def _meta_issues(meta: Column, editor: str) -> Column:
-    """Issues of a document's metadata, from meta: its elements as array<struct<pre, parent, tag, attrs>> in document order."""
-    first = lambda test: F.get(F.filter(meta, test), F.lit(0))
+def _with_meta(lists: DataFrame) -> DataFrame:
+    """lists with the elements that _meta_issues() asks for, found in meta: elements as array<struct<pre, parent, tag, attrs>> in document order.
+
+    The levels are found before what is inside them, each once: a lookup inside another would be made for every element.
+    """
+    first = lambda test: F.get(F.filter("meta", test), F.lit(0))
     of_tag = lambda tag: first(lambda x: x["tag"] == tag)
-    inside = lambda at, tag: first(lambda x: (x["tag"] == tag) & (x["parent"] == at))
-    found = {(level, child): inside(of_tag(tag)["pre"], child) for level, tag in LEVELS.items() for child in ("FRBRuri", "FRBRthis", "FRBRauthor", "FRBRcountry")}
+    inside = lambda at, tag: first(lambda x: (x["tag"] == tag) & (x["parent"] == F.col(at)["pre"]))
+    lists = lists.withColumns({f"__{level}": of_tag(tag) for level, tag in LEVELS.items()} | {f"__{tag}": of_tag(tag) for tag in ("identification", "references", "publication")})
+    return lists.withColumns({f"__{level}_{child}": inside(f"__{level}", child) for level in LEVELS for child in ("FRBRuri", "FRBRthis", "FRBRauthor", "FRBRcountry")})
+
+
+def _meta_issues(editor: str) -> Column:
+    """Issues of a document's metadata, from the columns of _with_meta()."""
+    of_tag = lambda tag: F.col(f"__{tag}")
+    found = {(level, child): F.col(f"__{level}_{child}") for level in LEVELS for child in ("FRBRuri", "FRBRthis", "FRBRauthor", "FRBRcountry")}
     issue = lambda bad, text: F.when(F.coalesce(bad, F.lit(True)), F.lit(text))
     value = lambda level, child: F.coalesce(found[level, child]["attrs"]["value"], F.lit(""))
     out = []
@@ -89,12 +99,12 @@ def report(nodes: DataFrame, schema: DataFrame | None = None, editor: str = EDIT
         *([F.array_sort(F.flatten(F.collect_list(F.when(F.size("errors") > 0, F.col("errors"))))).alias("schema_errors")] if marked else []),
     )
     targets = F.transform(F.array_distinct("ids"), lambda x: F.concat(F.lit("#"), x))
-    lists = lists.select(
+    lists = _with_meta(lists).select(
         "doc",
         F.array_distinct(F.filter("ids", lambda x, i: (i > 0) & (x == F.get("ids", i - 1)))).alias("duplicate_eids"),
         F.array_sort(F.array_except(F.filter("refs", lambda x: x.startswith("#")), targets)).alias("missing_refs"),
         F.array_sort(F.array_distinct(F.transform(F.filter("defs", lambda x: ~F.coalesce(F.array_contains("terms", x["to"]), F.lit(False))), lambda x: x["eid"]))).alias("bad_defs"),
-        _meta_issues(F.col("meta"), editor).alias("frbr_issues"),
+        _meta_issues(editor).alias("frbr_issues"),
         F.filter(F.array_distinct("ids"), lambda x: x.contains("para_unmarked")).alias("unmarked"),
         *(["schema_errors"] if marked else []),
     )
