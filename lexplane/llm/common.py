@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -120,6 +123,26 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 1) -
         yield pa.Table.from_batches(held)
 
 
+def give_back() -> None:
+    """Memory that a task has freed returns to the machine, so that a reused worker holds none of it beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def gives_back(f: Callable) -> Callable:
+    """f over an iterator, and give_back() when it ends, fails or is closed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def in_batches(f: Callable, size: int, text: int | None = None, most: int = 4 << 20) -> Callable:
     """f over an iterator of record batches of at most size rows, so that few long texts are in memory at once.
 
@@ -137,7 +160,7 @@ def in_batches(f: Callable, size: int, text: int | None = None, most: int = 4 <<
                 for at in range(start, end, size):
                     yield batch.slice(at, min(size, end - at))
 
-    return lambda batches: f(sliced(batches))
+    return gives_back(lambda batches: f(sliced(batches)))
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:

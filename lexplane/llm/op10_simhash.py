@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, connected_components, in_batches, whole_runs
+from .common import Scratch, broadcast_if_small, connected_components, gives_back, in_batches, whole_runs
 
 BUDGET, FREE_BITS = 2, 10
 #: Of so many shingles of a set, one more must be shared among the rarest.
@@ -208,7 +208,7 @@ def near_duplicates(scratch: Scratch, fps: DataFrame, most: int = 1 << FREE_BITS
     dealt = ready[0].select("key", "fp", "rep")
     for more in ready[1:]:
         dealt = dealt.union(more.select("key", "fp", "rep"))
-    edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(gives_back(_links), "a long, b long")
     found = connected_components(scratch, edges)
     named = scratch.table(classes.join(found, classes.rep == found.node, "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component_id")), "components")
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -396,7 +396,7 @@ def similar_pairs(scratch: Scratch, classes: DataFrame, similarity: float = 0.8,
     rows = classes.select("cls", "fp", F.explode(F.array(*keys)).alias("k")).select("cls", "fp", "k.word", "k.key")
     rows = rows.withColumn("rows_of_key", F.lit(None).cast("long")) if large.isEmpty() else rows.join(broadcast_if_small(large), "key", "left")
     blocks = _blocks(rows, most).select("block", "cls", "word", "side", "fp")
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(words, reach(64, similarity), reach(64 * words, similarity)), "a long, b long")
+    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(gives_back(_candidates(words, reach(64, similarity), reach(64 * words, similarity))), "a long, b long")
     return found.distinct()
 
 
@@ -562,7 +562,7 @@ def open_pairs(scratch: Scratch, classes: DataFrame, groups: DataFrame, similari
     Their number grows with the square of a cluster; open_links() returns spanning links instead. Pairs
     must share enough shingles, and their wide parities be near enough.
     """
-    pairs = _open_blocks(scratch, classes, groups, most)[0].mapInArrow(_between_groups(similarity), "a long, b long, n long, least long")
+    pairs = _open_blocks(scratch, classes, groups, most)[0].mapInArrow(gives_back(_between_groups(similarity)), "a long, b long, n long, least long")
     pairs = pairs.groupBy("a", "b", "least").agg(F.sum("n").alias("n")).where("n >= least").select("a", "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -575,7 +575,7 @@ def open_pairs(scratch: Scratch, classes: DataFrame, groups: DataFrame, similari
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     sides = [classes.select(F.col("cls").alias(k), F.col("size").alias(n), F.col("wide").alias(w)) for k, n, w in (("a", "m", "x"), ("b", "n", "y"))]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(near, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(gives_back(near), "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -601,7 +601,7 @@ def open_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, groups: Da
     is a block.
     """
     blocks, read = _open_blocks(scratch, classes, groups, most)
-    clusters = scratch.table(connected_components(scratch, blocks.mapInArrow(_clusters(similarity), "a long, b long")).toDF("cls", "key"), "clusters")
+    clusters = scratch.table(connected_components(scratch, blocks.mapInArrow(gives_back(_clusters(similarity)), "a long, b long")).toDF("cls", "key"), "clusters")
     scratch.drop(read)
     rows = scratch.table(classes.join(broadcast_if_small(clusters, 100_000), "cls").select("key", "cls", "own", "size", "wide"), "clustered")
     sets = scratch.table(_sets(docs, rows, width), "shingles")
@@ -609,7 +609,7 @@ def open_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, groups: Da
     rows = rows.join(groups, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("group"), "size", "wide")
     dealt = _blocks(rows.join(broadcast_if_small(weights), "key", "left"), load).join(sets, "cls")
     found = dealt.select("block", "cls", "group", "size", "side", "wide", "set").repartition("block").sortWithinPartitions("block")
-    return scratch.table(found.mapInArrow(_links_between(similarity), "a long, b long"), "links")
+    return scratch.table(found.mapInArrow(gives_back(_links_between(similarity)), "a long, b long"), "links")
 
 
 def _links_among(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import give_back, in_batches
 from .merging import NEVER, PairTable
 from .pieces import BYTE_LEVEL, Memo
 
@@ -200,7 +200,9 @@ def _byte_letters() -> list[str]:
 @functools.cache
 def speculator(path: str, pattern: str, remembered: int = 250_000) -> Speculator:
     """One encoder for each worker process and file. Tasks drop it when they end, so that a reused worker holds none."""
-    return Speculator(path, pattern, remembered)
+    made = Speculator(path, pattern, remembered)
+    give_back()  # what the file's own lists took
+    return made
 
 
 def dropped(f: Callable) -> Callable:

@@ -196,3 +196,20 @@ def test_stages_keep_the_columns(spark, tables, tmp_path):
             frame = Scratch(spark, "t").table(stage(spark, frame, str(tmp_path)), name)
             assert frame.columns == extra.columns
     assert op1_lines.drop_boilerplate(Scratch(spark, "t"), extra).count() == 50
+
+
+def test_tasks_give_their_memory_back(monkeypatch):
+    """After its last batch, and when it is closed before: a reused worker has no freed memory of an earlier stage."""
+    import pyarrow as pa
+
+    from lexplane.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batches = [pa.record_batch([pa.array(range(5))], ["n"])] * 2
+    run = common.in_batches(lambda found: found, 2)
+    assert [b.num_rows for b in run(iter(batches))] == [2, 2, 1] * 2 and calls == [1]
+    begun = run(iter(batches))
+    next(begun)
+    begun.close()
+    assert calls == [1, 1]
