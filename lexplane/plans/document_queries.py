@@ -188,9 +188,9 @@ def html_files(spark, d):
     """Raw pages written as files and read whole, by name; files whose name begins with '_' are left out."""
     path = shared_folder(spark, "pages")
     name = F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html"))
-    pages = _spread(spark, d, "pages").where("html <> ''")
-    files.write(pages.select(name.alias("file"), F.col("html").cast("binary").alias("content")).unionByName(pages.select(F.concat(F.lit("_"), name).alias("file"), F.lit(b"x").alias("content"))), path)
-    return akn.read_texts(spark, path).select(F.col("doc").alias("file"), F.md5(F.col("xml").cast("binary")).alias("digest"))
+    pages = _t(spark, d, "pages").where("html <> ''")
+    manifest = files.write(pages.select(name.alias("file"), F.col("html").cast("binary").alias("content")).unionByName(pages.select(F.concat(F.lit("_"), name).alias("file"), F.lit(b"x").alias("content"))), path)
+    return files.texts(manifest, path).select(F.col("doc").alias("file"), F.md5(F.col("xml").cast("binary")).alias("digest"))
 
 
 @query("SELECT 'x' || p_size AS short_name, max('/akn/x' || p_size || '/' || CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE '' END) FILTER (WHERE p_partkey % 3 > 0) AS work_uri FROM part WHERE p_partkey % 3 > 0 GROUP BY p_size")

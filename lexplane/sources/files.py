@@ -10,7 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 MANIFEST = "file string, bytes long, sha256 string"
+#: Bytes of files that wait for a batch to be full.
+WAITING = 1 << 24
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*", hidden: bool = False) -> DataFrame:
@@ -28,6 +32,37 @@ def contents(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFram
     return found.select(name.alias("doc"), "content", F.regexp_replace(F.col("content").cast("string"), "^﻿", "").alias("xml")).where(~F.col("doc").startswith("_"))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def texts(manifest: DataFrame, path: str) -> DataFrame:
+    """(doc, xml): the files below path that a manifest names, read by name in the tasks, whole as they are; no folder is listed
+    and no plan is made for each file. Names that begin with '_' are left out; a file that is not there is an error."""
+    base = _qualified(manifest.sparkSession, path)
+    schema = pa.schema([("doc", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        for b in batches:
+            docs, found, size = [], [], 0
+            for file in b.column(0).to_pylist():
+                with store.open_input_stream(posixpath.join(root, file)) as f:
+                    found.append(f.read())
+                docs.append(file)
+                size += len(found[-1])
+                if size >= WAITING:
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(found, pa.binary())], schema=schema)
+                    docs, found, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(found, pa.binary())], schema=schema)
+
+    names = spread(manifest.select("file").where(~F.col("file").startswith("_")), "file")
+    return names.mapInArrow(run, "doc string, content binary").select("doc", F.col("content").cast("string").alias("xml"))
+
+
 def write(rows: DataFrame, path: str) -> DataFrame:
     """A file below path for each of rows (file, content binary), and the manifest (MANIFEST) below path/_manifest.
 
@@ -35,9 +70,7 @@ def write(rows: DataFrame, path: str) -> DataFrame:
     runs again leaves the same files. A repeated name is an error; a null content writes nothing.
     """
     spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    base = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    base = _qualified(spark, path)
     named = rows.select(F.col("file").cast("string").alias("file"), F.col("content").cast("binary").alias("content")).where("content is not null")
     again = named.groupBy("file").count().where("count > 1").first()
     if again is not None:
@@ -66,5 +99,5 @@ def write(rows: DataFrame, path: str) -> DataFrame:
                 out.append((file, len(content), hashlib.sha256(content).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
-    named.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{base}/_manifest")
+    spread(named, "file").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{base}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{base}/_manifest")

@@ -149,3 +149,18 @@ def test_document_text_parses_once(spark):
     df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", markup.document_text(F.col("t")).alias("t"))
     assert [r.t for r in sorted(df.collect())] == ["&p b c", "q 1", "", "n<z>", "", ""]
     assert _plan(QUERIES["document_texts"](spark, entry.SF)).count("XPathStringEvaluator(") == 1
+
+
+def test_files_are_read_by_their_manifest(spark, tmp_path):
+    """The same as the folder read by Spark, bytes that are no UTF-8 among them, without a scan of it; a file that is gone is an error."""
+    given = {"a.html": b"<p>\r\na\n</p>\n", "b.html": "\ufeffb \u00e9".encode(), "c é.html": b"\xff\xfe\x00c", "_d.html": b"x"}
+    manifest = files.write(spark.createDataFrame(list(given.items()), "file string, content binary"), str(tmp_path))
+    found = lambda df: sorted((r.doc, bytes(r.x)) for r in df.select("doc", F.col("xml").cast("binary").alias("x")).collect())
+    got = files.texts(manifest, str(tmp_path))
+    assert found(got) == sorted((k, v) for k, v in given.items() if k[0] != "_")
+    assert found(got.where("doc in ('a.html', 'b.html')")) == found(akn.read_texts(spark, str(tmp_path)).where("doc in ('a.html', 'b.html')"))
+    (tmp_path / "a.html").unlink()
+    with pytest.raises(Exception, match="a.html"):
+        got.collect()
+    plan = _plan(QUERIES["html_files"](spark, entry.SF))
+    assert "REPARTITION_BY_NUM" in plan and "FileScan text" not in plan and "Scan text" not in plan
