@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: White space between words in every text contract here.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether a query's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -35,6 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+@contextlib.contextmanager
+def frees_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files as they end, so that a chain of them needs the disk of the largest, not of all."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
 class Scratch:
     """Tables and files of one query below the shared folder; losing an executor loses none of them.
 
@@ -60,7 +76,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back: the lineage ends here and later reads cost a scan."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with frees_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

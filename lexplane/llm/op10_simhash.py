@@ -603,13 +603,16 @@ def open_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, groups: Da
     blocks, read = _open_blocks(scratch, classes, groups, most)
     clusters = scratch.table(connected_components(scratch, blocks.mapInArrow(gives_back(_clusters(similarity)), "a long, b long")).toDF("cls", "key"), "clusters")
     scratch.drop(read)
-    rows = scratch.table(classes.join(broadcast_if_small(clusters, 100_000), "cls").select("key", "cls", "own", "size", "wide"), "clustered")
-    sets = scratch.table(_sets(docs, rows, width), "shingles")
-    weights = rows.groupBy("key").agg(F.sum(F.col("size") + load // most).alias("rows_of_key")).where(F.col("rows_of_key") > load)
-    rows = rows.join(groups, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("group"), "size", "wide")
+    clustered = scratch.table(classes.join(broadcast_if_small(clusters, 100_000), "cls").select("key", "cls", "own", "size", "wide"), "clustered")
+    sets = scratch.table(_sets(docs, clustered, width), "shingles")
+    weights = clustered.groupBy("key").agg(F.sum(F.col("size") + load // most).alias("rows_of_key")).where(F.col("rows_of_key") > load)
+    rows = clustered.join(groups, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("group"), "size", "wide")
     dealt = _blocks(rows.join(broadcast_if_small(weights), "key", "left"), load).join(sets, "cls")
     found = dealt.select("block", "cls", "group", "size", "side", "wide", "set").repartition("block").sortWithinPartitions("block")
-    return scratch.table(found.mapInArrow(gives_back(_links_between(similarity)), "a long, b long"), "links")
+    links = scratch.table(found.mapInArrow(gives_back(_links_between(similarity)), "a long, b long"), "links")
+    for used in (clusters, clustered, sets):
+        scratch.drop(used)
+    return links
 
 
 def _links_among(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
