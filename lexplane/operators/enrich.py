@@ -7,9 +7,11 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import citations as C
 from ..functions import text as T
@@ -42,16 +44,16 @@ def spans(text: Column, aliases: dict[str, str]) -> Column:
     define, refer = (re.compile(p.removeprefix("(?i)"), re.I) for p in (C.DEFINITION, C.REFERENCE))
     names = Names(aliases)
 
-    @F.pandas_udf(SPANS)
-    def find(texts: pd.Series) -> pd.Series:
-        def of(t: str | None) -> list[dict]:
+    @F.arrow_udf(SPANS)
+    def find(texts: pa.Array) -> pa.Array:
+        def of(t: str | None) -> list[tuple]:
             if not t:
                 return []
-            out = [{"start": m.start(1), "end": m.end(1), "kind": "def", "a": " ".join(m[1].split()).strip("“”\""), "b": None} for m in define.finditer(t)]
-            out += [{"start": m.start(), "end": m.end(), "kind": "ref_internal", "a": m[1], "b": m[2]} for m in refer.finditer(t)]
-            return [x for x in out if x["a"]] + [{"start": start, "end": end, "kind": "ref_external", "a": aliases[name], "b": None} for start, end, name in names.find(t)]
+            out = [(m.start(1), m.end(1), "def", " ".join(m[1].split()).strip("“”\""), None) for m in define.finditer(t)]
+            out += [(m.start(), m.end(), "ref_internal", m[1], m[2]) for m in refer.finditer(t)]
+            return [x for x in out if x[3]] + [(start, end, "ref_external", aliases[name], None) for start, end, name in names.find(t)]
 
-        return texts.map(of)
+        return pa.array([of(t) for t in texts.to_pylist()], to_arrow_type(SPANS))
 
     return find(text)
 
@@ -128,7 +130,7 @@ def similarity_bound(a: Column, b: Column) -> Column:
         return F.when(x["a"] == x["b"], 1.0).otherwise(2.0 * shared / F.greatest(F.length(x["a"]) + F.length(x["b"]), F.lit(1)))
 
     both = F.struct(*[F.coalesce(T.for_compare(c), F.lit("")).alias(n) for c, n in ((a, "a"), (b, "b"))])
-    return F.get(F.transform(F.array(both), bound), F.lit(0))  # bound once to a name, not written out for each sign
+    return _bound(both, bound)  # not written out for each sign
 
 
 def with_delta(df: DataFrame, before: Column, after: Column, most: float = 1.0, name: str = "delta") -> DataFrame:
@@ -150,29 +152,37 @@ def splice(text: Column, events: Column, marks: Column) -> Column:
     escaped.
     """
     seen = F.transform(F.coalesce(events, F.array().cast(markup.EVENTS)), lambda x, n: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), x["a"].alias("a"), x["b"].alias("b"), x["tag"].alias("tag"), n.alias("seq")))
+    border = lambda at, rank, order, tag: F.struct(at.alias("at"), rank.alias("rank"), F.lit(order).alias("order"), tag.alias("tag"))
 
-    def pieces(m: Column) -> Column:
+    def pieces(m: Column, seen: Column) -> Column:
         s, e = m["start"].cast("long"), m["end"].cast("long")
         crossing = F.filter(seen, lambda x: (x["kind"] == 0) & (((s < x["a"]) & (x["a"] < e) & (e < x["b"])) | ((x["a"] < s) & (s < x["b"]) & (x["b"] < e))))
         cuts = F.array_sort(F.array_distinct(F.transform(crossing, lambda x: F.when(s < x["a"], x["a"]).otherwise(x["b"]))))
-        starts, ends = F.concat(F.array(s), cuts), F.concat(cuts, F.array(e))
-        return F.transform(starts, lambda at, n: F.struct(at.alias("s"), F.get(ends, n).alias("e"), F.when(n == 0, m["open"]).otherwise(m["again"]).alias("open"), m["close"].alias("close")))
-
-    last = lambda test: F.coalesce(F.array_max(F.transform(F.filter(seen, test), lambda x: x["seq"])), F.lit(-1))
-    border = lambda at, rank, order, tag: F.struct(at.alias("at"), rank.alias("rank"), F.lit(order).alias("order"), tag.alias("tag"))
+        cut = lambda cuts: F.transform(F.concat(F.array(s), cuts), lambda at, n: F.struct(at.alias("s"), F.coalesce(F.get(cuts, n), e).alias("e"), F.when(n == 0, m["open"]).otherwise(m["again"]).alias("open"), m["close"].alias("close")))
+        return _bound(cuts, cut)
 
-    def borders(p: Column) -> Column:
+    def borders(p: Column, seen: Column) -> Column:
         s, e = p["s"], p["e"]
+        last = lambda test: F.coalesce(F.array_max(F.transform(F.filter(seen, test), lambda x: x["seq"])), F.lit(-1))
         behind = last(lambda x: (x["at"] == s) & (((x["kind"] == 1) & (x["a"] < s)) | ((x["kind"] == 0) & (x["b"] >= e))))
         within = last(lambda x: (x["at"] == e) & (x["kind"] == 1) & (x["a"] > s))
         return F.array(border(s, behind * 2 + 2, 1, p["open"]), border(e, within * 2 + 2, 0, p["close"]))
 
-    own = F.flatten(F.transform(F.flatten(F.transform(marks, pieces)), borders))
-    ordered = F.array_sort(F.concat(F.transform(seen, lambda x: border(x["at"], x["seq"] * 2 + 1, 1, x["tag"])), own))
-    before = lambda n: F.coalesce(F.get(ordered, n - 1)["at"], F.lit(0).cast("long"))
-    written = F.transform(ordered, lambda x, n: F.concat(_escaped(F.substr(text, before(n) + 1, x["at"] - before(n))), x["tag"]))
-    rest = F.substr(text, F.coalesce(F.get(ordered, F.size(ordered) - 1)["at"], F.lit(0).cast("long")) + 1)
-    return F.concat(F.array_join(written, ""), _escaped(rest))
+    def in_order(seen: Column) -> Column:
+        own = F.flatten(F.transform(F.flatten(F.transform(marks, lambda m: pieces(m, seen))), lambda p: borders(p, seen)))
+        return F.array_sort(F.concat(F.transform(seen, lambda x: border(x["at"], x["seq"] * 2 + 1, 1, x["tag"])), own))
+
+    def written(ordered: Column) -> Column:
+        before = lambda n: F.coalesce(F.get(ordered, n - 1)["at"], F.lit(0).cast("long"))
+        with_text = F.transform(ordered, lambda x, n: F.concat(_escaped(F.substr(text, before(n) + 1, x["at"] - before(n))), x["tag"]))
+        return F.concat(F.array_join(with_text, ""), _escaped(F.substr(text, before(F.size(ordered)) + 1)))
+
+    return _bound(_bound(seen, in_order), written)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value bound to a name: a Column that f uses several times would be worked out as often, for each element inside a function of arrays."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _escaped(c: Column) -> Column:
